@@ -4,18 +4,62 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from threadloom.llm.chunking import conversation_pieces, message_pieces
+from threadloom.llm.conversations import conversations, outcomes
 from threadloom.llm.lookalike import look_alike_pairs
+from threadloom.llm.mixing import mix_report, mixed_copies
 from threadloom.llm.tokens import token_ids
 from threadloom.session import table
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return outcomes(conversations(spark, sf_dir), table(spark, sf_dir, "chats"))
+
+
+def p7_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    limits = table(spark, sf_dir, "size_limits")
+    messages = message_pieces(table(spark, sf_dir, "message_rows"), limits)
+    return messages.unionByName(conversation_pieces(table(spark, sf_dir, "archived_chats"), limits))
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The items that were cut: each has one first piece."""
+    return p7_pieces(spark, sf_dir).where("piece_no = 0").select("item_kind", "item_key")
+
+
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_ids(table(spark, sf_dir, "documents"))
 
 
+def p9_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
+
+
+def p9_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixed_copies(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))[0]
+
+
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return look_alike_pairs(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"p8_ids": p8_ids, "p10_found": p10_found}
-SQL: dict[str, str] = {}
+QUERIES = {
+    "p1_found": p1_found,
+    "p7_found": p7_found,
+    "p7_pieces": p7_pieces,
+    "p8_ids": p8_ids,
+    "p9_report": p9_report,
+    "p9_copies": p9_copies,
+    "p10_found": p10_found,
+}
+SQL: dict[str, str] = {
+    "p7_found": """
+        SELECT 'message' AS item_kind, CAST(m.row_id AS VARCHAR) AS item_key
+        FROM message_rows m JOIN size_limits s ON s.item_kind = 'message'
+        WHERE length(m.content) > s.max_chars
+        UNION ALL
+        SELECT 'conversation', a.id
+        FROM archived_chats a JOIN size_limits s ON s.item_kind = 'conversation'
+        WHERE list_sum(list_transform(a.messages, lambda x: coalesce(length(x.content), 0))) > s.max_chars
+    """,
+}
