@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from threadloom.llm.chunking import conversation_pieces, message_pieces
 from threadloom.llm.conversations import conversations, outcomes
+from threadloom.llm.langid import language_cases
 from threadloom.llm.lookalike import look_alike_pairs
 from threadloom.llm.mixing import mix_report, mixed_copies
 from threadloom.llm.tokens import token_ids
@@ -16,6 +17,15 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return outcomes(conversations(spark, sf_dir), table(spark, sf_dir, "chats"))
 
 
+def p6_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels and segments with their confidence."""
+    return language_cases(*(table(spark, sf_dir, t) for t in ("documents", "message_rows", "analysis_records")))
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p6_languages(spark, sf_dir).drop("confidence")
+
+
 def p7_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     limits = table(spark, sf_dir, "size_limits")
     messages = message_pieces(table(spark, sf_dir, "message_rows"), limits)
@@ -45,6 +55,8 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "p1_found": p1_found,
+    "p6_found": p6_found,
+    "p6_languages": p6_languages,
     "p7_found": p7_found,
     "p7_pieces": p7_pieces,
     "p8_ids": p8_ids,
