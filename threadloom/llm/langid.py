@@ -38,7 +38,7 @@ NAMES = {
 BUCKET_BITS, WIDTH = 15, 16
 SAMPLE_PER_LANGUAGE, SAMPLE_CHARS = 150, 4000  # training: at most about so many documents a language, so many characters of each
 CHUNK_CHARS = 300_000
-MIN_LETTERS, SEGMENT_LETTERS = 8, 20  # fewer letters name no language, or no language of a segment (titles, items of lists)
+MIN_LETTERS, SEGMENT_LETTERS = 8, 20  # fewer letters name no language, or no language of a segment (three times as many without a full stop: titles, items of lists)
 RESULT = "main string, confidence double, letters array<int>, segments array<struct<lang:string,confidence:double>>"
 
 #: Code, logs, markup with its fixed words, identifiers and addresses have no language; a blank line ends a paragraph.
@@ -110,6 +110,7 @@ class Sentences:
     text: np.ndarray  # index of the text
     paragraph: np.ndarray  # running number of the paragraph
     letters: np.ndarray
+    ended: np.ndarray  # whether a full stop or the like ends it; titles and items have none
     starts: np.ndarray  # first subword position
     hashes: np.ndarray  # (positions, 3), -1 where there is none
 
@@ -155,7 +156,9 @@ def sentences_of(texts: list[str]) -> Sentences:
     letters = np.bincount(number[letter], minlength=count)
     # an Eastern letter says as much as two of an alphabet
     letters = letters + np.bincount(number[letter & ((kind == _HAN) | (kind == _KANA))], minlength=count)
-    return Sentences(text[starts], paragraph[starts], letters, starts, hashes)
+    stops = np.flatnonzero(ends)
+    ended = np.isin(kind[stops], (_STOP, _WIDE_STOP))
+    return Sentences(text[starts], paragraph[starts], letters, np.append(ended, False)[: len(starts)], starts, hashes)
 
 
 @dataclass
@@ -180,7 +183,7 @@ def _softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
-def train(texts: list[str], labels: list[int], epochs: int = 5, seed: int = 11) -> Model:
+def train(texts: list[str], labels: list[int], epochs: int = 6, seed: int = 11) -> Model:
     """Fit on sentences of cleaned texts with the languages of their documents (indices into LANGUAGES)."""
     random = np.random.default_rng(seed)
     pieces, owners = [], []
@@ -196,16 +199,16 @@ def train(texts: list[str], labels: list[int], epochs: int = 5, seed: int = 11)
         return Model(np.zeros((2**BUCKET_BITS + 1, len(LANGUAGES)), np.float32), np.zeros(len(LANGUAGES), np.float32), 1.0, 2.0)
     held = random.random(len(y)) < 0.1
     keep = ~held
-    for last in (False, True):
+    for _ in range(2):
         embed = (random.standard_normal((2**BUCKET_BITS, WIDTH)) * 0.1).astype(np.float32)
         weights = (random.standard_normal((WIDTH, len(LANGUAGES))) * 0.3).astype(np.float32)
         bias = np.zeros(len(LANGUAGES), np.float32)
         share = np.bincount(y[keep], minlength=len(LANGUAGES))
         balance = (share.sum() / np.maximum(1, share) / len(LANGUAGES)) ** 0.5
         rows = np.flatnonzero(keep)
-        for epoch in range(epochs if last else max(2, epochs // 2)):
+        for epoch in range(epochs):
             random.shuffle(rows)
-            rate = 1.5 * (1 - epoch / (epochs + 1))
+            rate = 4.0 * (1 - epoch / (epochs + 1))
             for b in range(0, len(rows), 64):
                 batch = rows[b : b + 64]
                 lengths = np.array([len(pieces[i]) for i in batch])
@@ -221,7 +224,8 @@ def train(texts: list[str], labels: list[int], epochs: int = 5, seed: int = 11)
                 np.subtract.at(embed, ids, (rate * 64 * np.repeat(back, lengths, axis=0)).astype(np.float32))
         scores = np.vstack([embed @ weights, np.zeros((1, len(LANGUAGES)))]).astype(np.float32)
         logits = np.array([scores[p].mean(axis=0) + bias for p in pieces])
-        sure = _softmax(logits)[np.arange(len(y)), y]
+        said = _softmax(logits)
+        sure = np.where(said.max(axis=1) > 0.8, said[np.arange(len(y)), y], 1.0)
         keep = ~held & (sure > 0.2)  # sentences that everything else contradicts carry a wrong label
     test = held & (sure > 0.2) if (held & (sure > 0.2)).any() else keep
     grid = (0.25, 0.35, 0.5, 0.7, 1.0, 1.4)
@@ -277,11 +281,11 @@ def analysed(texts: pd.Series, model: Model) -> pd.DataFrame:
         s = sentences_of(values[start:stop])
         p = model.confidences(s)
         lang, top = p.argmax(axis=1), p.max(axis=1)
-        named = (s.letters >= MIN_LETTERS) & (top >= model.least)
+        named = (s.letters >= MIN_LETTERS) & (top >= min(model.least, 0.4))
         rows = start + s.text
         np.add.at(letters, (rows[named], lang[named]), s.letters[named])
         np.add.at(weight, (rows[named], lang[named]), s.letters[named] * top[named])
-        lang = np.where(named & (s.letters >= SEGMENT_LETTERS), lang, -1)
+        lang = np.where(named & (top >= model.least) & (s.letters >= np.where(s.ended, SEGMENT_LETTERS, 3 * SEGMENT_LETTERS)), lang, -1)
         several = np.zeros((stop - start, len(LANGUAGES)), bool)
         several[s.text[lang >= 0], lang[lang >= 0]] = True
         mixed = np.flatnonzero(several.sum(axis=1) > 1)
