@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from threadloom.llm.chunking import conversation_pieces, message_pieces
 from threadloom.llm.conversations import conversations, outcomes
-from threadloom.llm.langid import language_cases
+from threadloom.llm.langid import fitted, language_cases
 from threadloom.llm.lookalike import look_alike_pairs
 from threadloom.llm.mixing import mix_report, mixed_copies
+from threadloom.llm.pairs import defective_pairs
 from threadloom.llm.tokens import token_ids
 from threadloom.session import table
 
@@ -17,6 +18,17 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return outcomes(conversations(spark, sf_dir), table(spark, sf_dir, "chats"))
 
 
+def p4_defects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each defective reply with its first defect and every rule that fired."""
+    model = fitted(table(spark, sf_dir, "documents"))
+    messages, chats = table(spark, sf_dir, "message_rows"), table(spark, sf_dir, "chats")
+    return defective_pairs(conversations(spark, sf_dir), messages, chats, model)
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p4_defects(spark, sf_dir).drop("defects")
+
+
 def p6_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labels and segments with their confidence."""
     return language_cases(*(table(spark, sf_dir, t) for t in ("documents", "message_rows", "analysis_records")))
@@ -55,6 +67,8 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "p1_found": p1_found,
+    "p4_found": p4_found,
+    "p4_defects": p4_defects,
     "p6_found": p6_found,
     "p6_languages": p6_languages,
     "p7_found": p7_found,
