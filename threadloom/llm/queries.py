@@ -10,6 +10,7 @@ from threadloom.llm.langid import fitted, language_cases
 from threadloom.llm.lookalike import look_alike_pairs
 from threadloom.llm.mixing import mix_report, mixed_copies
 from threadloom.llm.pairs import defective_pairs
+from threadloom.llm.pii import personal_data
 from threadloom.llm.tokens import token_ids
 from threadloom.session import table
 
@@ -29,6 +30,16 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p4_defects(spark, sf_dir).drop("defects")
 
 
+def p5_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each value with its place in the text, and the text with placeholders."""
+    return personal_data(table(spark, sf_dir, "message_rows"), table(spark, sf_dir, "chats"))
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    columns = ["place", "record_key", "kind", "found_text"]
+    return p5_redacted(spark, sf_dir).where("first").select(columns)
+
+
 def p6_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labels and segments with their confidence."""
     return language_cases(*(table(spark, sf_dir, t) for t in ("documents", "message_rows", "analysis_records")))
@@ -69,6 +80,8 @@ QUERIES = {
     "p1_found": p1_found,
     "p4_found": p4_found,
     "p4_defects": p4_defects,
+    "p5_found": p5_found,
+    "p5_redacted": p5_redacted,
     "p6_found": p6_found,
     "p6_languages": p6_languages,
     "p7_found": p7_found,
