@@ -111,7 +111,7 @@ FEATURES = 28
 def _called(text: str, start: int, end: int) -> bool:
     """Whether a capitalised pair in running text stands where people are named: by a cue, a key or alone on its line; never in a line of capitals."""
     line = text[text.rfind("\n", 0, start) + 1 : (text.find("\n", end) + 1 or len(text) + 1) - 1]
-    if text[start:end].isupper() and sum(map(str.isupper, line)) > 2 * sum(map(str.islower, line)) and len(line) > 2 * (end - start):
+    if text[start:end].isupper() and not _KEY.search(text[max(0, start - 48) : start]) and sum(map(str.isupper, line)) > 2 * sum(map(str.islower, line)) and len(line) > 2 * (end - start):
         return False
     before = text[max(0, start - 48) : start]
     return bool(_BEFORE["name"].search(before) or _AFTER["name"].search(text[end : end + 24]) or _KEY.search(before) or line.strip() == text[start:end])
