@@ -7,6 +7,9 @@ conversations with array operations. A conversation closes once the watermark ha
 the idle time; it is then validated and emitted. Rows that come later, within ``keep_days``,
 reopen it, and it is emitted again with a higher revision: the highest revision holds.
 
+Arrival times grow with the input, so only rows that reach a later micro-batch more than ``delay`` out of
+order would be late; a finite table is read in one micro-batch, where no row can be.
+
 A finite input ends with a closing row far in the future, which moves the watermark past every timer.
 """
 
@@ -30,7 +33,7 @@ from threadloom.operators.times import with_account_rules
 from threadloom.session import scratch_path, table
 
 BUCKETS = 1024
-IDLE_HOURS, KEEP_DAYS, DELAY = 72, 365, "1 hour"
+IDLE_HOURS, KEEP_DAYS, DELAY = 72, 365, "1 day"
 NONE, USER, ASSISTANT, SYSTEM, TOOL = 0, 1, 2, 3, 4
 #: Spellings of the speakers, in lower case and without outer white space.
 SPEAKERS = {

@@ -78,7 +78,8 @@ def examples(seed: int = 5) -> Iterator[tuple[str, bool, set[tuple[str, str]], f
             for phrase in phrases:
                 v = value(kind, r)
                 lead = _fill(r.choice(NOBODY), r) + " " if r.random() < 0.5 else ""
-                yield lead + phrase.format(v), False, {(kind, v)}, none
+                tail = r.choice((" ", "\n")) + _fill(r.choice(NOBODY), r) if r.random() < 0.4 else ""
+                yield lead + phrase.format(v) + tail, False, {(kind, v)}, none
         for phrase in NOBODY:
             yield _fill(phrase, r), False, set(), none
         for phrase in ("我叫{}。", "請先聯絡{}確認。", "{}上次也問過這件事。"):
