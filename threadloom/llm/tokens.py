@@ -64,33 +64,43 @@ def _split_table(table: DataFrame) -> tuple[DataFrame, DataFrame]:
     return top, rest
 
 
-def positioned_ids(documents: DataFrame, folder: str = TOKENIZER_DIR) -> DataFrame:
-    """(doc_id, pos, ids) for each word of each text; a null or empty text has one row with null ``pos``."""
+def _positioned(documents: DataFrame, folder: str) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, pos, ids) of the words in the broadcast table, and of all others.
+
+    The first has a row with null ``pos`` for each document without words, and stays partitioned by ``doc_id``, by which the documents are spread first:
+    grouping it by document needs no exchange.
+    """
+    own = documents.select("doc_id", "text").repartition("doc_id").dropDuplicates(["doc_id"])
     top, rest = _split_table(word_table(documents, folder))
-    words = documents.select("doc_id", F.posexplode_outer(F.regexp_extract_all("text", F.lit(WORD_PATTERN), 0)).alias("pos", "word"))
-    near = words.join(F.broadcast(top), "word", "left")
-    found = near.where(F.col("ids").isNotNull() | F.col("word").isNull())
-    far = words.join(F.broadcast(top.select("word")), "word", "left_anti").where(F.col("word").isNotNull())
-    columns = ["doc_id", "pos", "ids"]
-    return found.select(columns).unionByName(far.join(rest, "word").select(columns))
+    words = own.select("doc_id", F.posexplode_outer(F.regexp_extract_all("text", F.lit(WORD_PATTERN), 0)).alias("pos", "word"))
+    near = words.join(F.broadcast(top), "word", "left").select("doc_id", "pos", "ids", "word")
+    found = near.select("doc_id", F.when(F.col("ids").isNotNull(), F.col("pos")).alias("pos"), "ids")
+    far = words.where("word is not null").join(F.broadcast(top.select("word")), "word", "left_anti")
+    return found, far.join(rest, "word").select("doc_id", "pos", "ids")
 
 
 def token_ids(documents: DataFrame, folder: str = TOKENIZER_DIR) -> DataFrame:
     """(doc_id, ids) of each document.
 
     Null and empty texts give an empty array. White space and control characters are encoded like
-    any text, special tokens' strings too. Repeated rows of one ``doc_id`` and text come once, other columns are ignored, an empty table
+    any text, special tokens' strings too. Repeated rows of one ``doc_id`` come once, other columns are ignored, an empty table
     gives no rows. ``doc_id`` must name one text.
     """
-    rows = positioned_ids(documents.select("doc_id", "text"), folder)
-    words = F.array_sort(F.collect_set(F.when(F.col("pos").isNotNull(), F.struct("pos", "ids"))))
-    return rows.groupBy("doc_id").agg(F.flatten(F.transform(words, lambda w: w["ids"])).alias("ids"))
+    near, far = _positioned(documents, folder)
+    listed = F.collect_list(F.when(F.col("pos").isNotNull(), F.struct("pos", "ids")))
+    known = near.groupBy("doc_id").agg(listed.alias("words"))
+    rare = far.groupBy("doc_id").agg(listed.alias("more"))
+    both = known.join(rare, "doc_id", "left")
+    words = F.array_sort(F.when(F.col("more").isNull(), F.col("words")).otherwise(F.concat("words", "more")))
+    return both.select("doc_id", F.flatten(F.transform(words, lambda w: w["ids"])).alias("ids"))
 
 
 def token_counts(documents: DataFrame, folder: str = TOKENIZER_DIR) -> DataFrame:
     """(doc_id, n_tokens) of each document: the same table of words, but only sums are shuffled by document."""
-    rows = positioned_ids(documents.select("doc_id", "text"), folder)
-    return rows.groupBy("doc_id").agg(F.coalesce(F.sum(F.size("ids")), F.lit(0)).cast("bigint").alias("n_tokens"))
+    near, far = _positioned(documents, folder)
+    size = F.coalesce(F.sum(F.when(F.col("ids").isNotNull(), F.size("ids"))), F.lit(0)).cast("bigint")
+    parts = [rows.groupBy("doc_id").agg(size.alias("n")) for rows in (near, far)]
+    return parts[0].unionByName(parts[1]).groupBy("doc_id").agg(F.sum("n").alias("n_tokens"))
 
 
 def piece_table(spark: SparkSession, folder: str = TOKENIZER_DIR) -> DataFrame:
