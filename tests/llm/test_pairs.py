@@ -30,6 +30,7 @@ CASES = [
     ("How is it?", "I'm sorry, but I can't help with that request.", "refusal"), ("How is it?", "Thanks for asking. I would rather not get into this topic.", "refusal"),
     ("How is it?", "I can't see your screen, but these steps work. Open the page and look at the first report again.", None),
     ("Wie ist es?", "Es tut mir leid, dabei kann ich nicht helfen.", "refusal"), ("？", "很抱歉，我無法協助這個請求。", "refusal"), ("？", "申し訳ありませんが、そのご依頼にはお応えできません。", "refusal"), ("?", "К сожалению, вынужден отклонить эту просьбу.", "refusal"),
+    ("How is it?", "How is it?\nHow is it?", "copy"), ("How is it?", "Hmm. Let's stop here; I am declining to continue with this.", "refusal"), ("Et ça ?", "Je dois malheureusement refuser cette demande.", "refusal"),
     ("Please look at the first page of the report.", "PLEASE LOOK AT THE FIRST PAGE OF THE REPORT", "copy"), ("Please look at the first page.", "You asked: Please look at the first page.", "copy"),
     ("Please look at the first page.", "You asked: Please look at the first page.\nThe first page is about the weather and the station.", None),
     (TEXTS["en"], TEXTS["de"], "wrong_language"), (TEXTS["en"], TEXTS["zh"], "wrong_language"), ("Please answer in German: " + TEXTS["en"], TEXTS["de"], None), (TEXTS["es"], TEXTS["es"] + " Nota.", None),

@@ -23,7 +23,7 @@ REFUSALS = {
     r"|\b(?:have to|must|need to|going to|would like to) (?:decline|refuse|pass)\b|\bi (?:am )?declin(?:e|ing)\b|\bi refuse\b|\b(?:would|['’]d) rather not\b|\bprefer not to\b|\bnot something i (?:may|can|am)\b|\bi don['’]?t produce\b|\b(?:outside|beyond) what i\b|\bagainst my (?:guidelines|rules|policy|policies|principles)\b|\bleave it unanswered\b|\bno can do\b|\bnot (?:allowed|permitted|able) to\b|\bunable to (?:help|assist|answer|respond|provide)\b|\bcan(?:no|['’])t help with (?:this|that)\b|\bas an ai\b.*\b(?:not|cannot|can['’]t)\b",
     "zh": r"無法(?:協助|回答|提供|處理|作答|討論|回應|幫)|无法(?:协助|回答|提供|处理|作答|讨论|回应|帮)|不(?:方便|能|便|可以|願|愿|想)(?:回答|提供|協助|协助|作答|討論|讨论|談|谈|處理|处理|回應)|恕(?:難|难|無|无|不)|(?:必須|必须|只能|得)(?:拒絕|拒绝|婉拒)|婉拒|不予(?:回答|提供)|超出我",
     "de": r"\b(?:kann|darf|möchte|will|werde|können|dürfen) (?:ich|wir|dir|ihnen)?.*\bnicht\b.*\b(?:helfen|beantworten|äußern|bereitstellen|antworten|weiterhelfen|unterstützen|dienen|sprechen)|\bich (?:kann|darf|möchte|werde)\b.*\b(?:nicht|keine)\b|\bdarf ich\b.*\bnicht\b|\bablehnen\b|übersteigt, was ich|gehe ich (?:bewusst )?nicht ein|\bkeine auskunft\b|kann ich nicht (?:helfen|dienen)|\bnicht äußern\b",
-    "fr": r"\bne (?:peux|puis|suis|veux|souhaite|pourrai|dois)\b.*\bpas\b|\bne pas répondre\b|\bn['’]est pas permis\b|\bne m['’]est pas (?:permis|possible)\b|\bm['’]abstiens\b|\b(?:dois|préfère|contraint de|obligée? de) (?:refuser|décliner|m['’]abstenir)\b|\bje (?:refuse|décline)\b|sort du cadre|\bje n['’]ai pas le droit\b",
+    "fr": r"\bne (?:peux|puis|suis|veux|souhaite|pourrai|dois)\b.*\bpas\b|\bne pas répondre\b|\bn['’]est pas permis\b|\bne m['’]est pas (?:permis|possible)\b|\bm['’]abstiens\b|\b(?:dois|préfère|contraint de|obligée? de)(?: \w+)? (?:refuser|décliner|m['’]abstenir)\b|\bje (?:refuse|décline)\b|sort du cadre|\bje n['’]ai pas le droit\b",
     "es": r"\bno (?:puedo|debo|voy a|podré|me es posible) (?:ayudar|responder|contestar|ofrecer|tratar|dar|proporcionar|continuar|hablar|atender|compartir)|\bno (?:me )?está permitido\b|\bprefiero no\b|\b(?:tengo que|debo|he de) (?:rechazar|declinar|negarme)\b|\bno continúo\b|fuera de lo que puedo|\bme niego\b|\bno responder\b",
     "pt": r"\bnão (?:posso|devo|vou|poderei|consigo) (?:ajudar|responder|oferecer|tratar|dar|fornecer|continuar|falar|atender|auxiliar|partilhar)|\bnão me é permitido\b|\bprefiro não\b|\b(?:tenho de|tenho que|preciso|devo) (?:recusar|declinar)\b|\bnão vou continuar\b|foge ao que posso|\brecuso\b",
     "ja": r"(?:提供|回答|対応|お答え|お応え|お手伝い|お話し|協力|お力添え)(?:は|を|が|に)?(?:でき(?:ません|かねます)|いたしかねます|しかねます)|できかねます|控えさせて|差し控え|お断り|遠慮させて|お答えできない|扱える範囲を超え",
@@ -69,10 +69,11 @@ def with_truncation(pairs: DataFrame) -> DataFrame:
 
     The steps are columns of their own, so that each is computed once a row.
     """
-    shown = strip(F.regexp_replace("reply", r"[\x{200B}-\x{200D}\x{2060}\x{FEFF}\x{FE0F}\x{1F300}-\x{1FAFF}\x{2600}-\x{27BF}]+", ""))
+    shown = F.regexp_replace("reply", r"(?U)[\s\x1c-\x1f\x{200B}-\x{200D}\x{2060}\x{FEFF}\x{FE0F}\x{1F300}-\x{1FAFF}\x{2600}-\x{27BF}]+$", "")
     rows = pairs.withColumn("_shown", F.coalesce(shown, F.lit("")))
-    rows = rows.withColumn("_prose", F.when(F.col("_shown").contains("```"), strip(F.regexp_replace("_shown", r"(?s)```.*?```", "\n"))).otherwise(F.col("_shown")))
-    rows = rows.withColumn("_last", F.regexp_extract("_prose", r"([^\n]*)$", 1))
+    prose = F.regexp_replace(F.regexp_replace("_shown", r"(?s)```.*?```", "\n"), r"\s+$", "")
+    rows = rows.withColumn("_prose", F.when(F.col("_shown").contains("```"), prose).otherwise(F.col("_shown")))
+    rows = rows.withColumn("_last", F.substring_index("_prose", "\n", -1))
     rows = rows.withColumn("_tail", F.regexp_extract("_last", r"^(?:.*(?:[.!?]\s+|[。！？]))?(.*)$", 1))
     last, tail = F.col("_last"), F.col("_tail")
 
@@ -89,18 +90,19 @@ def with_truncation(pairs: DataFrame) -> DataFrame:
     numbered = last.rlike(r"^\s*\d+[.)]\s") | (F.size(F.split(last, r"\s+")) > 8)
     contact = tail.rlike(CONTACTS)
     signed = F.col("_prose").rlike(r"(?U)[,，]\s*\n\s*\p{Lu}\S+(?: \p{Lu}\S*){0,3}\s*$")
-    loose = ~signed & ~last.rlike(_CLOSED) & ~data & has_visible(last) & (~item | numbered) & ~contact
-    broken = open_fence | (~F.col("_shown").rlike(r"```\s*$") & (brackets | loose))
+    loose = ~last.rlike(_CLOSED) & ~data & has_visible(last) & (~item | numbered) & ~contact & ~signed
+    broken = open_fence | (~F.col("_shown").endswith("```") & (brackets | loose))
     return rows.withColumn("_truncated", broken).drop("_shown", "_prose", "_last", "_tail")
 
 
 def refusal(reply: Column) -> Column:
     """Whether a reply declines and says nothing else but courtesies."""
     declines = _pattern_any(REFUSALS)
-    sentences = F.filter(F.split(reply, r"(?<=[.!?。！？;])\s*|\n"), lambda s: s.rlike(r"(?U)[\p{L}]"))
+    sentences = F.filter(F.split(reply, r"(?<=[.!?。！？])\s*|\n"), lambda s: s.rlike(r"(?U)[\p{L}]"))
     spoken = F.exists(sentences, lambda s: s.rlike(declines))
     polite = F.forall(sentences, lambda s: s.rlike(declines) | (s.rlike("(?i)" + COURTESIES) & ~s.rlike(r"\d") & (F.length(s) <= 90)))
-    return (F.length(reply) <= 600) & F.coalesce(polite & spoken, F.lit(False))
+    # answers are long or full of figures, refusals are neither
+    return (F.length(reply) <= 600) & ~reply.rlike(r"\d{2}") & F.coalesce(polite & spoken, F.lit(False))
 
 
 def copied(prompt: Column, reply: Column) -> Column:
@@ -108,7 +110,9 @@ def copied(prompt: Column, reply: Column) -> Column:
     said = F.regexp_replace(strip(reply), "(?i)" + ECHOES, "")
     a, b = bare(prompt), bare(said)
     most = F.length(b) * 10 >= F.length(a) * 6
-    return (F.length(b) > 0) & ((a == b) | (most & a.contains(b) & (F.length(b) >= 12)))
+    near = F.length(reply) <= 4 * F.length(prompt) + 60  # a mere repetition, once or more, is no longer than that
+    repeated = (F.length(a) > 0) & (F.length(F.replace(b, a, F.lit(""))) == 0)
+    return near & (F.length(b) > 0) & (repeated | (most & a.contains(b) & (F.length(b) >= 12)))
 
 
 def _letters_of(result: Column, lang: Column) -> Column:
@@ -158,4 +162,5 @@ def defective_pairs(results: DataFrame, messages: DataFrame, chats: DataFrame, m
     """
     ids = chats.where(F.col("id").isNotNull()).select(F.col("id").alias("conversation_id")).distinct()
     own = results.where("outcome in ('kept', 'missing_reply')").join(ids, "conversation_id", "left_semi")
-    return judged(written(prompt_reply_pairs(own, messages), "pairs"), model).where("defect is not null").select("row_id", "defect", "defects")
+    every = judged(written(prompt_reply_pairs(own, messages), "pairs"), model).select("row_id", "defect", "defects")
+    return written(every, "judged").where("defect is not null")  # written first: a filter would have the rules computed twice
