@@ -76,7 +76,7 @@ class Boosted:
         a, b = 1.0, 0.0
         target = np.where(y > 0, (y.sum() + 1) / (y.sum() + 2), 1 / (len(y) - y.sum() + 2))
         for _ in range(30):
-            p = 1 / (1 + np.exp(-(a * score + b)))
+            p = 1 / (1 + np.exp(-np.clip(a * score + b, -30, 30)))
             w = p * (1 - p) + 1e-6
             grad = np.array([((p - target) * score).sum(), (p - target).sum()])
             hess = np.array([[(w * score * score).sum(), (w * score).sum()], [(w * score).sum(), w.sum()]]) + np.eye(2) * 1e-3
@@ -85,4 +85,4 @@ class Boosted:
         self.slope, self.shift = float(max(a, 0.05)), float(b)
 
     def probability(self, x: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-(self.slope * self.raw(x) + self.shift))) if len(x) else np.zeros(0)
+        return 1 / (1 + np.exp(-np.clip(self.slope * self.raw(x) + self.shift, -30, 30))) if len(x) else np.zeros(0)

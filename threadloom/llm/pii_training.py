@@ -49,12 +49,12 @@ def value(kind: str, r: random.Random) -> str:
     if kind == "phone":
         return _shaped(r, r.choice(("+1 ### ### ####", "(###) ###-####", "###-###-####", "###.###.####", "+1##########", "0## #### ####", "+44 20 #### ####", "030 ##### ###", "+49 30 ########", "030/#####-###", "01 ## ## ## ##", "+33 1 ## ## ## ##", "6## ### ###", "+34 6## ### ###", "+55 11 9####-####", "+351 9## ### ###", "09########", "0900-###-###", "+886 900 ### ###", "(02) ####-####", "090-####-####", "+81 90 #### ####", "+7 (900) ###-##-##", "8 900 ### ## ##")))
     if kind == "id_number":
-        return _shaped(r, r.choice(("###-##-####", "#########", "### ## ####", "X########", "## ### ### ###", "?#?######", "##XX#####", "# ## ## ## ### ### ##", "########-?", "XX######", "?#########", "############", "## ## ######", "#### #### ####", "###.###.###-##")))
+        return _shaped(r, r.choice(("9##-##-####", "9########", "9## ## ####", "X########", "## ### ### ###", "?#?######", "##XX#####", "# ## ## ## ### ### ##", "########-?", "XX######", "?#########", "############", "## ## ######", "#### #### ####", "###.###.###-##")))
     if kind == "address":
         a, b, n = _word(r).title(), _word(r).title(), r.randint(1, 480)
         return r.choice((f"{n} {a} {r.choice(('Street', 'Lane', 'Drive', 'Avenue', 'Court', 'Rd'))}", f"{n} W. {a} Blvd", f"{n} Old {a} Rd", f"{a}straße {n}", f"{a}weg {n}", f"Am Alten {a} {n}", f"{n} rue des {a}", f"{n} bis, avenue du {a} {b}", f"Calle del {a} {n}", f"Plaza del {a}, {n}", f"Rua das {a} {n}", f"Travessa da {a}, {n}"))
     first, last = _word(r).title(), _word(r).title()
-    if r.random() < 0.1:
+    if r.random() < 0.2:
         last += "-" + _word(r).title()
     form = r.random()
     text = f"{last}, {first}" if form < 0.12 else f"{first} {r.choice('ABCDEFGHJKLMNPRST')}. {last}" if form < 0.25 else f"{first} {last} {_word(r).title()}" if form < 0.32 else f"{first} {last}"
@@ -92,7 +92,7 @@ def examples(seed: int = 5) -> Iterator[tuple[str, bool, set[tuple[str, str]], f
             v = "".join(r.sample(_HAN, 2)) + f"{r.randint(1, 5)}丁目{r.randint(1, 20)}番{r.randint(1, 20)}号"
             yield phrase.format(v), False, {("address", v)}, none
         for kind in PHRASES:
-            for form in TITLES * 3:
+            for form in TITLES * (8 if kind in ("phone", "id_number") else 3):
                 v = value(kind, r)
                 topic = _word(r).capitalize() + " " + _word(r) if r.random() < 0.7 else "".join(r.sample(_HAN, 4))
                 yield form.replace("{t}", topic).format(v), True, {(kind, v)}, frozenset((topic.lower(),))
