@@ -32,7 +32,7 @@ from threadloom.functions.textfns import has_visible, strip
 from threadloom.operators.times import with_account_rules
 from threadloom.session import scratch_path, table
 
-BUCKETS = 1024
+BUCKETS, BUCKET_BYTES = 1024, 2_000_000  # a finite table gets a bucket for each so many bytes of its files, this many at least
 IDLE_HOURS, KEEP_DAYS, DELAY = 72, 365, "1 day"
 NONE, USER, ASSISTANT, SYSTEM, TOOL = 0, 1, 2, 3, 4
 #: Spellings of the speakers, in lower case and without outer white space.
@@ -175,7 +175,9 @@ def rebuild_all(spark: SparkSession, path: str, accounts: DataFrame, max_files:
     """
     home = scratch_path(spark, "conversations")
     closing, result = f"{home}/closing", f"{home}/result"
-    schema = spark.read.parquet(path).schema
+    whole = spark.read.parquet(path)
+    schema, size = whole.schema, int(str(whole._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    settings.setdefault("buckets", max(BUCKETS, size // BUCKET_BYTES))
     empty = spark.createDataFrame([], schema)
     empty.write.parquet(closing)
     reader = spark.readStream.schema(schema)
