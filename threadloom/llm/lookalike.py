@@ -92,8 +92,8 @@ def consistent_form(documents: DataFrame, key: str = "doc_id", text: str = "text
 
     Look-alike letters become Latin, full- and half-width letters and digits and every blank plain, ligatures their
     letters; invisible characters go; accents are composed. Case, accents, digits, punctuation, line breaks and
-    the number of blanks stay. A null text has a null form, an empty one an empty form. Rows whose ``key`` and text repeat come once;
-    a key must name one text. Texts of unchanging characters alone are not exploded.
+    the number of blanks stay. A null text has a null form, an empty one an empty form. A key must name one text; where
+    its row repeats, an unchanged text has a row for each, a changed one has one. Texts of unchanging characters alone are not exploded.
     """
     spark = documents.sparkSession
     rows = documents.select(F.col(key).alias("_key"), F.col(text).alias("_text"))
@@ -120,14 +120,14 @@ def mapping_table(spark: SparkSession) -> DataFrame:
 def look_alike_pairs(documents: DataFrame) -> DataFrame:
     """(doc_a, doc_b), ``doc_a`` < ``doc_b``: documents that look the same and whose texts differ.
 
-    Texts without a visible character are no case; equal texts are no pair. Grouping is by digests of form and text; only
+    Texts without a visible character are no case; equal texts are no pair; repeated rows of a document count once. Grouping is by digests of form and text; only
     classes with at least two different texts are joined, on the digest of the form.
     """
     forms = consistent_form(documents).withColumnRenamed("doc_id", "_doc")
     seen = forms.where(F.col("form").rlike(r"(?U)[^\s\p{C}]"))
     formed = seen.select("_doc", F.sha2("form", 256).alias("look"))
     texts = documents.select("doc_id", F.sha2("text", 256).alias("body"))
-    known = written(formed.join(texts, formed["_doc"] == texts["doc_id"]).select("doc_id", "look", "body"), "looks")
+    known = written(formed.join(texts, formed["_doc"] == texts["doc_id"]).select("doc_id", "look", "body").distinct(), "looks")
     mixed = known.groupBy("look").agg(F.min("body").alias("_a"), F.max("body").alias("_b")).where("_a <> _b").select("look")
     inside = known.join(mixed, "look")
     a, b = inside.select("look", F.col("doc_id").alias("doc_a"), F.col("body").alias("body_a")), inside.select(
