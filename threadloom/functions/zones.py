@@ -13,7 +13,8 @@ from dataclasses import dataclass
 
 import numpy as np
 
-FIRST_YEAR, LAST_YEAR, PROBE_DAYS = 1900, 2101, 7
+FIRST_YEAR, LAST_YEAR = 1900, 2101
+OLD_DAYS, PROBE_DAYS = 28, 14  # between probes before and after 1970; no zone changed there and back in less
 _UTC = dt.timezone.utc
 
 
@@ -73,7 +74,8 @@ def zone_table(name: str) -> ZoneTable | None:
     last = int(dt.datetime(LAST_YEAR, 1, 1, tzinfo=_UTC).timestamp())
     changes, states = [], [at(first)]
     low = first
-    for high in range(first + PROBE_DAYS * 86400, last, PROBE_DAYS * 86400):
+    probes = [*range(first + OLD_DAYS * 86400, 0, OLD_DAYS * 86400), *range(0, last, PROBE_DAYS * 86400)]
+    for high in probes:
         state = at(high)
         if state != states[-1]:
             a, b = low, high
