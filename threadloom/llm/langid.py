@@ -46,14 +46,14 @@ _NOISE = (
     r"(?s)```.*?(?:```|\z)|`[^`\n]*`"
     r"|(?m:^[ \t]*(?:#+[ \t]*Message \d+|[-*] (?:id|source|created_at|updated_at|message_count|account|lang|language|title)\b:[^\n]*|\*\*[^*\n]{1,20}:\*\*|\|[^\n]*\||-{3,}|={3,}|\d{2}:\d{2}:\d{2}[^\n]*|\[?\d{4}-\d\d-\d\d[T ][^\n]*)[ \t]*$)"
     r"|(?m:^[ \t]*\[(?i:user|assistant|system|tool|human)\])|(?m:^(?i:user|assistant|system|tool|human): )"
-    r"|\{[^{}\n]*\}|\[?https?://\S+|(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]++@[^\s,;、。，]+|(?<![A-Za-z0-9+/=_\-])[A-Za-z0-9+/=_\-]{36,}|\(?(?:no\.|[A-Z]{2}-) ?\d{5,}\)?|\b[0-9a-f]{10,}\b"
+    r"|\{[^{}\n]*\}|\[?https?://\S+|(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]++[@＠][^\s,;、。，]+|(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]++ ?[\[(] ?at ?[\])] ?[A-Za-z0-9.\-]+(?: ?[\[(] ?dot ?[\])] ?[A-Za-z0-9\-]+)*|(?<![A-Za-z0-9+/=_\-])[A-Za-z0-9+/=_\-]{36,}|\(?(?:no\.|[A-Z]{2}-) ?\d{5,}\)?|\b[0-9a-f]{10,}\b"
 )
 _SEPARATOR, _PARAGRAPH = 0x0, 0x2029
 _OTHER, _LATIN, _CYRILLIC, _LIKE, _HAN, _KANA, _FOREIGN, _LINE, _STOP, _WIDE_STOP, _BLANK = range(11)
 
 
 #: Any noise shows one of these; texts without are spared the longer expression.
-_NOISE_SIGN = r"[`#*|{@=\[]|---|://|\d{5}|[0-9a-f]{10}|[A-Za-z0-9+/_\-]{36}|\d\d:\d\d|[-*] (?:id|source|created_at|updated_at|message_count|account|lang|language|title)\b|(?m:^(?i:user|assistant|system|tool|human): )"
+_NOISE_SIGN = r"[`#*|{@＠=\[]|\( ?at ?\)|---|://|\d{5}|[0-9a-f]{10}|[A-Za-z0-9+/_\-]{36}|\d\d:\d\d|[-*] (?:id|source|created_at|updated_at|message_count|account|lang|language|title)\b|(?m:^(?i:user|assistant|system|tool|human): )"
 _UNSEEN = r"[\x{200B}-\x{200D}\x{2060}\x{FEFF}\x{AD}\x{0}]"
 
 
