@@ -24,7 +24,8 @@ def markdown(id_: Column, source: Column, title: Column, created: Column, update
 
     Null fields are empty, a null role reads ``None``; null messages are none. The text ends in one line break.
     """
-    many = F.coalesce(messages, F.expr("array()").cast("array<struct<role:string,content:string,timestamp:string>>"))
+    plain = F.transform(messages, lambda m: F.struct(*[m[c].cast("string").alias(c) for c in ("role", "content", "timestamp")]))
+    many = F.coalesce(plain, F.expr("array()").cast("array<struct<role:string,content:string,timestamp:string>>"))
     head = F.concat_ws(
         "\n",
         F.concat(F.lit("# "), _shown(title)),
