@@ -53,6 +53,15 @@ def test_tables(spark):
     assert pii.personal_data(messages.limit(0), chats.limit(0)).count() == 0
 
 
+def test_titles_of_rare_and_frequent_parts(spark):
+    """A name beside a topic of few titles, and a person and a reloaded conversation in more titles than many a topic."""
+    han = [(n, f"{t} ({v})" if v else t) for n, (t, v) in enumerate([("料金表", "鳥巣川涼真")] + [("料金表", None)] * 3 + [("閱讀清單", None)] * 40)]
+    latin = [(100 + n, t) for n, t in enumerate(["Export script"] * 3 + ["Ada Bellcor / Export script"] * 9 + ["Ada Bellcor / Budget sheet"] * 9 + ["Budget sheet"] * 3)]
+    chats = spark.createDataFrame(han + latin, "load_id long, title string")
+    rows = {(r["record_key"], r["found_text"]) for r in pii.personal_data(spark.createDataFrame([], "row_id long, content string"), chats).collect()}
+    assert rows == {("0", "鳥巣川涼真")} | {(str(n), "Ada Bellcor") for n in range(103, 121)}
+
+
 def test_boosting_learns():
     r = np.random.default_rng(1)
     x = r.random((2000, 4))

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import functools
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping
 
 import numpy as np
 import pandas as pd
@@ -17,11 +17,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from threadloom.llm.boosting import Boosted
+from threadloom.session import written
 
 KINDS = ("email", "phone", "id_number", "address", "name")
 PLACEHOLDERS = {k: f"[{k.upper()}]" for k in KINDS}
 THRESHOLDS = {"email": 0.5, "phone": 0.4, "id_number": 0.4, "address": 0.5, "name": 0.35}
 SPANS = "array<struct<kind:string,start:int,end:int,text:string,score:double>>"
+PARTS = "array<struct<part:string,alone:double,titles:bigint>>"
+#: Parts of titles, in lower case: the share of their uses where they are the whole title, and the number of different titles they stand in.
+Parts = Mapping[str, tuple[float, float]]
 
 _D = "0-9０-９"
 _CAP = r"[A-ZÀ-ÖØ-ÞŒА-ЯЁ]"
@@ -100,12 +104,13 @@ _NAMES = (
     re.compile(rf"(?:^|(?<=[.!?\n] )|(?<=\n))(?P<v>{_SMALL}(?: {_LOW}\.)?(?:,? {_SMALL}){{1,2}}?)(?= (?:asked about|hat schon|a encore|volvió a|perguntou|снова))"),
     re.compile(rf"(?:(?i:regards|grüße|grüßen|cordialement|saludos|un saludo|abraço|abraços|atenciosamente|с уважением),?\n)(?P<v>\w[\w.'’\-]*(?:,? \w[\w.'’\-]*){{1,3}})(?=\s*(?:\n|$))"),
     re.compile(r"(?:我叫|請先聯絡|我是|[\"'](?:full_name|owner|name)[\"']: [\"']|敬上[，,]?\s*|私の名前は|担当は|此致\n)(?P<v>[一-鿿]{2,6}?)(?=確認|です|[。，\"'\n]|$)|(?P<w>[一-鿿]{2,4})(?=上次也問過|さんにも|さんから)"),
-    re.compile(r"(?:^|[/:：(（]\s?)(?P<v>[一-鿿]{2,6})(?=\s?[/:：(（)）]|\s|$)"),
+    re.compile(r"(?:^|[/:：(（]\s?|\s)(?P<v>[一-鿿]{2,6})(?=\s?[/:：(（)）]|\s|$)"),
 )
 _TITLE_SMALL = re.compile(rf"(?:^|[/:(] ?)(?P<v>{_SMALL}(?: {_LOW}\.)?,? {_SMALL}(?: {_SMALL})?)(?=\)?$| ?[/:(]| {_CAP})")
 _ARTICLES = re.compile(r"^(?:The|Das|Die|Der|Den|Dem|Le|La|Les|El|Los|Las|O|A|Os|As|Un|Une|Eine?|In|On|At|If|For|We|You|It|Is|Put|Try|Keep|Note|Nota|Project|Between|Entre|Enquanto|Mientras|Solange|Zwischen|While|When|Benennt|Renommez|Version|Message)\b", re.I)
 _TOPIC_ARTICLE = re.compile(r" (?:Das|Die|Der|El|La|Los|Las|Le|Les|L['’]\w*|O|A|Os|As)$")
-FEATURES = 29
+FEATURES = 33
+_NO_WEIGHTS = [0.0] * 5
 
 
 def _called(text: str, start: int, end: int) -> bool:
@@ -117,15 +122,21 @@ def _called(text: str, start: int, end: int) -> bool:
     return bool(_BEFORE["name"].search(before) or _AFTER["name"].search(text[end : end + 24]) or _KEY.search(before) or line.strip() == text[start:end])
 
 
-def _beside_topic(text: str, start: int, end: int, common: frozenset) -> bool:
-    """Whether a part of a title is no topic itself and stands beside one."""
-    if text[start:end].lower() in common:
-        return False
-    rest = [x.strip(" 0123456789") for x in re.split(r"[/:：(（)）\s]+", text[:start] + "/" + text[end:])]
-    return any(x and x.lower() in common for x in [*rest, (text[:start] + text[end:]).strip(" /:：()（）")])
+def _beside(text: str, start: int, end: int) -> set[str]:
+    """What a title says beside a span, in lower case: the whole rest and its parts."""
+    rest = {(text[:start] + text[end:]).strip(" /:：()（）"), *re.split(r"[/:：(（)）\s]+", text[:start] + "/" + text[end:]), *re.split(r"[/:：(（)）]", text[:start] + "/" + text[end:])}
+    return {x for x in (y.strip().rstrip(" 0123456789").lower() for y in rest) if x}
+
 
+def _weights(text: str, start: int, end: int, parts: Parts) -> list[float]:
+    """How a span of a title and the most used part beside it are used in all titles; sizes in powers of two, so that only relations count."""
+    own = parts.get(text[start:end].lower(), (0.0, 0.0))
+    rest = max((parts[x] for x in _beside(text, start, end) if x in parts), key=lambda w: w[1], default=(0.0, 0.0))
+    n, m = np.log2(1 + own[1]), np.log2(1 + rest[1])
+    return [own[0], float(n), rest[0], float(m), float(m - n)]
 
-def _spans(text: str, title: bool, common: frozenset) -> Iterator[tuple[int, int, int, int]]:
+
+def _spans(text: str, title: bool) -> Iterator[tuple[int, int, int, int]]:
     """(kind, start, end, generator) of every candidate."""
     low = text.lower()
     if any(w in low for w in _AT_SIGNS):
@@ -164,15 +175,13 @@ def _spans(text: str, title: bool, common: frozenset) -> Iterator[tuple[int, int
         for m in pattern.finditer(text):
             name = "v" if m.groupdict().get("v") else "w" if m.groupdict().get("w") else 0
             start, end = m.span(name)
-            if g == 6 and not _beside_topic(text, start, end, common):
-                continue
             if g < 2 and title and re.match(r" [a-zà-ÿа-я]", text[end:]):  # the last word begins the topic
                 end = start + text[start:end].rfind(" ")
             if g < 2 and title:
                 end -= len(text[start:end]) - len(_TOPIC_ARTICLE.sub("", text[start:end]))
             if g < 2 and " " not in text[start:end]:
                 continue
-            if g < 2 and (not title and not _called(text, start, end) or title and (_ARTICLES.match(text[start:end]) or text[start:end].lower() in common)):
+            if g < 2 and (not title and not _called(text, start, end) or title and _ARTICLES.match(text[start:end])):
                 continue
             yield 4, start, end, 10 + g
     if title:
@@ -180,7 +189,7 @@ def _spans(text: str, title: bool, common: frozenset) -> Iterator[tuple[int, int
             yield 4, m.start("v"), m.end("v"), 17
 
 
-def _features(text: str, kind: int, start: int, end: int, generator: int, title: bool, common: frozenset) -> list[float]:
+def _features(text: str, kind: int, start: int, end: int, generator: int, title: bool, parts: Parts) -> list[float]:
     value, before, after = text[start:end], text[max(0, start - 48) : start], text[end : end + 24]
     name = KINDS[kind]
     key = _KEY.search(before)
@@ -198,17 +207,18 @@ def _features(text: str, kind: int, start: int, end: int, generator: int, title:
         float(value[:1] in "+＋"), float("(" in value or "（" in value), float(sum(c in " -./－" for c in value)), cue,
         1.0 if _AFTER[name].search(after) else 0.0, 1.0 if _NOBODY.search(before) else 0.0, own_key, other, float(line_start), float(line_end),
         float(value.isupper()), float(value.islower()), float(title), float(part), float(bool(_ARTICLES.match(value))), float("," in value),
-        float(value.lower() in common), float(bool(re.match(r"(?:19|20)\d\d[-./]\d\d", value))),
+        float(bool(re.match(r"(?:19|20)\d\d[-./]\d\d", value))),
         float(len(groups[0])), float(len(groups[-1])), float(max(map(len, groups))), float(value[:1] in "0("), float(next((int(c) for c in value if c.isdecimal()), -1)),
+        *(_weights(text, start, end, parts) if title and kind == 4 else _NO_WEIGHTS),
     ]
 
 
-def candidates(text: str, title: bool = False, common: frozenset = frozenset()) -> tuple[list[tuple[int, int, int]], list[list[float]]]:
+def candidates(text: str, title: bool = False, parts: Parts = {}) -> tuple[list[tuple[int, int, int]], list[list[float]]]:
     spans, rows = [], []
-    for kind, start, end, generator in _spans(text, title, common):
+    for kind, start, end, generator in _spans(text, title):
         if end > start:
             spans.append((kind, start, end))
-            rows.append(_features(text, kind, start, end, generator, title, common))
+            rows.append(_features(text, kind, start, end, generator, title, parts))
     return spans, rows
 
 
@@ -232,8 +242,8 @@ def fitted() -> Judge:
     from threadloom.llm.pii_training import examples
 
     x, y = [], []
-    for text, title, values, topics in examples():
-        spans, rows = candidates(text, title, topics)
+    for text, title, values, parts in examples():
+        spans, rows = candidates(text, title, parts)
         for (kind, start, end), row in zip(spans, rows):
             x.append(row)
             y.append(int((KINDS[kind], text[start:end]) in values))
@@ -250,11 +260,11 @@ def _chosen(spans: list, scores: np.ndarray) -> list[tuple[int, int, int, float]
     return sorted(taken, key=lambda t: t[1])
 
 
-def found_spans(texts: list[str | None], title: bool, model: Judge, common: frozenset = frozenset()) -> list[list[dict]]:
+def found_spans(texts: list[str | None], title: bool, model: Judge, parts: Parts = {}) -> list[list[dict]]:
     """The chosen spans of each text; null and blank texts have none."""
     spans, rows, counts = [], [], []
     for text in texts:
-        s, r = candidates(text, title, common) if text else ([], [])
+        s, r = candidates(text, title, parts) if text else ([], [])
         spans.append(s)
         rows += r
         counts.append(len(s))
@@ -268,15 +278,34 @@ def found_spans(texts: list[str | None], title: bool, model: Judge, common: froz
     return out
 
 
-def spans_column(text: Column, title: bool = False, common: frozenset = frozenset()) -> Column:
-    """The personal data of a text as an array of spans (offsets in code points). The trees travel with the plan."""
+def spans_column(text: Column, parts: Column | None = None) -> Column:
+    """The personal data of a text, or of a title with the parts beside it, as an array of spans (offsets in code points). The trees travel with the plan."""
     model = fitted()
 
     @F.pandas_udf(SPANS)
-    def run(texts: pd.Series) -> pd.Series:
-        return pd.Series(found_spans(texts.where(texts.notna(), None).tolist(), title, model, common))
+    def in_text(texts: pd.Series) -> pd.Series:
+        return pd.Series(found_spans(texts.where(texts.notna(), None).tolist(), False, model))
+
+    @F.pandas_udf(SPANS)
+    def in_title(texts: pd.Series, beside: pd.Series) -> pd.Series:
+        known = {p["part"]: (p["alone"], p["titles"]) for row in beside for p in row}
+        return pd.Series(found_spans(texts.where(texts.notna(), None).tolist(), True, model, known))
+
+    return in_text(text) if parts is None else in_title(text, parts)
 
-    return run(text)
+
+def title_keys(title: Column) -> Column:
+    """The parts to be weighed for the name-shaped spans of a title: these spans and what stands beside them."""
+
+    def keys(text: str) -> list[str]:
+        spans = [(start, end) for kind, start, end, _ in _spans(text, True) if kind == 4 and end > start]
+        return sorted({text[s:e].lower() for s, e in spans}.union(*(_beside(text, s, e) for s, e in spans)))
+
+    @F.pandas_udf("array<string>")
+    def run(titles: pd.Series) -> pd.Series:
+        return titles.map(keys)
+
+    return run(title)
 
 
 def redacted(text: Column, spans: Column) -> Column:
@@ -292,13 +321,23 @@ def redacted(text: Column, spans: Column) -> Column:
     return F.concat(pieces["done"], F.substring(text, pieces["at"], F.length(text)))
 
 
-def common_title_parts(chats: DataFrame, most: int = 2000) -> frozenset:
-    """Parts of titles so frequent (five times, and one in a thousand) that they are topics: a bounded list, in lower case."""
-    part = F.explode(F.split(F.regexp_replace("title", r"(?U)[\s\d]+$", ""), r"\s?[/:：(（)）]\s?")).alias("part")
-    parts = chats.select(part).where("part <> ''").groupBy(F.lower("part").alias("part")).agg(F.count("*").alias("n"))
-    every = chats.where("title is not null").count()
-    rows = parts.where(F.col("n") >= max(5, every // 1000)).orderBy(F.desc("n"), "part").limit(most).collect()
-    return frozenset(r["part"] for r in rows)
+def title_parts(chats: DataFrame) -> DataFrame:
+    """(part, alone, titles) of every part of a title, in lower case: the share of its uses where it is the whole title (topics are, names hardly), and the number of different titles it stands in."""
+    title = F.lower(F.regexp_replace("title", r"(?U)[\s\d]+$", ""))
+    rows = chats.select(title.alias("_t")).where("_t <> ''").groupBy("_t").agg(F.count("*").alias("_n"))
+    part = F.explode(F.array_distinct(F.transform(F.split("_t", r"[/:：(（)）]"), lambda p: F.regexp_replace(p, r"(?U)^\s+|[\s\d]+$", "")))).alias("part")
+    alone = F.sum(F.when(F.col("part") == F.col("_t"), F.col("_n")).otherwise(0)) / F.sum("_n")
+    return rows.select("_t", "_n", part).where("part <> ''").groupBy("part").agg(alone.alias("alone"), F.count("*").alias("titles"))
+
+
+def weighed_titles(chats: DataFrame) -> DataFrame:
+    """(record_key, _t, _p) of each title that isn't null, with the weights of the parts its name-shaped spans need, joined by part."""
+    rows = chats.where("title is not null").select(F.col("load_id").cast("string").alias("record_key"), F.col("title").alias("_t"))
+    keyed = written(rows.withColumn("_k", title_keys(F.col("_t"))), "title-keys")
+    none = keyed.where(F.size("_k") == 0).select("record_key", "_t", F.array().cast(PARTS).alias("_p"))
+    weight = F.when(F.col("titles").isNotNull(), F.struct("part", "alone", "titles"))
+    some = keyed.where(F.size("_k") > 0).select("record_key", "_t", F.explode("_k").alias("part")).join(title_parts(chats), "part", "left")
+    return none.unionByName(some.groupBy("record_key", "_t").agg(F.collect_list(weight).cast(PARTS).alias("_p")))
 
 
 def personal_data(messages: DataFrame, chats: DataFrame) -> DataFrame:
@@ -308,10 +347,9 @@ def personal_data(messages: DataFrame, chats: DataFrame) -> DataFrame:
 
     Null and blank texts have none; equal values in one row come at each place they stand.
     """
-    common = common_title_parts(chats)
 
-    def found(rows: DataFrame, place: str, key: str, column: str, title: bool) -> DataFrame:
-        spotted = rows.where(F.col(column).isNotNull()).select(F.col(key).cast("string").alias("record_key"), F.col(column).alias("_t"), spans_column(F.col(column), title, common).alias("_s"))
+    def found(rows: DataFrame, place: str, parts: Column | None = None) -> DataFrame:
+        spotted = rows.withColumn("_s", spans_column(F.col("_t"), parts))
         spotted = spotted.where(F.size("_s") > 0).withColumn("redacted", redacted(F.col("_t"), F.col("_s")))
         return spotted.select(F.lit(place).alias("place"), "record_key", F.posexplode("_s").alias("at", "s"), "_s", "redacted").select(
             "place",
@@ -323,4 +361,5 @@ def personal_data(messages: DataFrame, chats: DataFrame) -> DataFrame:
             "redacted",
         )
 
-    return found(messages, "message", "row_id", "content", False).unionByName(found(chats, "title", "load_id", "title", True))
+    texts = messages.where("content is not null").select(F.col("row_id").cast("string").alias("record_key"), F.col("content").alias("_t"))
+    return found(texts, "message").unionByName(found(weighed_titles(chats), "title", F.col("_p")))

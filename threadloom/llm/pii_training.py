@@ -70,9 +70,21 @@ def _fill(text: str, r: random.Random) -> str:
     return text.replace("{{", "{").replace("}}", "}")
 
 
-def examples(seed: int = 5) -> Iterator[tuple[str, bool, set[tuple[str, str]], frozenset]]:
-    """(text, whether a title, true values by kind, topics of titles)."""
-    r, none = random.Random(seed), frozenset()
+def _topic_use(r: random.Random) -> tuple[float, float]:
+    """How a topic is used: mostly as a whole title too, in few or many titles; a rare one only here."""
+    return (r.uniform(0.3, 1), float(int(2 ** r.uniform(1, 12)))) if r.random() < 0.95 else (0.0, 1.0)
+
+
+def _name_use(r: random.Random, form: str) -> tuple[float, float]:
+    """How a name is used: hardly ever alone, in one title or, of a busy person, in many; before a blank it is no part of its own."""
+    if form == "{} {t}" and r.random() < 0.7:
+        return 0.0, 0.0
+    return 0.0 if r.random() < 0.98 else r.uniform(0, 0.2), float(r.choice((1, 1, 1, 2, 3, int(2 ** r.uniform(1, 8)))))
+
+
+def examples(seed: int = 5) -> Iterator[tuple[str, bool, set[tuple[str, str]], dict]]:
+    """(text, whether a title, true values by kind, use of the parts of titles)."""
+    r, none = random.Random(seed), {}
     for _ in range(20):
         for kind, phrases in PHRASES.items():
             for phrase in phrases:
@@ -95,10 +107,15 @@ def examples(seed: int = 5) -> Iterator[tuple[str, bool, set[tuple[str, str]], f
             for form in TITLES * (8 if kind in ("phone", "id_number") else 3):
                 v = value(kind, r)
                 topic = _word(r).capitalize() + " " + _word(r) if r.random() < 0.7 else "".join(r.sample(_HAN, 4))
-                yield form.replace("{t}", topic).format(v), True, {(kind, v)}, frozenset((topic.lower(),))
+                yield form.replace("{t}", topic).format(v), True, {(kind, v)}, {topic.lower(): _topic_use(r), v.lower(): _name_use(r, form)}
                 v = "".join(r.sample(_HAN, r.choice((2, 3, 3, 4, 5))))
                 topic = "".join(r.sample(_HAN, 4))
-                yield form.replace("{t}", topic).format(v), True, {("name", v)}, frozenset((topic,))
+                yield form.replace("{t}", topic).format(v), True, {("name", v)}, {topic: _topic_use(r), v: _name_use(r, form)}
+                topics = {"".join(r.sample(_HAN, r.choice((2, 3, 3, 4, 5, 6)))): (r.uniform(0.3, 1), float(int(2 ** r.uniform(1, 12)))) for _ in range(2)}
+                yield form.replace("{t}", min(topics)).format(max(topics)), True, set(), topics
+                yield max(topics) + r.choice(("", " 2", " 14")), True, set(), topics
+                topic = _word(r).title() + " " + _word(r).title()
+                yield topic + r.choice(("", " 2", " / " + _word(r))), True, set(), {topic.lower(): (r.uniform(0.3, 1), float(int(2 ** r.uniform(1, 12))))}
         yield _word(r).capitalize() + " " + _word(r) + " " + _digits(r, 2), True, set(), none
         yield "Das " + _word(r).title() + " " + _digits(r, 2), True, set(), none
         yield _word(r).title() + ": " + "Could you draft a note about " + _word(r) + "?", True, set(), none
