@@ -62,6 +62,21 @@ def test_titles_of_rare_and_frequent_parts(spark):
     assert rows == {("0", "鳥巣川涼真")} | {(str(n), "Ada Bellcor") for n in range(103, 121)}
 
 
+UNSEEN = (
+    "We all liked what {} showed us on Monday.", "Nobody has seen {} since the move.", "The keys are with {} downstairs.", "According to {}, the numbers are fine.", "A gift for {} arrived.",
+    "Gestern war {} bei uns.", "Das Paket für {} liegt hier.", "Le dossier de {} est prêt.", "La carpeta de {} está lista.", "Мы ждали {} весь день.",
+)
+
+
+def test_names_in_unseen_frames(model):
+    """Wordings of no cue list and no training sentence; the same spans after words for things are nobody's."""
+    names = ("Maja Brunnhold", "Ilse Kortmann", "Pavel Strand")
+    texts = [(f.format(n), n) for f in UNSEEN for n in names]
+    got = pii.found_spans([t for t, _ in texts], False, model)
+    assert sum({(s["kind"], s["text"]) for s in spans} == {("name", n)} for spans, (_, n) in zip(got, texts)) >= 0.8 * len(texts)
+    assert pii.found_spans(["Rename Torvel to Kesmar.", "Without Torvel nothing works."], False, model) == [[], []]
+
+
 def test_boosting_learns():
     r = np.random.default_rng(1)
     x = r.random((2000, 4))

@@ -109,19 +109,46 @@ _NAMES = (
 _TITLE_SMALL = re.compile(rf"(?:^|[/:(] ?)(?P<v>{_SMALL}(?: {_LOW}\.)?,? {_SMALL}(?: {_SMALL})?)(?=\)?$| ?[/:(]| {_CAP})")
 _ARTICLES = re.compile(r"^(?:The|Das|Die|Der|Den|Dem|Le|La|Les|El|Los|Las|O|A|Os|As|Un|Une|Eine?|In|On|At|If|For|We|You|It|Is|Put|Try|Keep|Note|Nota|Project|Between|Entre|Enquanto|Mientras|Solange|Zwischen|While|When|Benennt|Renommez|Version|Message)\b", re.I)
 _TOPIC_ARTICLE = re.compile(r" (?:Das|Die|Der|El|La|Los|Las|Le|Les|L['’]\w*|O|A|Os|As)$")
-FEATURES = 33
-_NO_WEIGHTS = [0.0] * 5
+FEATURES = 41
+_NO_WEIGHTS, _NO_STANDING = [0.0] * 5, [0.0] * 7
+
+
+#: Words that begin a sentence or a phrase and no name, in seven languages.
+_FUNCTION = re.compile(
+    r"(?:the|an?|this|that|these|those|my|your|our|his|her|their|its?|i|we|you|he|she|they|in|on|at|by|for|from|to|of|with|without|under|over|after|before|between|about|as|and|or|but|if|when|while|because|so|then|there|here|what|which|who|how|why|where|is|are|was|were|be|do|does|did|can|could|should|would|will|may|must|not|no|yes|all|any|some|each|every|more|only|also|just|please|put|use|try|keep|make|move|rename|see|note|add|set|get|let|open|read|run|check|project|version|model|message|next|last|best|kind|many|one|two|first|second"
+    r"|der|die|das|den|dem|des|ein\w{0,2}|mein\w*|dein\w*|sein\w*|ihr\w*|unser\w*|kein\w*|dies\w*|jed\w*|ich|du|er|sie|es|wir|und|oder|aber|wenn|weil|dass|als|wie|was|wer|wo|warum|im|am|an|auf|ab|bei|mit|nach|von|vom|vor|zu|zum|zur|für|über|unter|zwischen|ohne|solange|während|nicht|auch|nur|noch|bitte|benenn\w*|kurz\w*|hier|dann|welche\w*|viele?\w*|beste\w*|liebe\w*|kann\w*|ist|sind|war|hat"
+    r"|le|la|les|une?|des|du|de|mon|ma|mes|ton|ta|tes|son|sa|ses|notre|nos|votre|vos|leurs?|ce|cette|ces|je|tu|il|elle|nous|vous|ils|et|ou|mais|si|quand|que|qui|comment|pourquoi|dans|en|sur|sous|avec|sans|pour|par|entre|chez|après|avant|pas|tant|renomme\w*|met\w*|est|sont|peux"
+    r"|el|los|las|una?s?|mis?|tus?|sus?|este|esta|estos|estas|ese|esa|yo|y|o|pero|cuando|cómo|qué|por|para|con|sin|sobre|bajo|mientras|es|son|no|ponga?|cambia\w*|renombra\w*"
+    r"|os?|as?|um|uma|uns|umas|meu|minha|seu|sua|nosso|nossa|eu|ele|ela|e|mas|se|enquanto|como|em|na|nos?|do|da|dos|com|sem|sob|não|mude|coloque|são"
+    r"|и|а|но|или|если|когда|пока|как|что|кто|где|это|эт\w{1,3}|мой|моя|мои|наш\w*|ваш\w*|он|она|они|мы|вы|я|в|во|на|по|под|над|с|со|из|от|до|для|за|между|без|не|нет|переименуйте|поставьте|меньше|версия|проект)",
+    re.I,
+)
+#: What people do or are, and what things are called, beside a name.
+_PERSON = re.compile(
+    r"(?<!\w)(?:mr|mrs|ms|dr|prof|herrn?|frau|monsieur|madame|m|mme|señora?|sra?|dona?|senhora?|colleagues?|boss|manager|friend|wife|husband|sister|brother|doctor|neighbou?r|kolleg\w+|chef\w*|freund\w*|nachbar\w*|collègue|amie?|voisine?|compañer\w+|amig\w+|jefe|colega|chefe|коллег\w+|друг\w*|сосед\w*|said|says|asked|asks|called|calls|wrote|writes|told|tells|met|emailed|thinks|wants|joined|signed|sagt\w*|fragt\w*|schrieb\w*|meint\w*|rief|dit|demand\w+|écri\w+|appel\w+|pens\w+|dijo|dice|pregunt\w+|escrib\w+|llam\w+|diss\w+|pergunt\w+|escrev\w+|ligou|сказал\w*|спросил\w*|написал\w*|звонил\w*)(?!\w)", re.I
+)
+_THING = re.compile(r"(?<!\w)(?:project|model|module|service|release|version|product|tool|app|table|feature|server|node|called|term|projekt|modell|begriff|dienst|projet|modèle|terme|proyecto|modelo|término|projeto|termo|проект|модель|термин)[ „“\"'«]*$", re.I)
 
 
 def _called(text: str, start: int, end: int) -> bool:
-    """Whether a capitalised pair in running text stands where people are named: by a cue, a key or alone on its line; never in a line of capitals."""
+    """Whether a name-shaped span stands by a cue, a key or alone on its line."""
     line = text[text.rfind("\n", 0, start) + 1 : (text.find("\n", end) + 1 or len(text) + 1) - 1]
-    if text[start:end].isupper() and not _KEY.search(text[max(0, start - 48) : start]) and sum(map(str.isupper, line)) > 2 * sum(map(str.islower, line)) and len(line) > 2 * (end - start):
-        return False
     before = text[max(0, start - 48) : start]
     return bool(_BEFORE["name"].search(before) or _AFTER["name"].search(text[end : end + 24]) or _KEY.search(before) or line.strip() == text[start:end])
 
 
+def _standing(text: str, start: int, end: int) -> list[float]:
+    """Where a name-shaped span stands: called by name, shouted in a line of capitals, with words that begin no name, at the start of a sentence, beside people or things."""
+    line = text[max(text.rfind("\n", 0, start) + 1, start - 200) : min((text.find("\n", end) + 1 or len(text) + 1) - 1, end + 200)]
+    words = re.split(r"[ ,]+", text[start:end])
+    before, after = text[max(0, start - 24) : start], text[end : end + 24]
+    shouted = text[start:end].isupper() and not _KEY.search(text[max(0, start - 48) : start]) and sum(map(str.isupper, line)) > 2 * sum(map(str.islower, line)) and len(line) > 2 * (end - start)
+    return [
+        float(_called(text, start, end)), float(shouted), float(bool(_FUNCTION.fullmatch(words[0]))), float(any(_FUNCTION.fullmatch(w) for w in words[1:])),
+        float(not before.strip() or before.rstrip(" -*•(\"“„«")[-1:] in "\n.!?:;。！？："), float(bool(_PERSON.search(before))) + 2.0 * bool(_PERSON.search(after)), float(bool(_THING.search(before))),
+    ]
+
+
 def _beside(text: str, start: int, end: int) -> set[str]:
     """What a title says beside a span, in lower case: the whole rest and its parts."""
     rest = {(text[:start] + text[end:]).strip(" /:：()（）"), *re.split(r"[/:：(（)）\s]+", text[:start] + "/" + text[end:]), *re.split(r"[/:：(（)）]", text[:start] + "/" + text[end:])}
@@ -181,7 +208,7 @@ def _spans(text: str, title: bool) -> Iterator[tuple[int, int, int, int]]:
                 end -= len(text[start:end]) - len(_TOPIC_ARTICLE.sub("", text[start:end]))
             if g < 2 and " " not in text[start:end]:
                 continue
-            if g < 2 and (not title and not _called(text, start, end) or title and _ARTICLES.match(text[start:end])):
+            if g < 2 and title and _ARTICLES.match(text[start:end]):
                 continue
             yield 4, start, end, 10 + g
     if title:
@@ -210,6 +237,7 @@ def _features(text: str, kind: int, start: int, end: int, generator: int, title:
         float(bool(re.match(r"(?:19|20)\d\d[-./]\d\d", value))),
         float(len(groups[0])), float(len(groups[-1])), float(max(map(len, groups))), float(value[:1] in "0("), float(next((int(c) for c in value if c.isdecimal()), -1)),
         *(_weights(text, start, end, parts) if title and kind == 4 else _NO_WEIGHTS),
+        *(_standing(text, start, end) if kind == 4 else _NO_STANDING),
     ]
 
 
@@ -218,7 +246,8 @@ def candidates(text: str, title: bool = False, parts: Parts = {}) -> tuple[list[
     for kind, start, end, generator in _spans(text, title):
         if end > start:
             spans.append((kind, start, end))
-            rows.append(_features(text, kind, start, end, generator, title, parts))
+            inside = any(k != kind and s <= start and end <= e for k, s, e in spans)  # part of a street or number
+            rows.append([*_features(text, kind, start, end, generator, title, parts), float(inside and kind == 4)])
     return spans, rows
 
 

@@ -9,11 +9,11 @@ _PARTS = ("ba", "bel", "cor", "dan", "del", "fa", "gor", "hel", "is", "jo", "ka"
 _HAN = "王李陳林柏柳霍雷江夏文安若雨晴明哲宇瑞芸希澄遠禾"
 #: Phrasings by kind; ``{}`` is the value.
 PHRASES = {
-    "email": ("Contact: {}", "You can reach me at {}.", "cc {} on the reply.", "Send it to {} please.", "my mail ({}) bounced again", "Mi correo es {}.", "Bitte an {} schicken.", "Mon adresse est {}.", "我的信箱是{}。", "メールは{}です。", "Моя почта: {}.", '{{"mail": "{}", "n": 3}}', "Meu e-mail é {}."),
-    "phone": ("Phone: {}", "My cell is {}.", "Call me on {} after lunch.", "text {} if the link is dead", "The desk answers at {}.", "Tel.: {}", "Ruf mich unter {} an.", "Appelle-moi au {}.", "Llámame al {}.", "Me liga no {}.", "有事請打 {}。", "我的手機是{}。", "連絡先：{}", "電話番号は{}です。", "Звоните: {}", "Мой телефон {}.", '{{"mobile": "{}", "n": 3}}', '{{"tel": "{}", "n": 3}}'),
-    "id_number": ("SSN {}", "tax id on file: {}", "Passport no. {} was rejected by the form.", "The form shows {} as my national ID.", "Steuer-ID {}", "Meine Ausweisnummer lautet {}.", "Passeport n° {}", "Mon numéro de sécurité sociale est le {}.", "Mi DNI es {}.", "Pasaporte n.º {}", "Passaporte n.º {}", "CPF {}", "護照號碼：{}", "我的身分證字號是{}。", "マイナンバーは{}です。", "ИНН {}", "Мой номер паспорта {}.", '{{"national_id": "{}", "n": 3}}', '{{"ssn": "{}", "n": 3}}'),
-    "address": ("Address: {}", "Ship it to {}.", "Our new office is {}.", "the parcel went to {} instead", "I live at {}, second floor.", '{{"ship_to": "{}", "n": 3}}', '{{"addr": "{}", "n": 3}}', "Please note: {}"),
-    "name": ("My name is {}.", "{} asked about the export again.", "as {} said in the meeting, we should wait.", "Please loop in {} before the call.", "Best regards,\n{}", "Mein Name ist {}.", "{} hat schon wieder gefragt.", "Je m'appelle {}.", "{} a encore posé la question.", "Me llamo {}.", "{} volvió a preguntar.", "Meu nome é {}.", "{} perguntou de novo.", "Cordialement,\n{}", "Saludos,\n{}", "Viele Grüße\n{}", '{{"full_name": "{}", "n": 3}}', '{{"owner": "{}", "n": 3}}', "Меня зовут {}.", "{} снова спрашивает."),
+    "email": ("E-mail: {}", "Write to {} and I will answer tonight.", "Add {} to the list.", "The invite never arrived in my inbox ({}) today", "Forward this to {}, thanks.", "Mail: {}", "Schreib an {}, danke.", "Envoyez tout à {}.", "Escríbeme a {} mañana.", "郵件地址 {}", "メールアドレス：{}", "Пиши на {} вечером.", '{{"contact": "{}", "n": 3}}', "O endereço {} já não existe."),
+    "phone": ("Phone: {}", "Ring {} before nine.", "Our number has been {} since May.", "mobile {} works best", "Fax and phone {}", "Tel: {}", "Telefon {}", "Mein Handy hat die {}.", "Tél. {}", "Rappelle le {} ce soir.", "Móvil {}", "Marca el {} y pide cita.", "Telefone {}", "電話 {}", "手機：{}", "携帯は{}", "Телефон {}", "Наберите {} утром.", '{{"phone": "{}", "n": 3}}', '{{"tel": "{}", "n": 3}}'),
+    "id_number": ("SSN: {}", "Passport no. {} is valid.", "Tax no. {}", "Passport number {}", "National ID {} expires soon.", "They copied {} from my insurance card.", "tax id {}", "Steuer-ID: {}", "Reisepass {}", "Numéro fiscal {}", "Passeport n° {}", "DNI {}", "NIE: {}", "Passaporte n.º {} caducou.", "CPF: {}", "護照號碼 {}", "身分證字號 {}", "旅券番号 {}", "ИНН: {}", "Паспорт {}", '{{"passport": "{}", "n": 3}}', '{{"tax_id": "{}", "n": 3}}'),
+    "address": ("Address: {}", "We moved to {} in spring.", "Deliver everything to {} please.", "My flat at {} is for rent.", "The courier waits in front of {}.", "Anschrift: {}", "Livraison : {}", "Vivo en {} desde enero.", "Moro na {} há anos.", "Rendez-vous devant {}.", "Wir treffen uns vor {}.", "Nos mudamos a {}.", "Chegou a {} ontem.", "On habite {} depuis mai.", "Nachsendung an {}.", "Endereço: {}", "Dirección: {}", "Adresse : {}", '{{"address": "{}", "n": 3}}', '{{"addr": "{}", "n": 3}}', "Please note: {}"),
+    "name": ("Name: {}", "I spoke with {} yesterday.", "{} called twice this morning.", "Our colleague {} wrote the first draft.", "It was {} who noticed.", "Yesterday {} told me to wait.", "Can you forward it to {} today?", "We hired {} in May.", "{} joined the team.", "This is from {}, of course.", "I sat next to {} at lunch.", "Then {} left.", "Ich habe {} gestern getroffen.", "{} schrieb gestern dazu.", "Frau {} kommt später.", "Das kam von {} selbst.", "J'ai vu {} hier.", "{} pense que non.", "Madame {} arrive demain.", "Ayer vi a {} en la oficina.", "{} llamó ayer.", "La señora {} viene mañana.", "Ontem falei com {} sobre isso.", "{} ligou ontem.", "Kind regards,\n{}", "Amitiés,\n{}", "Mit Dank\n{}", "Beste Grüße\n{}", "Best Wishes\n{}", "Cordialement,\n{}", '{{"name": "{}", "n": 3}}', '{{"owner": "{}", "n": 3}}', "Вчера я видел {} в офисе.", "{} написал вчера.", "My name is {}.", "Mein Name ist {}.", "as {} said, it is late.", "{} asked about it.", "Меня зовут {}."),
 }
 #: Phrasings whose values are no personal data: ``{n}`` a number, ``{w}`` a made-up code name, ``{t}`` a topic.
 NOBODY = (
@@ -24,7 +24,8 @@ NOBODY = (
     "It took about {n3} minutes and {n2} steps.", "The date was 2023-{n2}-{n2} at 10:00.", "2024-0{n1}-1{n1} 10:00:00", '{{"rows": {n3}, "ok": true}}', "Invoice {n5}-{n4} and ticket {n5}{n4} are open.", "See {n9}{n5} in the log.", "Im {W} gab es {n3} Punkte.", "Das {W} {W} {n3}", "Version {n1}",
     "Rows {n5} {n5} {n5} were dropped.", "Halle {W} {W} ist neu.", "Nota: La {W} {W}", "KD-{n9}", "Release {n4}.{n2}.{n2}.{n4} is late.",
     "Mientras {W} siga por debajo de {n2}.", "Solange {W} unter {n2} bleibt.", "Tant que {W} reste sous {n2}.", "Entre {W} et {W}, la seconde est plus claire.", "Zwischen {W} und {W} ist die zweite klarer.", "When {W} fails, it shows.",
-    "Renommez {W} en {W}.", "Benennt {W} in {W} um.", "If {W} stays below {n2}.", "Put {W} under it.", "Ab Version {n1}.{n1} liest {W} nichts.", "Пока {W} ниже {n2}.", "Меньше {W} {W}.", "Mude o nome de {W} para {W}.", "Hier ist {W} {W} neu.", "Then {W} {W} came.", "{W} {W} is here.",
+    "Renommez {W} en {W}.", "Benennt {W} in {W} um.", "If {W} stays below {n2}.", "Put {W} under it.", "Ab Version {n1}.{n1} liest {W} nichts.", "Пока {W} ниже {n2}.", "Меньше {W} {W}.", "Mude o nome de {W} para {W}.", "Hier ist {W} {W} neu.", "Then {W} of {W} came.", "The {W} {W} is down.", "Our {W} {W} table is slow.", "Projekt {W} {W} läuft.", "Le projet {W} {W} avance.", "El modelo {W} {W} falla.",
+    "Put {W} {W} there.", "Meine {W} ist neu.", "Der {W} ist neu.", "COULD WE MOVE THE {W} NEXT WEEK?".upper().replace("{W}", "LIST"), "Without {W} nothing works.", "Si {W} baja.", "Se {W} fica.", "Если {W} ниже.", "Der Begriff {W} {W} ist neu.", "From {W} to {W}.",
 )
 TITLES = ("{} / {t}", "{t} ({})", "{t}: {}", "{} {t}")
 
@@ -52,7 +53,7 @@ def value(kind: str, r: random.Random) -> str:
         return _shaped(r, r.choice(("9##-##-####", "9########", "9## ## ####", "X########", "## ### ### ###", "?#?######", "##XX#####", "# ## ## ## ### ### ##", "########-?", "XX######", "?#########", "############", "## ## ######", "#### #### ####", "###.###.###-##")))
     if kind == "address":
         a, b, n = _word(r).title(), _word(r).title(), r.randint(1, 480)
-        return r.choice((f"{n} {a} {r.choice(('Street', 'Lane', 'Drive', 'Avenue', 'Court', 'Rd'))}", f"{n} W. {a} Blvd", f"{n} Old {a} Rd", f"{a}straße {n}", f"{a}weg {n}", f"Am Alten {a} {n}", f"{n} rue des {a}", f"{n} bis, avenue du {a} {b}", f"Calle del {a} {n}", f"Plaza del {a}, {n}", f"Rua das {a} {n}", f"Travessa da {a}, {n}"))
+        return r.choice((f"{n} {a} {r.choice(('Street', 'Lane', 'Drive', 'Avenue', 'Court', 'Rd'))}", f"{n} W. {a} Blvd", f"{n} Old {a} Rd", f"{a}straße {n}", f"{a}weg {n}", f"Am Alten {a} {n}", f"{n} rue des {a}", f"{n} bis, avenue du {a} {b}", f"Calle del {a} {n}", f"Plaza del {a}, {n}", f"Rua das {a} {n}", f"Travessa da {a}, {n}", f"{n} avenue du {a} {b}", f"{n} rue des {a} {b}", f"{n} bd de la {a}", f"{n} impasse des {a}", f"Calle del {a} {b} {n}", f"Avda. de los {a} {n}", f"Av. do {a} {b} {n}"))
     first, last = _word(r).title(), _word(r).title()
     if r.random() < 0.2:
         last += "-" + _word(r).title()
@@ -93,7 +94,11 @@ def examples(seed: int = 5) -> Iterator[tuple[str, bool, set[tuple[str, str]], d
                 tail = r.choice((" ", "\n")) + _fill(r.choice(NOBODY), r) if r.random() < 0.4 else ""
                 yield lead + phrase.format(v) + tail, False, {(kind, v)}, none
         for phrase in NOBODY:
-            yield _fill(phrase, r), False, set(), none
+            text = _fill(phrase, r)
+            yield text, False, set(), none
+            if r.random() < 0.3:
+                yield text.upper() + " " + _fill(r.choice(NOBODY), r).upper(), False, set(), none
+        yield " ".join(_word(r) for _ in range(8)).upper() + r.choice(".?:"), False, set(), none
         for phrase in ("我叫{}。", "請先聯絡{}確認。", "{}上次也問過這件事。"):
             v = "".join(r.sample(_HAN, 3))
             yield phrase.format(v), False, {("name", v)}, none
