@@ -58,6 +58,13 @@ def test_lists_and_encodings():
     assert (1, "1:2", "conversation", "1:2", "1") in rows and (1, "1:2", "message", "0", "1:2") in rows
 
 
+def test_many_encodings():
+    text = json.dumps({"id": "c", "messages": []})
+    for _ in range(11):
+        text = json.dumps(text)
+    assert flat(text) == {(1, "c", "conversation", "c", "1")}
+
+
 def test_nothing():
     assert flat("", "{}x", "nope", "null", '{"a": NaN}', "3", "[]") == set()
     assert flat(None) == set()

@@ -18,7 +18,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 FLAT_SCHEMA = "export_id bigint, conversation_key string, kind string, child_key string, parent_key string"
-MAX_ENCODINGS = 8
 
 
 def _refuse(word: str) -> None:
@@ -26,8 +25,8 @@ def _refuse(word: str) -> None:
 
 
 def decoded(value: object) -> object:
-    """A value, or what it encodes where it is JSON text of an object, a list or such a text again."""
-    for _ in range(MAX_ENCODINGS):
+    """A value, or what it encodes where it is JSON text of an object, a list or such a text again, however often: each round shortens it."""
+    while True:
         if not isinstance(value, str) or value.lstrip()[:1] not in ("{", "[", '"'):
             return value
         try:
@@ -37,7 +36,6 @@ def decoded(value: object) -> object:
         if not isinstance(inner, (dict, list, str)):
             return value
         value = inner
-    return value
 
 
 def record_of(text: str | None) -> object:
