@@ -17,9 +17,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType
 
-from threadloom.functions.zones import zone_table
+from threadloom.functions.zones import pinned, zone_data_version, zone_table
 
-MAX_LENGTH = 80
+CACHED_LENGTH = 200
 
 #: English month names; three letters suffice to tell them apart.
 MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
@@ -50,9 +50,13 @@ _NUMBER = re.compile(r"(?P<minus>-?)(?P<whole>9{1,20})(?:\.(?P<fraction>9+))?")
 _FULL = tuple(re.compile(d + "(?:" + t + _ZONES + ")") for d in _DATES for t in _TIMES) + tuple(re.compile(d) for d in _DATES)
 
 
-@functools.lru_cache(maxsize=65536)
 def parser_of(mask: str) -> dict[str, tuple[int, int]] | None:
-    """Field positions for a mask, or None where no time has that shape."""
+    """Field positions for a mask, or None where no time has that shape. Very long masks aren't kept in memory."""
+    return _parser_of(mask) if len(mask) <= CACHED_LENGTH else _parser_of.__wrapped__(mask)
+
+
+@functools.lru_cache(maxsize=65536)
+def _parser_of(mask: str) -> dict[str, tuple[int, int]] | None:
     for form in (_NUMBER, *_FULL):
         if m := form.fullmatch(mask):
             return {k: m.span(k) for k, v in m.groupdict().items() if v}
@@ -175,9 +179,15 @@ def micros_of(values: pd.Series, masks: pd.Series, zones: pd.Series, orders: pd.
     return pd.Series(out).astype("Int64").where(pd.Series(ok))
 
 
-@F.pandas_udf(LongType())
-def _micros_udf(values: pd.Series, masks: pd.Series, zones: pd.Series, orders: pd.Series) -> pd.Series:
-    return micros_of(values, masks, zones, orders)
+def _micros_udf(version: str):
+    """The conversion with the zone tables of one version, which every worker must have."""
+
+    @F.pandas_udf(LongType())
+    def run(values: pd.Series, masks: pd.Series, zones: pd.Series, orders: pd.Series) -> pd.Series:
+        pinned(version)
+        return micros_of(values, masks, zones, orders)
+
+    return run
 
 
 @F.pandas_udf(StringType())
@@ -198,10 +208,11 @@ def shape_mask(value: Column) -> Column:
 def instant_micros(value: Column, zone: Column, date_order: Column) -> Column:
     """UTC micros of a written time.
 
-    Null, blank and longer than 80 characters: null. No zone in the value: ``zone`` (UTC where that is
+    Null and blank: null. No zone in the value: ``zone`` (UTC where that is
     null or unknown). Day and month exchangeable: ``date_order`` (``dmy`` unless it says ``mdy``). Dates that don't exist,
-    hours past 23, unknown zones and words: null. More than six decimals: cut.
+    hours past 23, unknown zones and words: null. More than six decimals: cut. Zone tables are those of the driver's version; a worker
+    with another one fails.
     """
     text = F.regexp_replace(value, r"(?U)^\s+|\s+$", "")
-    fit = F.when((F.length(text) > 0) & (F.length(text) <= MAX_LENGTH), text)
-    return _micros_udf(F.coalesce(fit, F.lit("-")), shape_mask(F.coalesce(fit, F.lit("-"))), zone, date_order)
+    fit = F.when(F.length(text) > 0, text)
+    return _micros_udf(zone_data_version())(F.coalesce(fit, F.lit("-")), shape_mask(F.coalesce(fit, F.lit("-"))), zone, date_order)

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from threadloom.functions.instants import instant_micros, utc_text
+from threadloom.functions.zones import pinned, zone_data_version, zone_table
 
 
 def with_account_rules(rows: DataFrame, accounts: DataFrame) -> DataFrame:
@@ -23,7 +27,7 @@ def with_account_rules(rows: DataFrame, accounts: DataFrame) -> DataFrame:
 def stated_times(rows: DataFrame, accounts: DataFrame, places: dict[str, tuple[Column, Column]]) -> DataFrame:
     """(place, record_key, utc_text) of every value that states a valid time.
 
-    ``places`` maps a place to its key and value columns. Null, blank, invalid and overlong values give
+    ``places`` maps a place to its key and value columns. Null, blank and invalid values give
     no row; repeated rows give a row for each key; an empty table gives none. One pass over ``rows``.
     """
     structs = [
@@ -36,3 +40,22 @@ def stated_times(rows: DataFrame, accounts: DataFrame, places: dict[str, tuple[C
         "_spot.place", "_spot.record_key", instant_micros(F.col("_spot.value"), F.col("_zone"), F.col("_date_order")).alias("_micros")
     )
     return micros.where(F.col("_micros").isNotNull()).select("place", "record_key", utc_text("_micros").alias("utc_text"))
+
+
+def zone_transitions(accounts: DataFrame) -> DataFrame:
+    """(zone, version, utc_from, offset_seconds, abbreviation): the versioned transition tables of the zones of ``accounts``, as ``stated_times`` uses them.
+
+    Each zone once; null and unknown zones have no rows. What held before a zone's first change has a null ``utc_from``.
+    """
+    version = zone_data_version()
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        pinned(version)
+        for frame in frames:
+            for zone in frame["zone"]:
+                if own := zone_table(zone):
+                    since = [None, *own.changes.astype("datetime64[s]").astype("datetime64[us]").tolist()]
+                    yield pd.DataFrame({"zone": zone, "version": version, "utc_from": pd.Series(since, dtype="datetime64[us]"), "offset_seconds": own.offsets, "abbreviation": own.names})
+
+    zones = accounts.where("zone is not null").select("zone").distinct()
+    return zones.mapInPandas(run, "zone string, version string, utc_from timestamp, offset_seconds bigint, abbreviation string")

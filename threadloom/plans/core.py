@@ -9,7 +9,7 @@ from threadloom.functions.textfns import strip
 from threadloom.operators import index, markers, render
 from threadloom.operators.nested import flatten_exports
 from threadloom.operators.normalize import normalize_exports
-from threadloom.operators.times import stated_times
+from threadloom.operators.times import stated_times, zone_transitions
 from threadloom.session import table
 
 #: A lexicon in the words of the test tables; any other can be loaded from a file.
@@ -29,6 +29,11 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return said.unionByName(loads)
 
 
+def p2_zones(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The versioned transition tables that ``p2_found`` converts with."""
+    return zone_transitions(table(spark, sf_dir, "accounts"))
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flatten_exports(table(spark, sf_dir, "export_records"))
 
@@ -149,7 +154,7 @@ def grade_a_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        p2_found, p3_found, export_conversations, conv_markdown, transcripts, conversation_sizes, role_counts, safe_ids, index_current, index_head, pending_chats,
+        p2_found, p2_zones, p3_found, export_conversations, conv_markdown, transcripts, conversation_sizes, role_counts, safe_ids, index_current, index_head, pending_chats,
         finished_chats, run_stats, stats_line, clean_lists, residual_strength, verdict_markers, record_faults, script_languages, grade_a_reports, grade_a_missing,
     )
 }

@@ -1,8 +1,11 @@
-"""Session helpers: defaults for local runs and the folder shared by all executors."""
+"""Session helpers: defaults for local runs, the folder shared by all executors, tables written there."""
 
 from __future__ import annotations
 
+import atexit
+import functools
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -27,18 +30,33 @@ def local_session(cores: int | str = 8, name: str = "threadloom", partitions: in
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where the session names none (tests on one machine) a temporary folder is made and set.
+    A session on one machine that names none (tests) gets a temporary folder, removed at the end of the process; on a cluster it is an error, since no
+    folder of one machine would do.
     """
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not where:
-        where = "file://" + tempfile.mkdtemp(prefix="threadloom-")
-        spark.conf.set("spark.checkpoint.dir", where)
-    return where.rstrip("/")
+    if where:
+        return where.rstrip("/")
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+    return _own_folder()
+
+
+@functools.lru_cache(maxsize=1)
+def _own_folder() -> str:
+    folder = tempfile.mkdtemp(prefix="threadloom-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return "file://" + folder
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path below the shared folder."""
-    return f"{shared_dir(spark)}/threadloom/{name}-{uuid.uuid4().hex}"
+    """A new path below the shared folder, in the part of this application."""
+    return f"{shared_dir(spark)}/threadloom/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
+def cleared(spark: SparkSession) -> None:
+    """Remove what this application wrote below the shared folder; for when no DataFrame of it is needed any more."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/threadloom/{spark.sparkContext.applicationId}")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
