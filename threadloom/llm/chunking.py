@@ -37,11 +37,11 @@ def boundaries(text: str, message_ends: np.ndarray) -> list[np.ndarray]:
 def cut(text: str, max_chars: int, overlap: int, message_ends: np.ndarray | None = None) -> list[tuple[int, int, str]]:
     """(start, end, boundary) of each piece: none longer than ``max_chars``, each starting ``overlap`` before the last one's end.
 
-    The overlap is lowered to half the limit where it isn't smaller, so that every piece makes progress.
+    Any overlap under the limit is kept exactly; one that isn't under it could make no progress and counts as one less than the limit.
     """
     size = len(text)
     max_chars = max(1, max_chars)
-    overlap = max(0, min(overlap, max_chars // 2))
+    overlap = max(0, min(overlap, max_chars - 1))
     levels = boundaries(text, np.array([], np.int64) if message_ends is None else message_ends)
     out, start = [], 0
     while size - start > max_chars:

@@ -36,10 +36,11 @@ NAMES = {
     "ru": ("ru", "rus", "russian", "русский", "russisch"),
 }
 BUCKET_BITS, WIDTH = 15, 16
+REJECTED, MOST_REJECTION = 0.01, 0.7  # the threshold under which this share of right held-out sentences falls, and the highest it may be
 SAMPLE_PER_LANGUAGE, SAMPLE_CHARS = 150, 4000  # training: at most about so many documents a language, so many characters of each
 CHUNK_CHARS = 300_000
 MIN_LETTERS, SEGMENT_LETTERS = 8, 20  # fewer letters name no language, or no language of a segment (three times as many without a full stop: titles, items of lists)
-RESULT = "main string, confidence double, letters array<int>, segments array<struct<lang:string,confidence:double>>"
+RESULT = "main string, confidence double, letters array<int>, weights array<double>, segments array<struct<lang:string,confidence:double>>"
 
 #: Code, logs, markup with its fixed words, identifiers and addresses have no language; a blank line ends a paragraph.
 _NOISE = (
@@ -284,7 +285,7 @@ def train(texts: list[str], labels: list[int], epochs: int = 6, seed: int = 11)
     temperature = grid[int(np.argmin(losses))]
     p = _softmax(logits[test] / temperature)
     right = p.argmax(axis=1) == y[test]
-    least = float(np.clip(np.quantile(p.max(axis=1)[right], 0.01), 0.4, 0.7)) if right.any() else 0.5
+    least = float(np.clip(np.quantile(p.max(axis=1)[right], REJECTED), 2 / len(LANGUAGES), MOST_REJECTION)) if right.any() else 0.5
     return Model(scores, bias.astype(np.float32), float(temperature), least)
 
 
@@ -320,7 +321,7 @@ def analysed(texts: pd.Series, model: Model) -> pd.DataFrame:
     """Main language with its confidence, letters a language and segments (at least two, else none) of cleaned texts."""
     n = len(texts)
     letters = np.zeros((n, len(LANGUAGES)), np.int64)
-    weight = np.zeros((n, len(LANGUAGES)), np.float64)
+    weight = np.zeros((n, len(LANGUAGES)), np.float64)  # letters by the probability of each language
     segments: list[list] = [[] for _ in range(n)]
     values = texts.fillna("").tolist()
     start = 0
@@ -332,11 +333,11 @@ def analysed(texts: pd.Series, model: Model) -> pd.DataFrame:
         s = sentences_of(values[start:stop])
         p = model.confidences(s)
         lang, top = p.argmax(axis=1), p.max(axis=1)
-        named = (s.letters >= MIN_LETTERS) & (top >= min(model.least, 0.4))
+        named = (s.letters >= MIN_LETTERS) & (top >= model.least)
         rows = start + s.text
         np.add.at(letters, (rows[named], lang[named]), s.letters[named])
-        np.add.at(weight, (rows[named], lang[named]), s.letters[named] * top[named])
-        lang = np.where(named & (top >= model.least) & (s.letters >= np.where(s.ended, SEGMENT_LETTERS, 3 * SEGMENT_LETTERS)), lang, -1)
+        np.add.at(weight, rows[named], s.letters[named, None] * p[named])
+        lang = np.where(named & (s.letters >= np.where(s.ended, SEGMENT_LETTERS, 3 * SEGMENT_LETTERS)), lang, -1)
         several = np.zeros((stop - start, len(LANGUAGES)), bool)
         several[s.text[lang >= 0], lang[lang >= 0]] = True
         mixed = np.flatnonzero(several.sum(axis=1) > 1)
@@ -352,7 +353,7 @@ def analysed(texts: pd.Series, model: Model) -> pd.DataFrame:
     at = np.arange(n)
     sure = np.where(total > 0, weight[at, best] / np.maximum(1, total), 0.0)
     main = np.where(total > 0, np.array(LANGUAGES, dtype=object)[best], None)
-    return pd.DataFrame({"main": main, "confidence": sure, "letters": list(letters.astype(np.int32)), "segments": segments})
+    return pd.DataFrame({"main": main, "confidence": sure, "letters": list(letters.astype(np.int32)), "weights": list(weight), "segments": segments})
 
 
 def language_column(model: Model, text: Column) -> Column:
@@ -398,13 +399,13 @@ def analysed_messages(messages: DataFrame, model: Model) -> DataFrame:
 
 
 def conversation_languages(analysed_rows: DataFrame) -> DataFrame:
-    """(conversation_id, lang, confidence): what most of the users' text of each conversation is in, and its share of that text."""
-    sums = [F.sum(F.when(F.col("by_user"), F.col("letters")[i]).otherwise(0)).alias(f"n{i}") for i in range(len(LANGUAGES))]
+    """(conversation_id, lang, confidence): what most of the users' text of each conversation is in, and the mean probability of that, by letters."""
+    sums = [F.sum(F.when(F.col("by_user"), F.col(c)[i]).otherwise(0)).alias(f"{k}{i}") for k, c in (("n", "letters"), ("w", "weights")) for i in range(len(LANGUAGES))]
     totals = analysed_rows.where("conversation_id is not null").groupBy("conversation_id").agg(*sums)
-    best = F.array_max(F.array(*[F.struct(F.col(f"n{i}").alias("n"), F.lit(-i).alias("order"), F.lit(x).alias("lang")) for i, x in enumerate(LANGUAGES)]))
+    best = F.array_max(F.array(*[F.struct(F.col(f"n{i}").alias("n"), F.lit(-i).alias("order"), F.lit(x).alias("lang"), F.col(f"w{i}").alias("w")) for i, x in enumerate(LANGUAGES)]))
     every = sum((F.col(f"n{i}") for i in range(len(LANGUAGES))), F.lit(0))
     return totals.select("conversation_id", best.alias("best"), every.alias("every")).where("every > 0").select(
-        "conversation_id", F.col("best.lang").alias("lang"), (F.col("best.n") / F.col("every")).alias("confidence")
+        "conversation_id", F.col("best.lang").alias("lang"), (F.col("best.w") / F.col("every")).alias("confidence")
     )
 
 

@@ -4,8 +4,8 @@ Every document of a source gets the same expected number of copies. Its whole pa
 fractional parts are rounded by a pivotal process that is balanced on size: two open documents
 exchange probability so that their expected size together stays, and at each step one becomes
 certain. A partition leaves one open document a source; these residuals are combined through a
-reduction tree, so nothing is gathered in one place and the total of a source misses its goal by less than one
-document.
+reduction tree, so nothing is gathered in one place. Each block goes from its largest document to its smallest, so that the one
+left open, by which a source may miss its goal, is a small one.
 """
 
 from __future__ import annotations
@@ -63,7 +63,7 @@ def pivot(items: list[list], random: np.random.Generator) -> tuple[list[tuple[in
 
 def _round_frame(frame: pd.DataFrame, seed: int) -> pd.DataFrame:
     """Rows of one block of any sources, with ``copies`` where decided; one row a source may stay open."""
-    frame = frame.sort_values(["source", "doc_id"], kind="stable").reset_index(drop=True)
+    frame = frame.sort_values(["source", "n_tokens", "doc_id"], ascending=[True, False, True], kind="stable").reset_index(drop=True)
     copies = np.full(len(frame), -1, np.int64)
     share = frame["share"].to_numpy().copy()
     for _, rows in frame.groupby("source", sort=True).indices.items():
@@ -160,7 +160,8 @@ def mix_report(documents: DataFrame, targets: DataFrame, total_tokens: int | Non
     """One row per target source: its goal and what the mix actually holds of it.
 
     ``actual_share`` is of all tokens of the mix (0 where the mix is empty); ``met`` tells whether it is within half a
-    percent point of the target share among the sources that have tokens.
+    percent point of ``target_share``. ``goal_share`` is the target among the sources that have tokens, since the shares of those without fall to the
+    others; ``goal_met`` compares with that.
     """
     copies, plan = mixed_copies(documents, targets, total_tokens, folder)
     used = copies.groupBy("source").agg(
@@ -175,5 +176,6 @@ def mix_report(documents: DataFrame, targets: DataFrame, total_tokens: int | Non
     totals = rows.agg(F.sum("tokens").alias("_all"), F.sum(F.when(F.col("source_tokens") > 0, F.col("target_share"))).alias("_weight"))
     tokens, weight = totals.first()
     share = F.col("tokens") / F.lit(float(tokens)) if tokens else F.lit(0.0)
-    goal = F.when(F.col("source_tokens") > 0, F.col("target_share") / F.lit(weight)).otherwise(F.col("target_share"))
-    return rows.withColumns({"actual_share": share, "met": F.abs(share - goal) < 0.005})
+    goal = F.when(F.col("source_tokens") > 0, F.col("target_share") / F.lit(weight)).otherwise(0.0)
+    shares = rows.withColumns({"goal_share": goal, "actual_share": share})
+    return shares.withColumns({"met": F.abs(share - F.col("target_share")) < 0.005, "goal_met": F.abs(share - F.col("goal_share")) < 0.005})
