@@ -7,6 +7,9 @@ from dataclasses import dataclass, field
 import numpy as np
 
 
+SLOTS = 32  # of a feature, more than there are cuts
+
+
 @dataclass
 class Boosted:
     """Trees as arrays (feature, threshold, left value or child...) of fixed depth; scores add up."""
@@ -27,33 +30,34 @@ class Boosted:
         p = np.clip(yt.mean(), 0.01, 0.99)
         self.base = float(np.log(p / (1 - p)))
         cuts = [np.unique(np.quantile(xt[:, j], np.linspace(0, 1, 25)))[:-1] for j in range(x.shape[1])]
+        slots = np.stack([np.searchsorted(c, xt[:, j]) for j, c in enumerate(cuts)], axis=1) + np.arange(len(cuts)) * SLOTS
         score = np.full(len(yt), self.base)
         for _ in range(self.rounds):
             q = 1 / (1 + np.exp(-score))
-            tree = self._grow(xt, q - yt, q * (1 - q), cuts)
+            tree = self._grow(xt, slots, q - yt, q * (1 - q), cuts)
             self.trees.append(tree)
             score += self._walk(tree, xt)
         self._calibrate(self.raw(x[held]) if held.any() else score, y[held].astype(float) if held.any() else yt)
         return self
 
-    def _grow(self, x: np.ndarray, g: np.ndarray, h: np.ndarray, cuts: list[np.ndarray]) -> tuple:
+    def _grow(self, x: np.ndarray, slots: np.ndarray, g: np.ndarray, h: np.ndarray, cuts: list[np.ndarray]) -> tuple:
+        """A tree on rows whose features are cut into ``slots``; the sums of all features of a node come from one count."""
         inner = 2**self.depth - 1
         feature, threshold = np.zeros(inner, np.int64), np.full(inner, np.inf)
         node = np.zeros(len(x), np.int64)
         for at in range(inner):
             rows = np.flatnonzero(node == at)
             if len(rows) >= 10:
-                total_g, total_h, best = g[rows].sum(), h[rows].sum(), 1e-6
+                total_g, total_h = g[rows].sum(), h[rows].sum()
+                own, n = slots[rows].ravel(), len(cuts)
+                lg = np.bincount(own, np.repeat(g[rows], n), n * SLOTS).reshape(n, SLOTS).cumsum(axis=1)
+                lh = np.bincount(own, np.repeat(h[rows], n), n * SLOTS).reshape(n, SLOTS).cumsum(axis=1)
+                gain = lg**2 / (lh + 1) + (total_g - lg) ** 2 / (total_h - lh + 1) - total_g**2 / (total_h + 1)
                 for j, c in enumerate(cuts):
-                    if not len(c):
-                        continue
-                    slot = np.searchsorted(c, x[rows, j])
-                    lg = np.cumsum(np.bincount(slot, g[rows], len(c) + 1))[:-1]
-                    lh = np.cumsum(np.bincount(slot, h[rows], len(c) + 1))[:-1]
-                    gain = lg**2 / (lh + 1) + (total_g - lg) ** 2 / (total_h - lh + 1) - total_g**2 / (total_h + 1)
-                    k = int(gain.argmax())
-                    if gain[k] > best:
-                        best, feature[at], threshold[at] = gain[k], j, c[k]
+                    gain[j, len(c) :] = -1.0
+                j, k = divmod(int(gain.argmax()), SLOTS)
+                if gain[j, k] > 1e-6:
+                    feature[at], threshold[at] = j, cuts[j][k]
             node[rows] = 2 * at + 1 + (x[rows, feature[at]] > threshold[at])
         leaf = node - inner
         size = 2**self.depth

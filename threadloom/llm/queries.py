@@ -10,7 +10,7 @@ from threadloom.llm.langid import fitted, language_cases
 from threadloom.llm.lookalike import look_alike_pairs
 from threadloom.llm.mixing import mix_report, mixed_copies
 from threadloom.llm.pairs import defective_pairs
-from threadloom.llm.pii import personal_data
+from threadloom.llm.pii import personal_data, redacted_texts
 from threadloom.llm.tokens import token_ids
 from threadloom.session import table
 
@@ -31,13 +31,13 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each value with its place in the text, and the text with placeholders."""
-    return personal_data(table(spark, sf_dir, "message_rows"), table(spark, sf_dir, "chats"))
+    """Each text that holds personal data, with placeholders."""
+    return redacted_texts(table(spark, sf_dir, "message_rows"), table(spark, sf_dir, "chats"))
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     columns = ["place", "record_key", "kind", "found_text"]
-    return p5_redacted(spark, sf_dir).where("first").select(columns)
+    return personal_data(table(spark, sf_dir, "message_rows"), table(spark, sf_dir, "chats")).where("first").select(columns)
 
 
 def p6_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
