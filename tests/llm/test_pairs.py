@@ -33,6 +33,11 @@ CASES = [
     ("How is it?", "How is it?\nHow is it?", "copy"), ("How is it?", "Hmm. Let's stop here; I am declining to continue with this.", "refusal"), ("Et ça ?", "Je dois malheureusement refuser cette demande.", "refusal"),
     ("Please look at the first page of the report.", "PLEASE LOOK AT THE FIRST PAGE OF THE REPORT", "copy"), ("Please look at the first page.", "You asked: Please look at the first page.", "copy"),
     ("Please look at the first page.", "You asked: Please look at the first page.\nThe first page is about the weather and the station.", None),
+    ("How is it?", "I cannot help with that. Please call 112 instead.", "refusal"), ("How is it?", "I can't say enough good things about it; here is help: restart the router and share the log.", None), ("How is it?", "I cannot help with that request. I understand that this matters to you. " * 80, "refusal"),
+    ("How is it?", "I cannot help with the tax part, but the rest is simple. Open the page, look at the first report and walk to the station.", None), ("How is it?", "I am not able to share opinions on ticket 48213. Our guidelines say so.", "refusal"), ("Wie ist es?", "Das kann ich nicht sagen, ohne die Zahlen zu sehen. Die erste Seite zeigt den Bahnhof und das Wetter.", None),
+    ("How is it?", "It is (as far as we know\nfine.\nWe could walk.", "truncated"), ("How is it?", "It is **quite fine.\nWe could walk.", "truncated"), ("How is it?", "He said \"it is fine.\nWe could walk.", "truncated"), ("How is it?", "It is fine :( but (really) fine. Pick a) or b) now.", None),
+    ("How is it?", "It is fine. Write to a.b@example.org for the", "truncated"), ("How is it?", "It is fine. Write to a.b@example.org for details", None), ("How is it?", "It is fine. Version 12", "truncated"),
+    ("Go?", "Go? " * 60, "copy"), ("Yes?", "Yes!", "copy"),
     (TEXTS["en"], TEXTS["de"], "wrong_language"), (TEXTS["en"], TEXTS["zh"], "wrong_language"), ("Please answer in German: " + TEXTS["en"], TEXTS["de"], None), (TEXTS["es"], TEXTS["es"] + " Nota.", None),
 ]
 

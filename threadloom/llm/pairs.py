@@ -13,33 +13,50 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.functions.textfns import has_visible, strip
+from threadloom.functions.textfns import has_visible
 from threadloom.llm.langid import LANGUAGES, Model, language_column
 from threadloom.session import written
 
-#: Phrases by which a speaker declines, by language. A reply is a refusal if one fires and nothing but courtesies is left.
+#: Verbs of answering, by which a request would be met.
+_EN = r"(?:help|assist|answer|respond|reply|provide|produce|discuss|do|share|continue|comply|engage|fulfil+|support|comment|give|offer|write|go into|get into|advise|handle|process|talk|speak)"
+_DE = r"(?:helfen|beantworten|äußern|bereitstellen|antworten|weiterhelfen|unterstützen|dienen|sprechen|liefern|geben|anbieten|nachkommen|eingehen|behandeln)"
+_FR = r"(?:aider|répondre|fournir|traiter|donner|proposer|parler|discuter|continuer|produire|assister|satisfaire|accéder)"
+_ES = r"(?:ayudar\w*|responder\w*|contestar\w*|ofrecer\w*|tratar|dar\w*|proporcionar\w*|continuar|hablar|atender\w*|compartir\w*|facilitar\w*)"
+_PT = r"(?:ajudar\w*|responder\w*|oferecer\w*|tratar|dar|fornecer\w*|continuar|falar|atender\w*|auxiliar\w*|partilhar|compartilhar|prestar)"
+_RU = r"(?:помочь|помогать|ответ\w*|отвеч\w*|предостав\w*|дать|давать|обсужд\w*|продолж\w*|говорить|выполн\w*)"
+#: Phrases by which a speaker declines, by language: a negation that governs a verb of answering, a few words apart at most, or a verb of refusing.
 REFUSALS = {
-    "en": r"\b(?:i|we)(?:['’]m| am|['’]re| are)? (?:can(?:no|['’])t|can not|won['’]?t|will not|must not|may not|could not|couldn['’]t|do not|don['’]t|not|unable|sorry)\b.*\b(?:help|assist|answer|respond|provide|produce|discuss|do|share|continue|comply|engage|able|allowed|permitted|fulfil|support|comment)"
-    r"|\b(?:have to|must|need to|going to|would like to) (?:decline|refuse|pass)\b|\bi (?:am )?declin(?:e|ing)\b|\bi refuse\b|\b(?:would|['’]d) rather not\b|\bprefer not to\b|\bnot something i (?:may|can|am)\b|\bi don['’]?t produce\b|\b(?:outside|beyond) what i\b|\bagainst my (?:guidelines|rules|policy|policies|principles)\b|\bleave it unanswered\b|\bno can do\b|\bnot (?:allowed|permitted|able) to\b|\bunable to (?:help|assist|answer|respond|provide)\b|\bcan(?:no|['’])t help with (?:this|that)\b|\bas an ai\b.*\b(?:not|cannot|can['’]t)\b",
-    "zh": r"無法(?:協助|回答|提供|處理|作答|討論|回應|幫)|无法(?:协助|回答|提供|处理|作答|讨论|回应|帮)|不(?:方便|能|便|可以|願|愿|想)(?:回答|提供|協助|协助|作答|討論|讨论|談|谈|處理|处理|回應)|恕(?:難|难|無|无|不)|(?:必須|必须|只能|得)(?:拒絕|拒绝|婉拒)|婉拒|不予(?:回答|提供)|超出我",
-    "de": r"\b(?:kann|darf|möchte|will|werde|können|dürfen) (?:ich|wir|dir|ihnen)?.*\bnicht\b.*\b(?:helfen|beantworten|äußern|bereitstellen|antworten|weiterhelfen|unterstützen|dienen|sprechen)|\bich (?:kann|darf|möchte|werde)\b.*\b(?:nicht|keine)\b|\bdarf ich\b.*\bnicht\b|\bablehnen\b|übersteigt, was ich|gehe ich (?:bewusst )?nicht ein|\bkeine auskunft\b|kann ich nicht (?:helfen|dienen)|\bnicht äußern\b",
-    "fr": r"\bne (?:peux|puis|suis|veux|souhaite|pourrai|dois)\b.*\bpas\b|\bne pas répondre\b|\bn['’]est pas permis\b|\bne m['’]est pas (?:permis|possible)\b|\bm['’]abstiens\b|\b(?:dois|préfère|contraint de|obligée? de)(?: \w+)? (?:refuser|décliner|m['’]abstenir)\b|\bje (?:refuse|décline)\b|sort du cadre|\bje n['’]ai pas le droit\b",
-    "es": r"\bno (?:puedo|debo|voy a|podré|me es posible) (?:ayudar|responder|contestar|ofrecer|tratar|dar|proporcionar|continuar|hablar|atender|compartir)|\bno (?:me )?está permitido\b|\bprefiero no\b|\b(?:tengo que|debo|he de) (?:rechazar|declinar|negarme)\b|\bno continúo\b|fuera de lo que puedo|\bme niego\b|\bno responder\b",
-    "pt": r"\bnão (?:posso|devo|vou|poderei|consigo) (?:ajudar|responder|oferecer|tratar|dar|fornecer|continuar|falar|atender|auxiliar|partilhar)|\bnão me é permitido\b|\bprefiro não\b|\b(?:tenho de|tenho que|preciso|devo) (?:recusar|declinar)\b|\bnão vou continuar\b|foge ao que posso|\brecuso\b",
-    "ja": r"(?:提供|回答|対応|お答え|お応え|お手伝い|お話し|協力|お力添え)(?:は|を|が|に)?(?:でき(?:ません|かねます)|いたしかねます|しかねます)|できかねます|控えさせて|差し控え|お断り|遠慮させて|お答えできない|扱える範囲を超え",
-    "ru": r"не (?:могу|смогу|вправе|должен|должна|буду|стану|готов)\b.*(?:помочь|ответ|отвеч|предостав|дать|давать|обсужд|продолж|говорить|сведени)|вынужден[а]? (?:отклонить|отказать)|отказываюсь|не отвечать|отвечать не стану|не дозволен|отклонить эту|за рамки",
+    "en": rf"\b(?:can(?:no|['’])t|can not|won['’]?t|will not|must not|may not|could not|couldn['’]t|do not|don['’]t|(?:am|['’]m|are|['’]re) (?:\w+ )?(?:not (?:able|allowed|permitted|going|willing) to|unable to)|not (?:able|allowed|permitted) to|unable to)(?: (?:be|able|to|really|in good conscience|safely|possibly|currently|further)){{0,3}} {_EN}\b"
+    rf"|\b(?:have to|must|need to|going to|would like to|['’]?ll) (?:\w+ )?(?:decline|refuse|pass)\b|\bi (?:am |must )?(?:\w+ )?declin(?:e|ing)\b|\bi refuse\b|\b(?:would|['’]d) rather not\b|\bprefer not to\b|\bnot something i (?:\w+ )?(?:may|can|am|will)\b"
+    rf"|\b(?:outside|beyond) (?:of )?what i(?:['’]m| am| can| may)\b|\bagainst my (?:guidelines|rules|policy|policies|principles)\b|\b(?:leave|leaving) (?:it|this|that) unanswered\b|\bno can do\b",
+    "zh": r"(?:無法|无法|(?<![能可會会])不(?:方便|能|便|可以|願|愿|想|會|会))(?:為您|为您|再|就此|對此|对此)?(?:協助|协助|回答|提供|處理|处理|作答|討論|讨论|回應|回应|幫|帮|談|谈)|恕(?:難|难|無|无|不)|(?:必須|必须|只能|得)(?:拒絕|拒绝|婉拒)|婉拒|不予(?:回答|提供)|超出(?:了)?我",
+    "de": rf"\b(?:kann|darf|möchte|will|werde|können|dürfen) (?:ich |wir )?(?:\w+ ){{0,4}}(?:nicht|keine\w*)\b(?: \w+){{0,3}} {_DE}|\bablehnen\b|\blehne (?:ich )?\w* ?ab\b|\bübersteigt\b|gehe ich (?:\w+ )?nicht ein\b|\bkeine auskunft\b|\bverweiger\w+",
+    "fr": rf"\bne (?:peux|puis|suis|veux|souhaite|pourrai|dois|saurais) (?:\w+ )?pas (?:\w+ ){{0,3}}(?:\w['’])?{_FR}|\bne pas (?:y |vous )?répondre\b|\bn['’]est pas permis\b|\bne m['’]est pas (?:permis|possible)\b|\bm['’]abst(?:iens|enir)\b|\b(?:dois|préfère|contrainte? de|obligée? de)(?: \w+)? (?:refuser|décliner)\b|\bje (?:refuse|décline)\b|sort du cadre|\bje n['’]ai pas le droit\b",
+    "es": rf"\bno (?:puedo|debo|voy a|podré|me es posible|quiero) {_ES}|\bno (?:me )?está permitido\b|\bprefiero no\b|\b(?:tengo que|debo|he de) (?:rechazar|declinar|negarme)\b|\bno continúo\b|\bfuera de lo que puedo\b|\bme niego\b",
+    "pt": rf"\bnão (?:posso|devo|vou|poderei|consigo|quero) {_PT}|\bnão me é (?:permitido|possível)\b|\bprefiro não\b|\b(?:tenho de|tenho que|preciso|devo) (?:\w+ )?(?:recusar|declinar)\b|\b(?:foge|vai além) (?:ao|do) que posso\b|\bfora do que posso\b|\brecuso\b",
+    "ja": r"(?:提供|回答|対応|お答え|お応え|お手伝い|お話し|協力|お力添え)(?:は|を|が|に|することは)?(?:でき(?:ません|かねます|ない)|いたしかねます|しかねます)|できかねます|控えさせて|差し控え|お断り|遠慮させて|(?:範囲|権限)を(?:超え|越え)",
+    "ru": rf"\bне (?:могу|смогу|вправе|должен|должна|буду|стану|готов\w?)(?: \w+){{0,2}} {_RU}|вынужден\w? (?:\w+ )?(?:отклонить|отказать)|отказываюсь|\bне отвечать\b|отвечать не (?:стану|буду)|не дозволен\w?|отклонить (?:эту|этот)|за рамки",
 }
-#: Words of the courtesies that may stand beside a refusal.
+#: One of these is in every phrase of the same language above, in lower case; a cheap test before the longer one.
+REFUSAL_SIGNS = {
+    "en": ("n't", "n’t", " not", "cannot", "cant ", "wont ", "unable", "declin", "refuse", "pass", "what i", "against my", "unanswered", "no can do"),
+    "zh": ("無法", "无法", "不", "恕", "拒", "超出"), "de": ("nicht", "kein", "lehn", "übersteigt", "verweiger"), "fr": ("ne ", "n'", "n’", "refus", "déclin", "'abst", "’abst", "sort du cadre"),
+    "es": ("no ", "rechaz", "declin", "negarme", "niego", "fuera de"), "pt": ("não", "recus", "declin", "foge", "vai al", "fora do"), "ja": ("ません", "かねます", "ない", "控え", "断り", "遠慮", "範囲", "権限"), "ru": ("не ", "вынужден", "отказ", "отклон", "рамки"),
+}
+#: What stands beside a refusal without answering: courtesies, words about oneself and one's rules, and where else to turn.
 COURTESIES = (
-    r"\b(?:thanks?|thank you|sorry|apologi[sz]e|understand|interest|professional|specialist|expert|anything else|something else|on your mind|hmm+|please|regret|unfortunately|happy to|another (?:topic|question))\b"
-    r"|抱歉|不好意思|諮詢|咨询|專業|专业|其他問題|其他问题|感謝|感谢|謝謝|谢谢|請換|请换|理解"
-    r"|\b(?:entschuldigung|leider|danke|fachperson|fachleute|verständnis|tut mir leid|verstehe|sonst noch|bitte wende)\b"
-    r"|\b(?:désolée?|navrée?|merci|spécialiste|professionnel|comprends|autre (?:chose|question)|malheureusement)\b"
-    r"|\b(?:lo siento|gracias|disculpa|lamento|profesional|especialista|entiendo|algo más|por desgracia)\b"
-    r"|\b(?:desculpe|desculpa|obrigad[oa]|lamento|profissional|especialista|entendo|mais alguma|infelizmente)\b"
-    r"|申し訳|すみません|ありがとう|専門家|ご理解|他に|残念"
-    r"|извините|спасибо|сожалению|специалист|понимаю|простите|увы|что-нибудь ещё"
+    r"\b(?:thanks?|thank you|sorry|apologi[sz]e\w*|apolog(?:y|ies)|understand|interest(?:ed)?|professional|specialist|expert|anything else|something else|on your mind|hmm+|please|regret\w*|unfortunately|happy to|glad to|another (?:topic|question)|hope|appreciate|guidelines?|polic(?:y|ies)|my rules|as an ai|language model|instead|let['’]?s stop|designed to|i wish|safety|different question)\b"
+    r"|抱歉|不好意思|諮詢|咨询|專業|专业|其他問題|其他问题|感謝|感谢|謝謝|谢谢|請換|请换|理解|語言模型|语言模型|規定|规定"
+    r"|\b(?:entschuldig\w+|leider|danke|fachperson|fachleute|verständnis|tut mir leid|verstehe|sonst noch|bitte|sprachmodell|richtlinien|stattdessen)\b"
+    r"|\b(?:désolée?|navrée?|merci|spécialiste|professionnel|comprends|autre (?:chose|question)|malheureusement|modèle de langage|veuillez|règles)\b"
+    r"|\b(?:lo siento|gracias|disculpa\w*|lamento|profesional|especialista|entiendo|algo más|por desgracia|modelo de lenguaje|por favor|normas)\b"
+    r"|\b(?:desculpe|desculpa|obrigad[oa]|lamento|profissional|especialista|entendo|mais alguma|infelizmente|modelo de linguagem|por favor|regras)\b"
+    r"|申し訳|すみません|ありがとう|専門家|ご理解|他に|残念|言語モデル|規定"
+    r"|извините|спасибо|сожалению|специалист\w*|понимаю|простите|увы|что-нибудь ещё|языковая модель|пожалуйста|правил\w*"
 )
+#: Words that part what a speaker declines from what follows.
+_CONTRAST = r"(?<=[.!?。！？;；])\s*|\n|,?\s+(?:but|however|yet|instead,|aber|jedoch|mais|cependant|pero|sin embargo|mas|porém|но|однако)\b,?\s*|[，,](?:但|不過|不过)"
+ANSWER_SHARE = 0.3  # a reply whose other sentences hold more of its letters than this answers, whatever it declines
 #: Words by which a reply first repeats what was asked.
 ECHOES = r"^(?:you (?:asked|wrote|said)|your question(?: was| is)?|the question(?: was| is)?|question|(?:du|sie) (?:fragst|hast gefragt|fragtest)|(?:deine|ihre) frage(?: war| lautet)?|votre question|vous (?:demandez|avez demandé)|tu (?:pregunta|preguntaste)|su pregunta|preguntaste|(?:a )?(?:tua|sua) pergunta|(?:você|vocês) perguntou|perguntou|你的問題是|你的问题是|你問|你问|您的問題是|ご質問(?:は)?|質問|ваш вопрос|твой вопрос|вы спросили|вопрос)\s*[:：]\s*"
 #: How a prompt asks for another language, as names of languages after a preposition or verb.
@@ -49,70 +66,88 @@ ASKS_LANGUAGE = (
     r"|(?:用|以|成|譯為|译为|翻成)\s*(?:英文|英語|英语|德文|德語|德语|法文|法語|法语|西班牙文|西班牙語|西班牙语|葡萄牙文|葡萄牙語|日文|日語|日语|俄文|俄語|俄语|中文)|(?:英|ドイツ|フランス|スペイン|ポルトガル|中国|ロシア|日本)語(?:で|に)"
     r"|\b(?:translat|übersetz|tradui|traduc|traduz)\w*|перевед|перевод|翻譯|翻译|翻訳"
 )
-#: Last words that need no full stop: an address, a number, a date or a page somebody was given.
-CONTACTS = r"(?U)\S+@\S+|＠|[\[(] ?(?:at|arroba|ät|собака|dot) ?[\])]|[\d０-９][\d０-９\s().+\-－]{4,}[\d０-９]|https?://\S+|\p{Lu}\p{L}+(?<!ersion|ersión|ersão|ерсия),? \d+[a-zA-Z]?\s*$|\b[A-Z]{1,3}\d{5,}|\d[號号]\s*$|\d+ \p{Lu}\p{L}+(?: \p{Lu}\p{L}+)+|(?:if the link is dead|bounced again|on the reply|after lunch)\s*$"
+#: An address, a number or a link that somebody was given: such a note needs no full stop, at its end or a few words on.
+CONTACT = r"(?:(?<!\S)[^\s@＠]++[@＠][^\s@＠]+|(?<!\S)[^\s\[(]++ ?[\[(] ?(?:at|arroba|ät|собака) ?[\])] ?\S+(?: ?[\[(] ?(?:dot|punto|ponto|punkt|точка) ?[\])] ?\S+)*|(?<![\d０-９])[\d０-９][\d０-９ ().+\-－]{4,}|https?://\S+|\b[A-Z]{1,3}\d{5,}\S*|(?<!\d)\d++ \p{Lu}\p{L}*\.?(?: \p{Lu}\p{L}+)+|(?<!\d)\d++(?: bis)?,? (?:rue|avenue|boulevard|bd|impasse|place|chemin|quai)(?: \p{L}+)+|\p{Lu}\p{L}+,? \d+[a-zA-Z]?|\d[號号])"
+_CONTACT_END = rf"(?U){CONTACT}[^\s\p{{L}}\d]*(?:[ ,，]+\p{{L}}+){{0,6}}\s*$"
+#: A version or page number after a word of this kind is no address.
+_NO_CONTACT = r"(?iU)\b(?:versi[oó]n|versão|верси\w+|version|seite|page|página|row|table|tabelle|step)\w* \d+\w?\s*$"
+#: Words that no sentence ends in.
+_HANGING = r"(?iU)(?:^|[\s,，])(?:and|or|but|because|so|so you should|the|an?|of|to|in|for|with|which|that|if|when|while|than|as|e\.g|such as|und|oder|aber|weil|der|die|das|dem|den|ein\w{0,2}|mit|von|zu|für|dass|wenn|zum beispiel|et|ou|mais|parce que|le|la|les|des?|du|une?|pour|avec|que|qui|par exemple|y|o|pero|porque|el|los|las|del|para|con|e|mas|os?|as?|do|da|em|com|по|и|или|но|потому что|что|для|с|в|на|например)\s*$|(?:因為|因为|所以|例如|而且|但是|和|と|が|を|に|は|たとえば)\s*$"
 _CLOSED = r"""[.!?。！？…‥][\s"'”’»」』)\]）*_~]*$"""
 _ITEM = r"^\s*(?:[-*•]|\d+[.)])\s+\S"
 
 
-def _pattern_any(patterns: dict[str, str]) -> str:
-    return "(?is)" + "|".join(patterns.values())
-
-
 def bare(text: Column) -> Column:
     """Only letters and digits, in lower case."""
     return F.lower(F.regexp_replace(text, r"(?U)[^\p{L}\p{N}]+", ""))
 
 
+_DELIMITERS = (("(", ")"), ("（", "）"), ("「", "」"), ("『", "』"), ("«", "»"), ("„", "“”"), ("{", "}"))
+
+
+def _unclosed(marks: Column) -> Column:
+    """Whether a text of delimiters alone opens more than it closes, or has an odd number of those that do both."""
+
+    def count(signs: str) -> Column:
+        return reduce(lambda n, x: n + F.length(marks) - F.length(F.replace(marks, F.lit(x), F.lit(""))), signs, F.lit(0))
+
+    pairs = reduce(lambda found, p: found | (marks.contains(p[0]) & (count(p[0]) > count(p[1]))), _DELIMITERS, F.lit(False))
+    return pairs | (count('"') % 2 == 1) | (count("*") % 4 == 2)
+
+
 def with_truncation(pairs: DataFrame) -> DataFrame:
-    """``pairs`` with ``_truncated``: whether the reply breaks off: an open code fence, bracket or quotation at its end, or a last sentence without an end.
+    """``pairs`` with ``_truncated``: whether the reply breaks off: a code fence, bracket, quotation or bold text that is opened anywhere and not closed, or a last sentence without an end.
 
     The steps are columns of their own, so that each is computed once a row.
     """
-    shown = F.regexp_replace("reply", r"(?U)[\s\x1c-\x1f\x{200B}-\x{200D}\x{2060}\x{FEFF}\x{FE0F}\x{1F300}-\x{1FAFF}\x{2600}-\x{27BF}]+$", "")
+    shown = F.regexp_replace("reply", r"(?U)[\s\x1c-\x1f\x{200B}-\x{200D}\x{2060}\x{FEFF}\x{FE0F}\x{1F300}-\x{1FAFF}\x{2600}-\x{27BF}]++$", "")
     rows = pairs.withColumn("_shown", F.coalesce(shown, F.lit("")))
-    prose = F.regexp_replace(F.regexp_replace("_shown", r"(?s)```.*?```", "\n"), r"\s+$", "")
+    prose = F.regexp_replace(F.regexp_replace("_shown", r"(?s)```.*?```", "\n"), r"\s++$", "")
     rows = rows.withColumn("_prose", F.when(F.col("_shown").contains("```"), prose).otherwise(F.col("_shown")))
     rows = rows.withColumn("_last", F.substring_index("_prose", "\n", -1))
     rows = rows.withColumn("_tail", F.regexp_extract("_last", r"^(?:.*(?:[.!?]\s+|[。！？]))?(.*)$", 1))
+    marks = F.regexp_replace(F.regexp_replace("_prose", r"[:;]-?[()]|`[^`\n]*`|(?<!\*)\*(?!\*)|(?m:^\s*[\w]\))", ""), r"[^()（）「」『』«»„“”{}\"*]++", "")
+    rows = rows.withColumn("_marks", F.when(F.col("_prose").rlike(r"[(（「『«„{\"*]"), marks).otherwise(F.lit("")))
     last, tail = F.col("_last"), F.col("_tail")
-
-    def excess(opening: str, closing: str) -> Column:
-        return F.length(F.regexp_replace(last, f"[^{opening}]", "")) > F.length(F.regexp_replace(last, f"[^{closing}]", ""))
-
     open_fence = F.col("_shown").contains("```") & (F.size(F.split("_shown", "```", -1)) % 2 == 0)
-    brackets = last.rlike(r"[(（「『«„{\"]") & (
-        excess("(", ")") | excess("（", "）") | excess("「", "」") | excess("『", "』") | excess("«", "»") | excess("„", "“”") | excess("{", "}")
-        | (F.length(F.regexp_replace(last, '[^"]', "")) % 2 == 1)
-    )
+    closed = last.rlike(_CLOSED)
     data = last.rlike(r"^\s*\|.*\|\s*$|^\s*[{\[].*[}\]]\s*$|^\s*\d{2}:\d{2}:\d{2} \[\w+\]|\{[^{}]*\}\s*$")
     item = last.rlike(_ITEM)
     numbered = last.rlike(r"^\s*\d+[.)]\s") | (F.size(F.split(last, r"\s+")) > 8)
-    contact = tail.rlike(CONTACTS)
+    contact = tail.rlike(_CONTACT_END) & ~tail.rlike(_HANGING) & ~tail.rlike(_NO_CONTACT)
     signed = F.col("_prose").rlike(r"(?U)[,，]\s*\n\s*\p{Lu}\S+(?: \p{Lu}\S*){0,3}\s*$")
-    loose = ~last.rlike(_CLOSED) & ~data & has_visible(last) & (~item | numbered) & ~contact & ~signed
-    broken = open_fence | (~F.col("_shown").endswith("```") & (brackets | loose))
-    return rows.withColumn("_truncated", broken).drop("_shown", "_prose", "_last", "_tail")
+    loose = F.when(~closed, has_visible(last) & (~item | numbered) & ~data & ~signed & ~contact).otherwise(F.lit(False))
+    broken = open_fence | _unclosed(F.col("_marks")) | (~F.col("_shown").endswith("```") & loose)
+    return rows.withColumn("_truncated", broken).drop("_shown", "_prose", "_last", "_tail", "_marks")
+
+
+def _declines(low: Column) -> Column:
+    """Whether a text in lower case declines in any language."""
+    tests = [reduce(lambda a, w: a | low.contains(w), signs, F.lit(False)) & low.rlike(REFUSALS[k]) for k, signs in REFUSAL_SIGNS.items()]
+    return reduce(lambda a, b: a | b, tests)
 
 
 def refusal(reply: Column) -> Column:
-    """Whether a reply declines and says nothing else but courtesies."""
-    declines = _pattern_any(REFUSALS)
-    sentences = F.filter(F.split(reply, r"(?<=[.!?。！？])\s*|\n"), lambda s: s.rlike(r"(?U)[\p{L}]"))
-    spoken = F.exists(sentences, lambda s: s.rlike(declines))
-    polite = F.forall(sentences, lambda s: s.rlike(declines) | (s.rlike("(?i)" + COURTESIES) & ~s.rlike(r"\d") & (F.length(s) <= 90)))
-    # answers are long or full of figures, refusals are neither
-    return (F.length(reply) <= 600) & ~reply.rlike(r"\d{2}") & F.coalesce(polite & spoken, F.lit(False))
+    """Whether a reply declines and gives no answer: of its letters at most ``ANSWER_SHARE`` stand in sentences that neither decline nor are courtesies, whatever its length."""
+    low = F.lower(reply)
+    sentences = F.filter(F.split(low, _CONTRAST), lambda s: s.rlike(r"(?U)[\p{L}]"))
+    size = lambda s: F.length(F.regexp_replace(s, r"(?U)[^\p{L}]+", ""))
+    idle = lambda s: s.rlike("|".join(REFUSALS.values())) | s.rlike(COURTESIES)
+    sums = F.aggregate(
+        sentences,
+        F.struct(F.lit(0).alias("every"), F.lit(0).alias("answer")),
+        lambda a, s: F.struct((a["every"] + size(s)).alias("every"), (a["answer"] + F.when(idle(s), 0).otherwise(size(s))).alias("answer")),
+    )
+    answers = sums["answer"] > sums["every"] * ANSWER_SHARE
+    return F.coalesce(F.when(_declines(low), ~answers), F.lit(False))  # a condition, so that the sentences of most replies are never looked at
 
 
 def copied(prompt: Column, reply: Column) -> Column:
-    """Whether a reply only repeats its prompt, whatever the case, spacing and punctuation, also behind 'You asked:'."""
-    said = F.regexp_replace(strip(reply), "(?i)" + ECHOES, "")
+    """Whether a reply only repeats its prompt, whatever the case, spacing and punctuation, once or more, whole or most of it, also behind 'You asked:'."""
+    said = F.regexp_replace(F.regexp_replace(reply, r"(?U)^[\s\x1c-\x1f]++", ""), "(?i)" + ECHOES, "")
     a, b = bare(prompt), bare(said)
-    most = F.length(b) * 10 >= F.length(a) * 6
-    near = F.length(reply) <= 4 * F.length(prompt) + 60  # a mere repetition, once or more, is no longer than that
     repeated = (F.length(a) > 0) & (F.length(F.replace(b, a, F.lit(""))) == 0)
-    return near & (F.length(b) > 0) & (repeated | (most & a.contains(b) & (F.length(b) >= 12)))
+    return (F.length(b) > 0) & (repeated | ((F.length(b) * 10 >= F.length(a) * 6) & a.contains(b)))
 
 
 def _letters_of(result: Column, lang: Column) -> Column:
@@ -138,8 +173,8 @@ def judged(pairs: DataFrame, model: Model) -> DataFrame:
     visible = has_visible(reply)
     rules = {
         "empty": ~visible,
-        "refusal": visible & refusal(reply),
         "copy": visible & copied(prompt, reply),
+        "refusal": visible & refusal(reply),
         "truncated": visible & F.col("_truncated"),
         "wrong_language": visible & foreign,
     }
