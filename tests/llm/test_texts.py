@@ -24,13 +24,21 @@ def test_tokens_equal_the_library_and_come_back(spark):
 
 
 def test_rare_words_take_the_other_way(spark, monkeypatch):
-    monkeypatch.setattr(tokens, "BROADCAST_WORDS", 2)
-    frame = spark.createDataFrame([(1, "the cat and the dog and the bird")], "doc_id long, text string")
-    assert list(tokens.token_ids(frame).first()["ids"]) == tokens.tokenizer().encode("the cat and the dog and the bird").ids
+    model = tokens.tokenizer()
+    texts = ["the cat and the dog and the bird", "=" * 3000 + " and " + "=" * 3000, "", None, " bird", "zebra the", *["=" * 3000] * 20]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for words, bytes_, share in ((2, 16_000_000, 1e-4), (200_000, 60, 0.05), (0, 0, 0.5)):
+        monkeypatch.setattr(tokens, "BROADCAST_WORDS", words)
+        monkeypatch.setattr(tokens, "BROADCAST_BYTES", bytes_)
+        monkeypatch.setattr(tokens, "HOT_SHARE", share)
+        got = {r["doc_id"]: list(r["ids"]) for r in tokens.token_ids(frame).collect()}
+        assert got == {i: model.encode(t or "", add_special_tokens=False).ids for i, t in enumerate(texts)}
+        assert {r["doc_id"]: r["n_tokens"] for r in tokens.token_counts(frame).collect()} == {i: len(x) for i, x in got.items()}
 
 
 def test_one_look(spark):
     same = [("Cаfе́ ﬁne", "Café fine"), ("ＡＢ１　x", "AB1 x"), ("a​b­", "ab"), ("ѕеаrсh", "search"), ("⼀⼈", "一人"), ("が", "が")]
+    n = next(i for i, p in enumerate(same) if p[1] == "ab")
     other = [("Cafe", "Café"), ("a", "A"), ("x2", "x²"), ("a b", "a  b"), ("a\nb", "a b"), ("a!", "a"), ("ß", "ss")]
     rows = [(i, t) for i, t in enumerate(x for pair in same + other for x in pair)]
     frame = spark.createDataFrame([*rows, (100, None), (101, ""), (102, "​ "), (103, " "), (104, "ab")], "doc_id long, text string")
@@ -40,11 +48,26 @@ def test_one_look(spark):
     found = [tuple(r) for r in lookalike.look_alike_pairs(frame.unionByName(frame.where("doc_id < 4"))).collect()]
     pairs = set(found)
     assert len(found) == len(pairs)
-    assert {(2 * i, 2 * i + 1) for i in range(len(same))} <= pairs and not any(a >= 12 or b in (101, 102, 103) for a, b in pairs) and (5, 104) not in pairs and (4, 104) in pairs
+    assert {(2 * i, 2 * i + 1) for i in range(len(same))} <= pairs and not any(a >= 2 * len(same) or b in (101, 102, 103) for a, b in pairs) and (2 * n + 1, 104) not in pairs and (2 * n, 104) in pairs
+    classes = {r["doc_id"]: r["representative"] for r in lookalike.look_alike_classes(frame).collect()}
+    assert classes.keys() == {x for p in pairs for x in p} and all(classes[a] == classes[b] for a, b in pairs) and classes[104] == 2 * n
     table = lookalike.mapping()
     assert all("".join(table.get(x, x) for x in v) == v for v in table.values())
 
 
+def test_recomposition_equals_the_standard(spark):
+    """Letters, marks of many classes in any order and number, syllables and marks without a letter, against the library."""
+    import random
+
+    r = random.Random(4)
+    letters = "aeouAEOU ńéüq字가ㄱ가각ကৌেো"
+    marks = [chr(i) for i in (0x300, 0x301, 0x302, 0x303, 0x304, 0x307, 0x308, 0x30A, 0x30C, 0x31B, 0x323, 0x327, 0x328, 0x331, 0x345, 0x3099, 0x9BE, 0x102E, 0x340, 0x344)]
+    texts = ["".join(r.choice(letters) + "".join(r.choice(marks) for _ in range(r.choice((0, 0, 1, 2, 3, 9)))) for _ in range(r.randint(1, 8))) for _ in range(400)] + ["\u0301\u0323a", "\u0323\u0301", "a" + "\u0301" * 500]
+    forms = {x["doc_id"]: x["form"] for x in lookalike.consistent_form(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    wrong = [(t, forms[i]) for i, t in enumerate(texts) if forms[i] != unicodedata.normalize("NFC", t)]
+    assert not wrong
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.text(st.sampled_from("ab .\n。字́"), max_size=120), max_size=5), st.integers(1, 40), st.integers(0, 30))
 def test_pieces_cover_the_text(parts, most, overlap):

@@ -5,12 +5,13 @@ order and validity need: speaker, a digest of the text, the instant. Conversatio
 buckets; a bucket's state buffers the rows of its conversations, so that one call handles many
 conversations with array operations. A conversation closes once the watermark has passed its last arrival by
 the idle time; it is then validated and emitted. Rows that come later, within ``keep_days``,
-reopen it, and it is emitted again with a higher revision: the highest revision holds.
+reopen it, and it is emitted again with a higher revision: the highest revision holds. After ``keep_days`` its rows leave the state, so that what a batch
+rewrites is bounded by what arrived in that time.
 
-Arrival times grow with the input, so only rows that reach a later micro-batch more than ``delay`` out of
-order would be late; a finite table is read in one micro-batch, where no row can be.
+Rows that the watermark turns away, or that come after that time, are not lost: a revision counts the rows it has seen, and a finite table is audited
+against these counts. Conversations that miss rows are listed in a side table and recomputed from the table by windows (``recomputed``).
 
-A finite input ends with a closing row far in the future, which moves the watermark past every timer.
+A finite table is read in several micro-batches; it ends with a closing row far in the future, which moves the watermark past every timer.
 """
 
 from __future__ import annotations
@@ -23,17 +24,18 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from threadloom.functions.instants import instant_micros
 from threadloom.functions.textfns import has_visible, strip
 from threadloom.operators.times import with_account_rules
-from threadloom.session import scratch_path, table
+from threadloom.session import scratch_path, table, written
 
 BUCKETS, BUCKET_BYTES = 1024, 2_000_000  # a finite table gets a bucket for each so many bytes of its files, this many at least
-IDLE_HOURS, KEEP_DAYS, DELAY = 72, 365, "1 day"
+IDLE_HOURS, KEEP_DAYS, DELAY = 72, 60, "1 day"
+MICRO_BATCHES = 3  # in which the registered query reads its table, where that has so many files
 NONE, USER, ASSISTANT, SYSTEM, TOOL = 0, 1, 2, 3, 4
 #: Spellings of the speakers, in lower case and without outer white space.
 SPEAKERS = {
@@ -168,10 +170,43 @@ def rebuilt(rows: DataFrame, buckets: int = BUCKETS, idle_hours: float = IDLE_HO
     )
 
 
-def rebuild_all(spark: SparkSession, path: str, accounts: DataFrame, max_files: int | None = None, **settings: float) -> DataFrame:
-    """Run the stream over the finite table of message rows at ``path``; its conversations, one row each.
+def recomputed(rows: DataFrame) -> DataFrame:
+    """Outcome, turns and pairs of each conversation of a finite table of slim rows, as ``validated`` has them, by windows: rows are sorted and spill, so no conversation is too long."""
+    micros = F.coalesce("micros", F.lit(0))
+    keys = ["conversation_id", "speaker", "digest", micros.alias("at"), F.col("micros").isNotNull().alias("timed"), "blank"]
+    once = rows.groupBy(*keys).agg(F.min("row_id").alias("row_id"))
+    counts, user, assistant = ~F.col("blank"), F.col("speaker") == USER, F.col("speaker") == ASSISTANT
+    order = Window.partitionBy("conversation_id").orderBy("at", "row_id")
 
-    State, checkpoints and results lie in the shared folder, so a lost executor costs only its tasks.
+    def beside(some: DataFrame) -> DataFrame:
+        return some.withColumns({"before": F.lag("speaker").over(order), "after": F.lead("speaker").over(order), "prompt": F.lag("row_id").over(order)})
+
+    main = beside(once.where(counts & (user | assistant)))
+    flow = main.groupBy("conversation_id").agg(
+        F.max(assistant & (F.col("before").isNull() | (F.col("before") == ASSISTANT))).alias("bad"), F.max(user & (F.coalesce("after", F.lit(NONE)) != ASSISTANT)).alias("lonely")
+    )
+    said = beside(once.where("timed").where((counts & user) | assistant)).where(assistant & (F.col("before") == USER))
+    pairs = said.groupBy("conversation_id").agg(F.array_sort(F.collect_list(F.struct("at", "row_id", "prompt"))).alias("pairs"))
+    whole = once.groupBy("conversation_id").agg(
+        F.max(counts & ((F.col("speaker") == NONE) | ~F.col("timed"))).alias("unclear"),
+        F.max(counts & ~F.col("speaker").isin(SYSTEM, TOOL)).alias("full"),
+        F.array_sort(F.collect_list(F.when(counts, F.struct("at", "row_id")))).alias("turns"),
+    )
+    every = whole.join(flow, "conversation_id", "left").join(pairs, "conversation_id", "left")
+    true = lambda c: F.coalesce(F.col(c), F.lit(False))
+    outcome = F.when(~true("full"), "empty").when(true("unclear") | true("bad"), "broken").when(true("lonely"), "missing_reply").otherwise("kept")
+    kept = every.withColumn("outcome", outcome)
+    paired = F.when(F.col("outcome").isin("kept", "missing_reply"), F.col("pairs"))
+    ids = lambda c: F.coalesce(F.transform(paired, lambda p: p[c]), F.array().cast("array<bigint>"))
+    turns = F.when(F.col("outcome") == "kept", F.array_join(F.transform("turns", lambda t: t["row_id"].cast("string")), ",")).otherwise("")
+    return kept.select("conversation_id", "outcome", turns.alias("turn_rows"), ids("prompt").alias("prompts"), ids("row_id").alias("replies"))
+
+
+def rebuild_all(spark: SparkSession, path: str, accounts: DataFrame, max_files: int | None = None, audit: bool = True, **settings: float) -> DataFrame:
+    """Run the stream over the finite table of message rows at ``path``, ``max_files`` files a micro-batch (all in one by default); its conversations, one row each.
+
+    State, checkpoints and results lie in the shared folder, so a lost executor costs only its tasks. With ``audit``, conversations whose newest revision
+    has not seen all their rows are recomputed, so the result doesn't depend on the order of files or on any time limit.
     """
     home = scratch_path(spark, "conversations")
     closing, result = f"{home}/closing", f"{home}/result"
@@ -200,12 +235,28 @@ def rebuild_all(spark: SparkSession, path: str, accounts: DataFrame, max_files:
     spark.createDataFrame([tuple(last)], schema).coalesce(1).write.mode("append").parquet(closing)
     run()
     emitted = spark.read.schema(RESULT).parquet(result)
-    newest = emitted.groupBy("conversation_id").agg(F.max_by(F.struct("outcome", "turn_rows", "prompts", "replies"), "revision").alias("r"))
-    return newest.select("conversation_id", "r.*")
+    newest = emitted.groupBy("conversation_id").agg(F.max_by(F.struct("revision", "outcome", "turn_rows", "prompts", "replies"), "revision").alias("r"))
+    known = newest.select("conversation_id", "r.*")
+    if not audit:
+        return known.drop("revision")
+    known = written(known, "conversations")
+    stale = written(incomplete(whole, known), "incomplete")
+    if not stale.limit(1).count():
+        return known.drop("revision")
+    again = recomputed(slim_rows(whole.join(stale, "conversation_id", "left_semi"), accounts))
+    return known.join(stale, "conversation_id", "left_anti").drop("revision").unionByName(again)
+
+
+def incomplete(messages: DataFrame, known: DataFrame) -> DataFrame:
+    """(conversation_id) of the conversations that have rows which their newest revision in ``known`` hasn't seen."""
+    rows = messages.where(F.col("conversation_id").isNotNull()).groupBy("conversation_id").agg(F.count("*").alias("_n"))
+    return rows.join(known.select("conversation_id", "revision"), "conversation_id", "left").where("revision is null or revision <> _n").select("conversation_id")
 
 
 def conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rebuild_all(spark, os.path.join(sf_dir, "message_rows.parquet"), table(spark, sf_dir, "accounts"))
+    path = os.path.join(sf_dir, "message_rows.parquet")
+    files = len(spark.read.parquet(path).inputFiles())
+    return rebuild_all(spark, path, table(spark, sf_dir, "accounts"), max_files=-(-files // MICRO_BATCHES) if files > 1 else None)
 
 
 def outcomes(results: DataFrame, chats: DataFrame) -> DataFrame:

@@ -13,6 +13,7 @@ from __future__ import annotations
 import functools
 import unicodedata
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -53,14 +54,16 @@ _SEPARATOR, _PARAGRAPH = 0x0, 0x2029
 _OTHER, _LATIN, _CYRILLIC, _LIKE, _HAN, _KANA, _FOREIGN, _LINE, _STOP, _WIDE_STOP, _BLANK = range(11)
 
 
-#: Any noise shows one of these; texts without are spared the longer expression.
-_NOISE_SIGN = r"[`#*|{@＠=\[]|\( ?at ?\)|---|://|\d{5}|[0-9a-f]{10}|[A-Za-z0-9+/_\-]{36}|\d\d:\d\d|[-*] (?:id|source|created_at|updated_at|message_count|account|lang|language|title)\b|(?m:^(?i:user|assistant|system|tool|human): )"
+#: Any noise shows one of these signs or matches the short expression; texts without are spared the longer one.
+_NOISE_SIGNS = ("`", "#", "*", "|", "{", "@", "＠", "[", "===", "---", "://", "(at", "( at", "\n- ", "\n\t- ", "ser: ", "SER: ", "ssistant: ", "SSISTANT: ", "ystem: ", "YSTEM: ", "ool: ", "OOL: ", "uman: ", "UMAN: ")
+_NOISE_SIGN = r"^[ \t]*- |\n[ \t]+- |[.\-] ?\d{5}|\d\d:\d\d:\d\d|\d{4}-\d\d-\d\d[T ]|(?<![A-Za-z0-9+/=_\-])[A-Za-z0-9+/=_\-]{36}|\b[0-9a-f]{10}"
 _UNSEEN = r"[\x{200B}-\x{200D}\x{2060}\x{FEFF}\x{AD}\x{0}]"
 
 
 def cleaned(text: Column) -> Column:
     """Lower-case text without what has no language; paragraphs end in U+2029."""
-    bare = F.when(text.rlike(_NOISE_SIGN), F.regexp_replace(text, _NOISE, "\n")).otherwise(text)
+    noisy = reduce(lambda found, sign: found | text.contains(sign), _NOISE_SIGNS, F.lit(False)) | text.rlike(_NOISE_SIGN)
+    bare = F.when(noisy, F.regexp_replace(text, _NOISE, "\n")).otherwise(text)
     shown = F.when(text.rlike(_UNSEEN), F.regexp_replace(bare, _UNSEEN, "")).otherwise(bare)
     return F.lower(F.when(text.contains("\n") | text.contains("`"), F.regexp_replace(shown, r"\n[ \t\r\x{A0}\x{3000}]*\n\s*", "\u2029")).otherwise(shown))
 

@@ -94,19 +94,19 @@ def _first_level(seed: int):
     return run
 
 
-def plan_shares(sizes: DataFrame, targets: DataFrame, total_tokens: int | None = None) -> list[dict]:
+def plan_shares(sizes: DataFrame, targets: DataFrame, total_tokens: int | float | None = None) -> list[dict]:
     """One row per target: the goal in tokens and the expected copies of each document.
 
     Sources without tokens can't contribute; the others share the total in proportion. Without
-    ``total_tokens`` the total is the largest that meets all of them within ``max_repeats``; with it, a source that is too
-    small is used up to its cap. The tables of sources are configuration (one row per named source).
+    ``total_tokens`` the total is the largest that meets all of them within ``max_repeats``; with it (a float: as a multiple of the tokens that the
+    sources hold), a source that is too small is used up to its cap. The tables of sources are configuration (one row per named source).
     """
     known = {r["source"]: r["tokens"] for r in sizes.join(F.broadcast(targets.select("source")), "source", "left_semi").collect()}
     goals = [r.asDict() for r in targets.orderBy("source").collect()]
     able = [g for g in goals if (known.get(g["source"]) or 0) > 0 and g["target_share"] > 0 and g["max_repeats"] > 0]
     weight = sum(g["target_share"] for g in able)
     reach = [known[g["source"]] * g["max_repeats"] * weight / g["target_share"] for g in able]
-    total = float(total_tokens) if total_tokens is not None else min(reach, default=0.0)
+    total = min(reach, default=0.0) if total_tokens is None else total_tokens * sum(known[g["source"]] for g in able) if isinstance(total_tokens, float) else float(total_tokens)
     for g in goals:
         tokens = known.get(g["source"]) or 0
         wanted = total * g["target_share"] / weight if g in able else 0.0
@@ -115,7 +115,7 @@ def plan_shares(sizes: DataFrame, targets: DataFrame, total_tokens: int | None =
     return goals
 
 
-def mixed_copies(documents: DataFrame, targets: DataFrame, total_tokens: int | None = None, folder: str = TOKENIZER_DIR, seed: int = 7) -> tuple[DataFrame, list[dict]]:
+def mixed_copies(documents: DataFrame, targets: DataFrame, total_tokens: int | float | None = None, folder: str = TOKENIZER_DIR, seed: int = 7) -> tuple[DataFrame, list[dict]]:
     """((doc_id, source, n_tokens, copies) of every document of a target source, the plan).
 
     Null, empty and unlisted sources take no part; texts without tokens may be copied but weigh nothing. Documents not
@@ -156,7 +156,7 @@ def mixed_copies(documents: DataFrame, targets: DataFrame, total_tokens: int | N
     return rows.select("doc_id", "source", "n_tokens", "copies"), plan
 
 
-def mix_report(documents: DataFrame, targets: DataFrame, total_tokens: int | None = None, folder: str = TOKENIZER_DIR) -> DataFrame:
+def mix_report(documents: DataFrame, targets: DataFrame, total_tokens: int | float | None = None, folder: str = TOKENIZER_DIR) -> DataFrame:
     """One row per target source: its goal and what the mix actually holds of it.
 
     ``actual_share`` is of all tokens of the mix (0 where the mix is empty); ``met`` tells whether it is within half a

@@ -39,10 +39,15 @@ REFUSALS = {
 }
 #: One of these is in every phrase of the same language above, in lower case; a cheap test before the longer one.
 REFUSAL_SIGNS = {
-    "en": ("n't", "n’t", " not", "cannot", "cant ", "wont ", "unable", "declin", "refuse", "pass", "what i", "against my", "unanswered", "no can do"),
-    "zh": ("無法", "无法", "不", "恕", "拒", "超出"), "de": ("nicht", "kein", "lehn", "übersteigt", "verweiger"), "fr": ("ne ", "n'", "n’", "refus", "déclin", "'abst", "’abst", "sort du cadre"),
-    "es": ("no ", "rechaz", "declin", "negarme", "niego", "fuera de"), "pt": ("não", "recus", "declin", "foge", "vai al", "fora do"), "ja": ("ません", "かねます", "ない", "控え", "断り", "遠慮", "範囲", "権限"), "ru": ("не ", "вынужден", "отказ", "отклон", "рамки"),
+    "en": ("n't", "n’t", "cannot", "cant ", "wont ", " not ", "unable", "declin", "refuse", "to pass", "what i", "against my", "unanswered", "no can do"),
+    "de": ("nicht", "kein", "lehn", "übersteigt", "verweiger"),
+    "fr": ("ne peux", "ne puis", "ne suis", "ne veux", "ne souhaite", "ne pourrai", "ne dois", "ne saurais", "ne pas", "pas permis", "ne m'est", "ne m’est", "refus", "déclin", "'abst", "’abst", "sort du cadre", "pas le droit"),
+    "es": ("no puedo", "no debo", "no voy", "no podré", "no me ", "no quiero", "no está", "prefiero no", "rechaz", "declin", "negarme", "niego", "fuera de", "no contin"),
+    "pt": ("não posso", "não devo", "não vou", "não poderei", "não consigo", "não quero", "não me", "prefiro não", "recus", "declin", "que posso"),
+    "zh": ("無法", "无法", "不", "恕", "拒", "超出"), "ja": ("ません", "かねます", "できない", "控え", "断り", "遠慮", "範囲を", "権限を"), "ru": ("не ", "вынужден", "отказ", "отклон", "рамки"),
 }
+#: What a text must hold to be in another alphabet.
+_SCRIPTS = {"zh": r"[\x{4e00}-\x{9fff}]", "ja": r"[\x{3040}-\x{30ff}]", "ru": r"[\x{400}-\x{4ff}]"}
 #: What stands beside a refusal without answering: courtesies, words about oneself and one's rules, and where else to turn.
 COURTESIES = (
     r"\b(?:thanks?|thank you|sorry|apologi[sz]e\w*|apolog(?:y|ies)|understand|interest(?:ed)?|professional|specialist|expert|anything else|something else|on your mind|hmm+|please|regret\w*|unfortunately|happy to|glad to|another (?:topic|question)|hope|appreciate|guidelines?|polic(?:y|ies)|my rules|as an ai|language model|instead|let['’]?s stop|designed to|i wish|safety|different question)\b"
@@ -123,8 +128,12 @@ def with_truncation(pairs: DataFrame) -> DataFrame:
 
 def _declines(low: Column) -> Column:
     """Whether a text in lower case declines in any language."""
-    tests = [reduce(lambda a, w: a | low.contains(w), signs, F.lit(False)) & low.rlike(REFUSALS[k]) for k, signs in REFUSAL_SIGNS.items()]
-    return reduce(lambda a, b: a | b, tests)
+
+    def test(k: str) -> Column:
+        signs = reduce(lambda a, w: a | low.contains(w), REFUSAL_SIGNS[k], F.lit(False))
+        return F.when(low.rlike(_SCRIPTS[k]) if k in _SCRIPTS else F.lit(True), signs & low.rlike(REFUSALS[k])).otherwise(False)
+
+    return reduce(lambda a, b: a | b, map(test, REFUSAL_SIGNS))
 
 
 def refusal(reply: Column) -> Column:

@@ -7,12 +7,15 @@ from pyspark.sql import DataFrame, SparkSession
 from threadloom.llm.chunking import conversation_pieces, message_pieces
 from threadloom.llm.conversations import conversations, outcomes
 from threadloom.llm.langid import fitted, language_cases
-from threadloom.llm.lookalike import look_alike_pairs
+from threadloom.llm.lookalike import look_alike_classes, look_alike_pairs
 from threadloom.llm.mixing import mix_report, mixed_copies
 from threadloom.llm.pairs import defective_pairs
 from threadloom.llm.pii import personal_data, redacted_texts
-from threadloom.llm.tokens import token_ids
-from threadloom.session import table
+from threadloom.llm.tokens import decoded_texts, token_ids
+from threadloom.session import table, written
+
+
+BUDGET = 1.0  # as many tokens as the sources hold: more than some of them can give
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,10 +67,20 @@ def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_ids(table(spark, sf_dir, "documents"))
 
 
+def p8_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text decoded from its ids."""
+    return decoded_texts(written(p8_ids(spark, sf_dir), "ids"))
+
+
 def p9_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
 
 
+def p9_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report for a total that some sources can't fill: they are used up to their cap and miss their target."""
+    return mix_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"), total_tokens=BUDGET)
+
+
 def p9_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed_copies(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))[0]
 
@@ -76,6 +89,11 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return look_alike_pairs(table(spark, sf_dir, "documents"))
 
 
+def p10_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same as classes: one row a document."""
+    return look_alike_classes(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p4_found": p4_found,
@@ -87,11 +105,15 @@ QUERIES = {
     "p7_found": p7_found,
     "p7_pieces": p7_pieces,
     "p8_ids": p8_ids,
+    "p8_texts": p8_texts,
     "p9_report": p9_report,
+    "p9_budget": p9_budget,
     "p9_copies": p9_copies,
     "p10_found": p10_found,
+    "p10_classes": p10_classes,
 }
 SQL: dict[str, str] = {
+    "p8_texts": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
     "p7_found": """
         SELECT 'message' AS item_kind, CAST(m.row_id AS VARCHAR) AS item_key
         FROM message_rows m JOIN size_limits s ON s.item_kind = 'message'

@@ -1,10 +1,10 @@
 """Problem 8: encode a corpus with a public tokenizer through a table of distinct words.
 
 The tokenizer splits text into words before it merges bytes, so the ids of a word don't depend on its
-neighbours. Words are split in the JVM with the tokenizer's own pattern, each distinct word is
-encoded once in Python, and the ids come back to their positions by a join. The most frequent words
-(a fixed number of short ones, so of bounded size) are broadcast, which also takes every hot key out
-of the shuffle; only rows of the remaining rare words are shuffled by word.
+neighbours. Texts are split once, in the JVM, with the tokenizer's own pattern, and the words written; each distinct word is
+encoded once in Python, and the ids come back to their positions by joins: with the most frequent words, a table of bounded
+number and bytes that every worker holds, as one Arrow lookup and gather a batch, without a shuffle; with all other words by a shuffle of their places
+alone, in which words used very often go to several tasks.
 """
 
 from __future__ import annotations
@@ -13,8 +13,11 @@ import functools
 import os
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from threadloom.session import written
@@ -23,8 +26,10 @@ TOKENIZER_DIR = "/opt/tokenizers"
 TOKENIZER_FILE = "byte_bpe_50k.json"
 #: Fixed value: the splitting pattern of the byte-level vocabulary; ``(?U)`` makes ``\s`` Unicode white space.
 WORD_PATTERN = r"(?U)'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: The broadcast table has at most this many words of at most this many characters: under 10 MB.
-BROADCAST_WORDS, BROADCAST_CHARS = 50_000, 32
+#: The table that every worker holds: the most used words, at most so many and of so many bytes with their ids.
+BROADCAST_WORDS, BROADCAST_BYTES = 200_000, 16_000_000
+#: Of the other words, those used more than this share of all uses (so at most one over it words) are joined in so many parts.
+HOT_SHARE, HOT_PARTS = 1e-4, 32
 
 
 @functools.lru_cache(maxsize=4)
@@ -49,34 +54,83 @@ def _encoded(words: DataFrame, folder: str) -> DataFrame:
     return words.mapInPandas(run, "word string, uses bigint, ids array<int>")
 
 
-def word_table(documents: DataFrame, folder: str = TOKENIZER_DIR) -> DataFrame:
-    """(word, uses, ids) of each distinct word of ``documents.text``, written to the shared folder."""
-    words = documents.select(F.explode(F.regexp_extract_all("text", F.lit(WORD_PATTERN), 0)).alias("word"))
-    return written(_encoded(words.groupBy("word").agg(F.count("*").alias("uses")), folder), "words")
-
-
-def _split_table(table: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The frequent short words, bounded in number and size, and all the others."""
-    short = F.length("word") <= BROADCAST_CHARS
-    top = table.where(short).orderBy(F.desc("uses"), "word").limit(BROADCAST_WORDS)
-    top = written(top.select("word", "ids"), "frequent-words")
-    rest = table.join(F.broadcast(top.select("word")), "word", "left_anti").select("word", "ids")
-    return top, rest
-
-
-def _positioned(documents: DataFrame, folder: str) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, pos, ids) of the words in the broadcast table, and of all others.
-
-    The first has a row with null ``pos`` for each document without words, and stays partitioned by ``doc_id``, by which the documents are spread first:
-    grouping it by document needs no exchange.
-    """
-    own = documents.select("doc_id", "text").repartition("doc_id").dropDuplicates(["doc_id"])
-    top, rest = _split_table(word_table(documents, folder))
-    words = own.select("doc_id", F.posexplode_outer(F.regexp_extract_all("text", F.lit(WORD_PATTERN), 0)).alias("pos", "word"))
-    near = words.join(F.broadcast(top), "word", "left").select("doc_id", "pos", "ids", "word")
-    found = near.select("doc_id", F.when(F.col("ids").isNotNull(), F.col("pos")).alias("pos"), "ids")
-    far = words.where("word is not null").join(F.broadcast(top.select("word")), "word", "left_anti")
-    return found, far.join(rest, "word").select("doc_id", "pos", "ids")
+def split_words(documents: DataFrame) -> DataFrame:
+    """(doc_id, words) of each document, written; a repeated ``doc_id`` once. Null and empty texts have no words."""
+    rows = documents.select("doc_id", "text")
+    if documents.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").limit(1).count():
+        rows = rows.dropDuplicates(["doc_id"])
+    words = F.coalesce(F.regexp_extract_all("text", F.lit(WORD_PATTERN), 0), F.array().cast("array<string>"))
+    return written(rows.select("doc_id", words.alias("words")), "split")
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        counts = pc.value_counts(pc.list_flatten(batch.column(0)))
+        yield pa.RecordBatch.from_arrays([counts.field("values").cast(pa.string()), counts.field("counts").cast(pa.int64())], ["word", "uses"])
+
+
+def word_table(split: DataFrame, folder: str = TOKENIZER_DIR) -> DataFrame:
+    """(word, uses, ids) of each distinct word, written to the shared folder. Words are counted by batch before they are shuffled."""
+    counts = split.select("words").mapInArrow(_counted, "word string, uses bigint").groupBy("word").agg(F.sum("uses").alias("uses"))
+    return written(_encoded(counts, folder), "words")
+
+
+def _frequent(table: DataFrame) -> DataFrame:
+    """(word, ids) of the most used words within ``BROADCAST_WORDS`` and ``BROADCAST_BYTES``, of any length."""
+    top = table.orderBy(F.desc("uses"), "word").limit(BROADCAST_WORDS).select("word", "uses", "ids")
+    size = F.octet_length("word") + 4 * F.size("ids") + 12
+    cut = top.withColumn("_sum", F.sum(size).over(Window.orderBy(F.desc("uses"), "word").rowsBetween(Window.unboundedPreceding, 0)))
+    return written(cut.where(F.col("_sum") <= BROADCAST_BYTES).select("word", "ids"), "frequent-words")
+
+
+_PLACED = "doc_id bigint, ids array<int>, gaps array<struct<at:int,word:string>>"
+
+
+def _placed(split: DataFrame, frequent: DataFrame) -> DataFrame:
+    """(doc_id, ids, gaps): the ids of the frequent words of each document in order, and where among them each other word belongs."""
+    known = frequent.toArrow().combine_chunks()
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, known.schema) as out:
+        out.write_table(known)
+    shipped = split.sparkSession.sparkContext.broadcast(sink.getvalue().to_pybytes())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.ipc.open_stream(shipped.value).read_all()
+        vocabulary = table.column("word").combine_chunks().cast(pa.string()) if len(table) else pa.array([], pa.string())
+        pieces = table.column("ids").combine_chunks() if len(table) else pa.array([], pa.list_(pa.int32()))
+        lengths = np.append(pc.list_value_length(pieces).to_numpy(zero_copy_only=False).astype(np.int64), 0)
+        for batch in batches:
+            lists = batch.column("words")
+            words, starts = pc.list_flatten(lists).cast(pa.string()), np.append(0, np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))).astype(np.int64)
+            spot = pc.index_in(words, value_set=vocabulary)
+            missing = spot.is_null().to_numpy(zero_copy_only=False)
+            slot = spot.fill_null(len(vocabulary)).to_numpy(zero_copy_only=False)
+            ends = np.append(0, np.cumsum(lengths[slot]))  # ids before each word
+            ids = pc.list_flatten(pieces.take(pa.array(slot[~missing]))).cast(pa.int32())
+            offsets = ends[starts]
+            at = np.flatnonzero(missing)
+            document = np.searchsorted(starts, at, side="right") - 1
+            gaps = pa.StructArray.from_arrays([pa.array((ends[at] - offsets[document]).astype(np.int32)), words.take(pa.array(at))], ["at", "word"])
+            bounds = np.searchsorted(at, starts)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), ids), pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), gaps)], ["doc_id", "ids", "gaps"]
+            )
+
+    return split.select(F.col("doc_id").cast("bigint").alias("doc_id"), "words").mapInArrow(run, _PLACED)
+
+
+def _filled(placed: DataFrame, table: DataFrame, frequent: DataFrame, value: Column) -> DataFrame:
+    """(doc_id, no, at, value) of each gap of ``placed``, joined by word; ``value`` is of ``ids``. Words used very often are joined in ``HOT_PARTS`` parts."""
+    gaps = placed.where(F.size("gaps") > 0).select("doc_id", F.posexplode("gaps").alias("no", "g")).select("doc_id", "no", F.col("g.at").alias("at"), F.col("g.word").alias("word"))
+    rest = table.join(F.broadcast(frequent.select("word")), "word", "left_anti")
+    total = table.agg(F.sum("uses")).first()[0] or 0
+    hot = rest.where(F.col("uses") > total * HOT_SHARE)  # at most 1 / HOT_SHARE words
+    marks = F.broadcast(hot.select(F.xxhash64("word").alias("_mark")).distinct())
+    part = F.when(F.col("_mark").isNotNull(), F.pmod(F.xxhash64("doc_id"), F.lit(HOT_PARTS))).otherwise(0)
+    spread = gaps.join(marks, F.xxhash64("word") == F.col("_mark"), "left").withColumn("part", part.cast("int"))
+    parts = F.when(F.col("_mark").isNotNull(), F.sequence(F.lit(0), F.lit(HOT_PARTS - 1))).otherwise(F.array(F.lit(0)))
+    known = rest.join(marks, F.xxhash64("word") == F.col("_mark"), "left").select("word", value.alias("value"), F.explode(parts).alias("part"))
+    return spread.join(known, ["word", "part"]).select("doc_id", "no", "at", "value")
 
 
 def token_ids(documents: DataFrame, folder: str = TOKENIZER_DIR) -> DataFrame:
@@ -86,21 +140,28 @@ def token_ids(documents: DataFrame, folder: str = TOKENIZER_DIR) -> DataFrame:
     any text, special tokens' strings too. Repeated rows of one ``doc_id`` come once, other columns are ignored, an empty table
     gives no rows. ``doc_id`` must name one text.
     """
-    near, far = _positioned(documents, folder)
-    listed = F.collect_list(F.when(F.col("pos").isNotNull(), F.struct("pos", "ids")))
-    known = near.groupBy("doc_id").agg(listed.alias("words"))
-    rare = far.groupBy("doc_id").agg(listed.alias("more"))
-    both = known.join(rare, "doc_id", "left")
-    words = F.array_sort(F.when(F.col("more").isNull(), F.col("words")).otherwise(F.concat("words", "more")))
-    return both.select("doc_id", F.flatten(F.transform(words, lambda w: w["ids"])).alias("ids"))
+    split = split_words(documents)
+    table = word_table(split, folder)
+    frequent = _frequent(table)
+    placed = written(_placed(split, frequent), "placed")
+    done = placed.where(F.size("gaps") == 0).select("doc_id", "ids")
+    more = _filled(placed, table, frequent, F.col("ids")).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("no", "at", "value"))).alias("more"))
+    open_rows = placed.where(F.size("gaps") > 0).select("doc_id", "ids").join(more, "doc_id")
+    before = F.transform("more", lambda g, i: F.slice("ids", F.when(i == 0, 1).otherwise(F.element_at("more", i)["at"] + 1), g["at"] - F.when(i == 0, 0).otherwise(F.element_at("more", i)["at"])))
+    woven = F.flatten(F.transform(F.arrays_zip(before.alias("before"), F.col("more")), lambda x: F.concat(x["before"], x["more"]["value"])))
+    last = F.element_at("more", -1)["at"]
+    return done.unionByName(open_rows.select("doc_id", F.concat(woven, F.slice("ids", last + 1, F.size("ids") - last)).alias("ids")))
 
 
 def token_counts(documents: DataFrame, folder: str = TOKENIZER_DIR) -> DataFrame:
     """(doc_id, n_tokens) of each document: the same table of words, but only sums are shuffled by document."""
-    near, far = _positioned(documents, folder)
-    size = F.coalesce(F.sum(F.when(F.col("ids").isNotNull(), F.size("ids"))), F.lit(0)).cast("bigint")
-    parts = [rows.groupBy("doc_id").agg(size.alias("n")) for rows in (near, far)]
-    return parts[0].unionByName(parts[1]).groupBy("doc_id").agg(F.sum("n").alias("n_tokens"))
+    split = split_words(documents)
+    table = word_table(split, folder)
+    frequent = _frequent(table)
+    placed = written(_placed(split, frequent), "placed")
+    known = placed.select("doc_id", F.size("ids").cast("bigint").alias("n"))
+    rare = _filled(placed, table, frequent, F.size("ids").cast("bigint")).groupBy("doc_id").agg(F.sum("value").alias("n"))
+    return known.unionByName(rare).groupBy("doc_id").agg(F.sum("n").alias("n_tokens"))
 
 
 def piece_table(spark: SparkSession, folder: str = TOKENIZER_DIR) -> DataFrame:
