@@ -41,6 +41,12 @@ def route_is(route: Column, name: str) -> Column:
     return F.coalesce(F.upper(strip(route)) == name, F.lit(False))
 
 
+def conversion_stats(jobs: DataFrame, done: DataFrame, key: str = "id") -> DataFrame:
+    """One row: jobs in all, those without a finished row (``converted`` by a run that resumes) and those with one (``skipped``)."""
+    marked = jobs.select(key).join(done.select(key).distinct().withColumn("_done", F.lit(True)), key, "left")
+    return marked.agg(F.count("*").alias("total"), F.count_if(F.col("_done").isNull()).alias("converted"), F.count_if(F.col("_done").isNotNull()).alias("skipped"))
+
+
 def run_stats(records: DataFrame) -> DataFrame:
     """One row: records by status, and finished ones by route, zero where there are none."""
     ok = F.col("status") == "ok"
@@ -52,10 +58,12 @@ def run_stats(records: DataFrame) -> DataFrame:
     )
 
 
-def stats_line(stats: DataFrame) -> DataFrame:
-    """The statistics as one line of text."""
-    return stats.select(
+def stats_line(conversions: DataFrame, analyses: DataFrame) -> DataFrame:
+    """The statistics of a run as one line of text: both tables have one row."""
+    both = conversions.join(F.broadcast(analyses.drop("total")))
+    return both.select(
         F.format_string(
-            "total=%d analyzed=%d failed=%d A=%d B=%d C=%d D=%d", "total", "analyzed", "failed", "route_a", "route_b", "route_c", "route_d"
+            "Run stats: total=%d converted=%d skipped=%d analysis_ok=%d analysis_failed=%d routes[A=%d, B=%d, C=%d, D=%d]",
+            "total", "converted", "skipped", "analyzed", "failed", "route_a", "route_b", "route_c", "route_d",
         ).alias("line")
-    )
+    )

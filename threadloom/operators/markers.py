@@ -61,6 +61,16 @@ def mixed(text: Column, positive: list[str], negative: list[str]) -> Column:
     return contains_any(text, positive) & contains_any(text, negative)
 
 
+def is_no_action(step: Column, markers: list[str]) -> Column:
+    """Whether a step says that nothing is to be done: it holds one of the markers, in any case; a null step says nothing."""
+    return F.coalesce(contains_any(strip(step), markers), F.lit(False))
+
+
+def has_actions(steps: Column, markers: list[str]) -> Column:
+    """Whether any step of a list is an action; false for an empty or null list. Null steps count as none."""
+    return F.coalesce(F.exists(steps, lambda x: F.coalesce(~is_no_action(x, markers) & x.isNotNull(), F.lit(False))), F.lit(False))
+
+
 def clean_list(items: Column, most: int) -> Column:
     """Stripped texts of a list without blanks and nulls, the first ``most``; null gives an empty list."""
     stripped = F.filter(F.transform(items, lambda x: strip(x)), lambda x: x.isNotNull() & (x != ""))

@@ -46,6 +46,11 @@ def record_of(text: str | None) -> object:
         return None
 
 
+def is_null(text: str) -> bool:
+    """Whether a record is the JSON value null."""
+    return text.strip() == "null"
+
+
 def named(holder: dict, *names: str) -> str | None:
     """The first of the fields that isn't blank, as text."""
     for name in names:

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.operators.nested import conversations_of, decoded, record_of
+from threadloom.operators.nested import conversations_of, decoded, is_null, record_of
 
 MODEL = "export_id bigint, position int, format string, id string, source string, title string, created_at string, updated_at string, messages array<struct<pos:int,role:string,content:string,timestamp:string>>"
 
@@ -89,6 +89,23 @@ def normalized(conversation: dict, kind: str) -> tuple:
     return str(id_), kind, _text(title or "Untitled"), created, updated, rows
 
 
+def rejected_exports(exports: DataFrame) -> DataFrame:
+    """(export_id, reason) of the records that ``normalize_exports`` yields nothing for: ``blank``, ``invalid`` (no JSON) or ``unknown`` (no conversation of a known format)."""
+
+    def reason(text: str | None) -> str | None:
+        if text is None or not text.strip():
+            return "blank"
+        value = record_of(text)
+        return "invalid" if value is None and not is_null(text) else "unknown" if format_of(value) == "unknown" else None
+
+    @F.pandas_udf("string")
+    def reasons(texts: pd.Series) -> pd.Series:
+        return pd.Series([reason(t) for t in texts], dtype=object)
+
+    slim = exports.select(F.col("export_id").cast("bigint").alias("export_id"), reasons(F.col("record").cast("string")).alias("reason"))
+    return slim.where("reason is not null")
+
+
 def normalize_exports(exports: DataFrame, kind: str = "auto") -> DataFrame:
     """Conversations (``MODEL``) of export records (export_id, record).
 

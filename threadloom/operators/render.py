@@ -67,8 +67,17 @@ def numbered_list(items: Column, empty: str = "（無）") -> Column:
     return F.when(F.coalesce(F.size(items), F.lit(0)) > 0, lines).otherwise(F.lit(empty))
 
 
-def merged_report(title: Column, route: Column, verdict: Column, drift: Column, residuals: Column, steps: Column, body: Column) -> Column:
-    """A record's fields as a table and lists in front of the conversation's text; blank fields have no line."""
+def merged_report(
+    title: Column, route: Column, verdict: Column, drift: Column, residuals: Column, steps: Column, body: Column, initial: Column | None = None, final: Column | None = None,
+    calibrated: Column | None = None, confidence: Column | None = None, reason: Column | None = None,
+) -> Column:
+    """A record's fields as a table and lists in front of the conversation's text; blank fields have no line.
+
+    The initial and the final route show where they differ from the route; confidence and reason of a second look where it was applied.
+    """
+    nothing = F.lit(None).cast("string")
+    initial, final, confidence, reason = (nothing if c is None else c for c in (initial, final, confidence, reason))
+    applied = F.lit(False) if calibrated is None else F.coalesce(F.lower(strip(calibrated.cast("string"))).isin("true", "1", "yes"), F.lit(False))
 
     def row(name: str, value: Column) -> Column:
         return F.when(strip(_shown(value)) != "", F.concat(F.lit(f"| {name} | "), _shown(value), F.lit(" |")))
@@ -78,7 +87,11 @@ def merged_report(title: Column, route: Column, verdict: Column, drift: Column,
         F.concat(F.lit("# "), _shown(title), F.lit("\n")),
         F.lit("| field | value |\n|---|---|"),
         row("route", route),
+        F.when(F.coalesce(initial != F.coalesce(route, F.lit("")), F.lit(False)), row("initial route", initial)),
+        F.when(F.coalesce(final != F.coalesce(route, F.lit("")), F.lit(False)), row("final route", final)),
         row("verdict", verdict),
+        F.when(applied, F.concat(F.lit("| second look | applied, confidence "), _shown(confidence), F.lit(" |"))),
+        F.when(applied, row("reason", reason)),
         F.lit(""),
         drifted,
         F.lit("## Residuals\n"),
@@ -91,6 +104,19 @@ def merged_report(title: Column, route: Column, verdict: Column, drift: Column,
     return F.array_join(F.filter(parts, lambda p: p.isNotNull()), "\n")
 
 
+#: What an analysis is asked for, by schema: our own words for the fields that a record must have.
+INSTRUCTIONS = {
+    "salvage": "You look for what is worth keeping of a conversation, not for a summary. Answer with one JSON object with exactly these keys: topic, valuable_residuals (0 to 3 items), drift_point, next_steps (0 to 2 items), route_recommendation (A, B, C or D; C or D unless the evidence is clear), verdict.",
+    "default": "You describe a conversation. Answer with one JSON object with exactly these keys: summary, tags (a list), language, quality_score (a number from 0 to 1).",
+}
+
+
+def prompts(title: Column, messages: Column, schema: str = "default") -> Column:
+    """A struct (system, user): the instructions of a schema, and the title above the bounded transcript. A null title is empty."""
+    user = F.concat(F.lit("Title: "), _shown(title), F.lit("\n\n"), transcript(messages))
+    return F.struct(F.lit(INSTRUCTIONS[schema]).alias("system"), user.alias("user"))
+
+
 def without_fences(text: Column) -> Column:
     """A reply without the code fence around it: the first line where it opens one, the last where it closes one."""
     inner = F.regexp_replace(strip(text), r"^```[^\n]*(?:\n|$)", "")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from threadloom.functions.textfns import strip
 from threadloom.operators import index, markers, render
 from threadloom.operators.nested import flatten_exports
-from threadloom.operators.normalize import normalize_exports
+from threadloom.operators.normalize import normalize_exports, rejected_exports
 from threadloom.operators.times import stated_times, zone_transitions
 from threadloom.session import table
 
@@ -19,6 +19,8 @@ LEXICON: markers.Lexicon = {
     "zh": {"asset": ["清單", "計畫"], "positive": ["有用"], "negative": ["重複"]},
 }
 KEYS = ["asset", "positive", "negative"]
+#: What a step says where nothing is to be done.
+NO_ACTION = ["暫不行動", "不需行動", "no action", "none", "n/a"]
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,6 +44,31 @@ def export_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return normalize_exports(table(spark, sf_dir, "export_records"))
 
 
+def export_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rejected_exports(table(spark, sf_dir, "export_records"))
+
+
+def export_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages and last line of each conversation of the exports, by role: what the parsing keeps of every record."""
+    talks = export_conversations(spark, sf_dir).select("export_id", "position", "format", F.explode("messages").alias("m"))
+    return talks.groupBy("export_id", "position", "format", F.col("m.role").alias("role")).agg(F.count("*").alias("messages"), F.sum(F.length("m.content")).cast("bigint").alias("chars"))
+
+
+def analysis_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "archived_chats")
+    both = [c.select("id", F.lit(s).alias("analysis_schema"), render.prompts(F.col("title"), F.col("messages"), s).alias("p")) for s in render.INSTRUCTIONS]
+    return both[0].unionByName(both[1]).select("id", "analysis_schema", "p.*")
+
+
+def unfenced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", render.without_fences(F.col("text")).alias("inner_text"))
+
+
+def actionable_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    markers_ = NO_ACTION
+    return table(spark, sf_dir, "analysis_records").select("analysis_no", markers.has_actions(F.col("next_steps"), markers_).alias("actionable"))
+
+
 def conv_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "archived_chats")
     text = render.markdown(*(F.col(x) for x in ("id", "source", "title", "created_at", "updated_at", "messages")))
@@ -79,11 +106,6 @@ def index_current(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.upsert(table(spark, sf_dir, "archive_index"), "line_no")
 
 
-def index_head(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first hundred lines of the index: a prefix is what this one is for."""
-    return table(spark, sf_dir, "archive_index").select("line_no", "id", "title").orderBy("line_no").limit(100)
-
-
 def pending_chats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.pending(table(spark, sf_dir, "chats").select("id").distinct(), table(spark, sf_dir, "archive_index"))
 
@@ -97,7 +119,8 @@ def run_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stats_line(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return index.stats_line(run_stats(spark, sf_dir))
+    jobs, done = table(spark, sf_dir, "chats").select("id").distinct(), table(spark, sf_dir, "archive_index")
+    return index.stats_line(index.conversion_stats(jobs, done), run_stats(spark, sf_dir))
 
 
 def clean_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -141,9 +164,9 @@ def _top_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def grade_a_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
-    known = index_current(spark, sf_dir).select("id", "title", "primary_text")
+    known = index_current(spark, sf_dir).select("id", "title", "primary_text", "initial_route_recommendation", "final_route_recommendation", "calibration_applied", "calibration_confidence")
     top = _top_records(spark, sf_dir).join(known, "id")
-    report = render.merged_report(*(F.col(c) for c in ("title", "route_recommendation", "verdict", "drift_point", "valuable_residuals", "next_steps", "primary_text")))
+    report = render.merged_report(*(F.col(c) for c in ("title", "route_recommendation", "verdict", "drift_point", "valuable_residuals", "next_steps", "primary_text", "initial_route_recommendation", "final_route_recommendation", "calibration_applied", "calibration_confidence")))
     return top.select("analysis_no", "id", report.alias("report"))
 
 
@@ -154,7 +177,7 @@ def grade_a_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        p2_found, p2_zones, p3_found, export_conversations, conv_markdown, transcripts, conversation_sizes, role_counts, safe_ids, index_current, index_head, pending_chats,
+        p2_found, p2_zones, p3_found, export_conversations, export_rejects, export_messages, analysis_prompts, unfenced, actionable_steps, conv_markdown, transcripts, conversation_sizes, role_counts, safe_ids, index_current, pending_chats,
         finished_chats, run_stats, stats_line, clean_lists, residual_strength, verdict_markers, record_faults, script_languages, grade_a_reports, grade_a_missing,
     )
 }
@@ -178,6 +201,11 @@ def _clean(x: str, most: int) -> str:
     return f"array_to_string(list_slice(list_filter(list_transform(coalesce({x}, []), lambda x: {_strip('x')}), lambda x: x IS NOT NULL AND x <> ''), 1, {most}), ' | ')"
 
 
+def _unfenced(x: str) -> str:
+    inner = f"regexp_replace({_strip(x)}, '^```[^\\n]*(\\n|$)', '')"
+    return f"regexp_replace({_strip(inner)}, '(^|\\n)```[ \\t]*$', '')"
+
+
 _M = markers.marker_set("multi", LEXICON, KEYS)
 _UPSERT = (
     "SELECT min(line_no) AS position, sid AS id, "
@@ -205,15 +233,20 @@ SQL: dict[str, str] = {
     "role_counts": "SELECT lower(trim(coalesce(role, 'unknown'))) AS role, count(*) AS messages FROM message_rows GROUP BY 1",
     "safe_ids": "SELECT DISTINCT id, left(regexp_replace(id, '[^a-zA-Z0-9_.\\-]', '_', 'g'), 80) AS safe_id FROM chats",
     "index_current": _UPSERT,
-    "index_head": "SELECT line_no, id, title FROM archive_index ORDER BY line_no LIMIT 100",
+    "analysis_prompts": " UNION ALL ".join(
+        f"SELECT id, '{k}' AS analysis_schema, '{text}' AS system, 'Title: ' || coalesce(title, '') || chr(10) || chr(10) || coalesce(left({_TRANSCRIPT}, 18000), '') AS user FROM archived_chats" for k, text in render.INSTRUCTIONS.items()
+    ),
+    "unfenced": f"SELECT doc_id, {_strip(_unfenced('text'))} AS inner_text FROM documents",
+    "actionable_steps": f"SELECT analysis_no, len(list_filter(coalesce(next_steps, []), lambda x: x IS NOT NULL AND NOT {_any(_strip('x'), NO_ACTION)})) > 0 AS actionable FROM analysis_records",
     "pending_chats": "SELECT DISTINCT id FROM chats c WHERE NOT EXISTS (SELECT 1 FROM archive_index a WHERE a.id = c.id)",
     "finished_chats": "SELECT DISTINCT id FROM chats c WHERE EXISTS (SELECT 1 FROM archive_index a WHERE a.id = c.id)",
     "run_stats": "SELECT count(*) AS total, count(*) FILTER (status = 'ok') AS analyzed, count(*) FILTER (status = 'failed') AS failed, "
     + ", ".join(f"count(*) FILTER (status = 'ok' AND upper({_strip('route_recommendation')}) = '{x}') AS route_{x.lower()}" for x in "ABCD")
     + " FROM analysis_records",
-    "stats_line": "SELECT format('total={} analyzed={} failed={} A={} B={} C={} D={}', count(*), count(*) FILTER (status = 'ok'), count(*) FILTER (status = 'failed'), "
-    + ", ".join(f"count(*) FILTER (status = 'ok' AND upper({_strip('route_recommendation')}) = '{x}')" for x in "ABCD")
-    + ") AS line FROM analysis_records",
+    "stats_line": "WITH j AS (SELECT DISTINCT id, EXISTS (SELECT 1 FROM archive_index a WHERE a.id = c.id) AS done FROM chats c), s AS (SELECT count(*) AS total, count(*) FILTER (NOT done) AS converted, count(*) FILTER (done) AS skipped FROM j), "
+    "r AS (SELECT count(*) FILTER (status = 'ok') AS ok, count(*) FILTER (status = 'failed') AS failed, "
+    + ", ".join(f"count(*) FILTER (status = 'ok' AND upper({_strip('route_recommendation')}) = '{x}') AS {x.lower()}" for x in "ABCD")
+    + " FROM analysis_records) SELECT format('Run stats: total={} converted={} skipped={} analysis_ok={} analysis_failed={} routes[A={}, B={}, C={}, D={}]', total, converted, skipped, ok, failed, a, b, c, d) AS line FROM s, r",
     "clean_lists": f"SELECT analysis_no, {_clean('valuable_residuals', 3)} AS residuals, {_clean('next_steps', 2)} AS steps FROM analysis_records",
     "residual_strength": f"""
         SELECT analysis_no, CAST(pos - 1 AS BIGINT) AS pos,
@@ -243,7 +276,10 @@ SQL: dict[str, str] = {
     "grade_a_reports": f"""
         SELECT analysis_no, r.id, concat_ws(chr(10), '# ' || coalesce(i.title, '') || chr(10), '| field | value |' || chr(10) || '|---|---|',
             CASE WHEN {_strip("coalesce(r.route_recommendation, '')")} <> '' THEN '| route | ' || r.route_recommendation || ' |' END,
-            CASE WHEN {_strip("coalesce(r.verdict, '')")} <> '' THEN '| verdict | ' || r.verdict || ' |' END, '',
+            CASE WHEN {_strip("coalesce(i.initial_route_recommendation, '')")} <> '' AND i.initial_route_recommendation <> coalesce(r.route_recommendation, '') THEN '| initial route | ' || i.initial_route_recommendation || ' |' END,
+            CASE WHEN {_strip("coalesce(i.final_route_recommendation, '')")} <> '' AND i.final_route_recommendation <> coalesce(r.route_recommendation, '') THEN '| final route | ' || i.final_route_recommendation || ' |' END,
+            CASE WHEN {_strip("coalesce(r.verdict, '')")} <> '' THEN '| verdict | ' || r.verdict || ' |' END,
+            CASE WHEN lower({_strip("i.calibration_applied")}) IN ('true', '1', 'yes') THEN '| second look | applied, confidence ' || coalesce(i.calibration_confidence, '') || ' |' END, '',
             CASE WHEN {_strip("coalesce(r.drift_point, '')")} <> '' THEN '## Drift point' || chr(10) || chr(10) || r.drift_point || chr(10) END,
             '## Residuals' || chr(10), {_NUMBERED.format('r.valuable_residuals')}, chr(10) || '## Next steps' || chr(10), {_NUMBERED.format('r.next_steps')},
             chr(10) || '---' || chr(10), regexp_replace(coalesce(i.primary_text, ''), '{_SPACE}+$', '')) AS report

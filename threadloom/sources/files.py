@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from threadloom.operators.index import COLUMNS
+from threadloom.operators.render import safe_id
 
 
 def read_exports(spark: SparkSession, path: str) -> DataFrame:
@@ -23,12 +24,29 @@ def read_named_texts(spark: SparkSession, path: str, pattern: str) -> DataFrame:
     return found.select(F.col("_metadata.file_name").alias("file_name"), F.col("value").alias("content"))
 
 
+def in_name_order(files: DataFrame) -> DataFrame:
+    """Files by name, spread by ranges of it."""
+    return files.orderBy("file_name")
+
+
 def parsed_records(texts: DataFrame, schema: str) -> DataFrame:
     """``texts`` with ``record``; files that don't hold valid JSON are left out."""
     valid = texts.where(F.try_parse_json("content").isNotNull())
     return valid.withColumn("record", F.from_json("content", schema))
 
 
+def rejected_records(texts: DataFrame) -> DataFrame:
+    """(file_name) of the files that ``parsed_records`` leaves out."""
+    return texts.where(F.try_parse_json("content").isNull()).select("file_name")
+
+
+def analysis_files(records: DataFrame, key: str = "id") -> DataFrame:
+    """(file_name, content) of an analysis each: its fields but ``key`` as indented JSON, nulls kept; characters stay as they are."""
+    fields = F.struct(*[c for c in records.columns if c != key])
+    name = F.concat(F.lit("conv_"), safe_id(F.col(key)), F.lit(".analysis.json"))
+    return records.select(name.alias("file_name"), F.to_json(fields, {"ignoreNullFields": "false", "pretty": "true"}).alias("content"))
+
+
 def write_named_texts(files: DataFrame, folder: str) -> None:
     """Write (file_name, content), a file each, from the executors into a folder they share. A retried task writes the same files again."""
 
