@@ -10,6 +10,7 @@ from threadloom.operators import index, markers, render
 from threadloom.operators.nested import flatten_exports
 from threadloom.operators.normalize import normalize_exports, rejected_exports
 from threadloom.operators.times import stated_times, zone_transitions
+from threadloom.plans import export_sql
 from threadloom.session import table
 
 #: A lexicon in the words of the test tables; any other can be loaded from a file.
@@ -49,9 +50,13 @@ def export_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def export_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Messages and last line of each conversation of the exports, by role: what the parsing keeps of every record."""
-    talks = export_conversations(spark, sf_dir).select("export_id", "position", "format", F.explode("messages").alias("m"))
-    return talks.groupBy("export_id", "position", "format", F.col("m.role").alias("role")).agg(F.count("*").alias("messages"), F.sum(F.length("m.content")).cast("bigint").alias("chars"))
+    """The messages of the conversations of the exports, a row each."""
+    return export_conversations(spark, sf_dir).select("export_id", "position", F.explode("messages").alias("m")).select("export_id", "position", "m.*")
+
+
+def export_heads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The conversations of the exports without their messages."""
+    return export_conversations(spark, sf_dir).select("export_id", "position", "format", "id", "title", "created_at", "updated_at")
 
 
 def analysis_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -177,16 +182,12 @@ def grade_a_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        p2_found, p2_zones, p3_found, export_conversations, export_rejects, export_messages, analysis_prompts, unfenced, actionable_steps, conv_markdown, transcripts, conversation_sizes, role_counts, safe_ids, index_current, pending_chats,
+        p2_found, p2_zones, p3_found, export_conversations, export_rejects, export_heads, export_messages, analysis_prompts, unfenced, actionable_steps, conv_markdown, transcripts, conversation_sizes, role_counts, safe_ids, index_current, pending_chats,
         finished_chats, run_stats, stats_line, clean_lists, residual_strength, verdict_markers, record_faults, script_languages, grade_a_reports, grade_a_missing,
     )
 }
 
-_SPACE = r"[\s\x{b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
-
-
-def _strip(x: str) -> str:
-    return f"regexp_replace({x}, '^{_SPACE}+|{_SPACE}+$', '', 'g')"
+_SPACE, _strip = export_sql._SPACE, export_sql.strip
 
 
 def _any(x: str, words: list[str]) -> str:
@@ -217,6 +218,10 @@ _TRANSCRIPT = "array_to_string(list_transform(messages, lambda m: '[' || coalesc
 _ROUTE_A = f"upper({_strip('route_recommendation')}) = 'A'"
 
 SQL: dict[str, str] = {
+    "p3_found": export_sql.P3_FOUND,
+    "export_heads": export_sql.EXPORT_HEADS,
+    "export_messages": export_sql.EXPORT_MESSAGES,
+    "export_rejects": export_sql.EXPORT_REJECTS,
     "conv_markdown": f"""
         SELECT id, 'conv_' || left(regexp_replace(id, '[^a-zA-Z0-9_.\\-]', '_', 'g'), 80) || '.md' AS md_file,
           {_strip('''concat_ws(chr(10), '# ' || coalesce(title, ''), '', '- id: ' || coalesce(id, ''), '- source: ' || coalesce(source, ''), '- created_at: ' || coalesce(created_at, ''),
