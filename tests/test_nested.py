@@ -1,10 +1,60 @@
 import json
 
+import numpy as np
 import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from threadloom.operators.nested import conversations_of, decoded, entries_of, flatten_batch, flatten_exports, named, parts_of, attachments_of, record_of
+from threadloom.functions.jsontape import ARRAY, BOOL, NULL, NUMBER, OBJECT, STRING, Tape
+from threadloom.operators.nested import conversations_of, decoded, flatten_batch, flatten_exports, record_of
+
+
+def named(holder: dict, *names: str) -> str | None:
+    """The first of the fields that isn't blank, as text."""
+    for name in names:
+        value = holder.get(name)
+        if isinstance(value, bool) or value is None or isinstance(value, (dict, list)):
+            continue
+        if str(value).strip():
+            return str(value)
+    return None
+
+
+def entries_of(conversation: dict) -> list[tuple[str, str | None, dict | None]]:
+    """(key, key of the entry above, message or None) of each entry; only the mapping form has entries above."""
+    mapping = decoded(conversation.get("mapping"))
+    if isinstance(mapping, dict) and mapping:
+        out = []
+        for key, entry in mapping.items():
+            entry = decoded(entry)
+            message = decoded(entry.get("message")) if isinstance(entry, dict) else None
+            above = entry.get("parent") if isinstance(entry, dict) else None
+            out.append((key, above if isinstance(above, str) else None, message if isinstance(message, dict) else None))
+        return out
+    for field in ("chat_messages", "messages"):
+        items = decoded(conversation.get(field))
+        if isinstance(items, list):
+            found = [(i, m) for i, m in ((i, decoded(x)) for i, x in enumerate(items)) if isinstance(m, dict)]
+            if found:
+                return [(named(m, "uuid") or str(i), None, m) for i, m in found]
+    return []
+
+
+def positions(values: object) -> list[int]:
+    return [i for i, v in enumerate(values) if v is not None] if isinstance(values, list) else []
+
+
+def parts_of(message: dict) -> list[int]:
+    content = decoded(message.get("content"))
+    if isinstance(content, dict):
+        content = decoded(content.get("parts"))
+    return positions(content) or positions(decoded(message.get("text")))
+
+
+def attachments_of(message: dict) -> list[int]:
+    found = positions(decoded(message.get("attachments")))
+    metadata = decoded(message.get("metadata"))
+    return found or (positions(decoded(metadata.get("attachments"))) if isinstance(metadata, dict) else [])
 
 
 def flat(*records):
@@ -84,6 +134,55 @@ def test_against_walking(values):
     assert flat(*texts) == slow(*texts)
 
 
+def value_of(tape, node):
+    """A node as a Python value, by walking."""
+    kind = tape.kind[node]
+    if kind in (OBJECT, ARRAY):
+        _, below = tape.children(np.array([node]))
+        values = [value_of(tape, x) for x in below]
+        return dict(zip(tape.keys(below).to_pylist(), values)) if kind == OBJECT else values
+    if kind == STRING:
+        return tape.texts(np.array([node]))[0].as_py()
+    return {NULL: None, BOOL: bytes(tape.data[tape.start[node] : tape.end[node]]) == b"true"}.get(kind) if kind != NUMBER else json.loads(tape.texts(np.array([node]))[0].as_py())
+
+
+def strict(text):
+    def refuse(_):
+        raise ValueError
+
+    try:
+        return True, json.loads(text, parse_constant=refuse)
+    except ValueError:
+        return False, None
+
+
+anything = st.recursive(st.none() | st.booleans() | st.integers() | st.floats(allow_nan=False, allow_infinity=False) | st.text(max_size=6), lambda x: st.lists(x, max_size=4) | st.dictionaries(st.text(max_size=3), x, max_size=4), max_leaves=12)
+broken = st.text(st.sampled_from('{}[]:,"\\ \n01-.eE+trufalsn\t\x01é'), max_size=14)
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.builds(json.dumps, anything) | st.builds(lambda v: json.dumps(v, ensure_ascii=False, indent=1), anything) | broken, max_size=6), st.data())
+def test_reader_agrees_with_the_library(texts, data):
+    if texts and data.draw(st.booleans()):
+        cut = data.draw(st.integers(0, len(texts[0])))
+        texts[0] = texts[0][:cut] + data.draw(st.sampled_from(['', '"', ",", "}", "]", "\\", "1", ":"])) + texts[0][cut + data.draw(st.integers(0, 2)) :]
+    tape = Tape(("a", "b"))
+    tape.add(pa.array(['{"x": [1, "y"]}']))
+    roots = tape.add(pa.array(texts, pa.string()))
+    for text, root in zip(texts, roots):
+        good, value = strict(text)
+        assert (root >= 0) == good, text
+        if good:
+            assert value_of(tape, root) == value, text
+
+
+def test_repeated_keys_and_long_records():
+    twice = '{"id": "x", "id": "c", "mapping": {"a": {"message": {"content": {"parts": [1]}}}, "a": {"message": {"text": [1, 2]}}}}'
+    assert flat(twice) == slow(twice) == {(1, "c", k, a, b) for k, a, b in (("conversation", "c", "1"), ("message", "a", "c"), ("part", "a/parts/0", "a"), ("part", "a/parts/1", "a"))}
+    deep = {"id": "d", "mapping": {f"n{i}": {"parent": f"n{i - 1}", "message": {} if i % 50 == 0 else None} for i in range(3000)}}
+    assert flat(json.dumps(deep), twice[:-1], json.dumps(deep)) == slow(json.dumps(deep), twice[:-1], json.dumps(deep))
+
+
 def test_operator(spark):
     frame = spark.createDataFrame([(7, json.dumps(TREE), "x"), (8, None, "y"), (9, " ", "z")], "export_id long, record string, kind string")
     rows = flatten_exports(frame).collect()

@@ -1,9 +1,9 @@
 """Nested export records to flat parent-child rows.
 
-JSON text is decoded into one Arrow list array per level (conversations of a record, message entries
-of a conversation, parts and attachments of an entry). From there on nothing looks at rows: list
-offsets give each child its parent index, ``take`` carries the parent's keys down, and the nearest
-message ancestor of a tree entry comes from pointer jumping over an index array.
+The bytes of a batch of records become one array of JSON nodes (``functions.jsontape``), and each level (conversations of a record, entries of a
+conversation, parts and attachments of an entry) is the range of children of a level above, as list offsets are: every child has its parent index, ``take``
+carries the parent's keys down, and the nearest message ancestor of a tree entry comes from pointer jumping over an index array. No record,
+entry or part is looked at by itself.
 """
 
 from __future__ import annotations
@@ -17,6 +17,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from threadloom.functions.jsontape import ARRAY, NULL, OBJECT, STRING, Tape
+
 FLAT_SCHEMA = "export_id bigint, conversation_key string, kind string, child_key string, parent_key string"
 
 
@@ -51,17 +53,6 @@ def is_null(text: str) -> bool:
     return text.strip() == "null"
 
 
-def named(holder: dict, *names: str) -> str | None:
-    """The first of the fields that isn't blank, as text."""
-    for name in names:
-        value = holder.get(name)
-        if isinstance(value, bool) or value is None or isinstance(value, (dict, list)):
-            continue
-        if str(value).strip():
-            return str(value)
-    return None
-
-
 def conversations_of(value: object) -> list[tuple[int, dict]]:
     """(position, conversation) of each conversation object in a record."""
     if isinstance(value, dict):
@@ -74,57 +65,6 @@ def conversations_of(value: object) -> list[tuple[int, dict]]:
     return [(i, c) for i, c in ((i, decoded(x)) for i, x in enumerate(value)) if isinstance(c, dict)]
 
 
-def entries_of(conversation: dict) -> list[tuple[str, str | None, dict | None]]:
-    """(key, key of the entry above, message or None) of each entry; only the mapping form has entries above."""
-    mapping = decoded(conversation.get("mapping"))
-    if isinstance(mapping, dict) and mapping:
-        out = []
-        for key, entry in mapping.items():
-            entry = decoded(entry)
-            message = decoded(entry.get("message")) if isinstance(entry, dict) else None
-            above = entry.get("parent") if isinstance(entry, dict) else None
-            out.append((key, above if isinstance(above, str) else None, message if isinstance(message, dict) else None))
-        return out
-    for field in ("chat_messages", "messages"):
-        items = decoded(conversation.get(field))
-        if isinstance(items, list):
-            found = [(i, m) for i, m in ((i, decoded(x)) for i, x in enumerate(items)) if isinstance(m, dict)]
-            if found:
-                return [(named(m, "uuid") or str(i), None, m) for i, m in found]
-    return []
-
-
-def positions(values: object) -> list[int]:
-    return [i for i, v in enumerate(values) if v is not None] if isinstance(values, list) else []
-
-
-def parts_of(message: dict) -> list[int]:
-    content = decoded(message.get("content"))
-    if isinstance(content, dict):
-        content = decoded(content.get("parts"))
-    return positions(content) or positions(decoded(message.get("text")))
-
-
-def attachments_of(message: dict) -> list[int]:
-    found = positions(decoded(message.get("attachments")))
-    metadata = decoded(message.get("metadata"))
-    return found or (positions(decoded(metadata.get("attachments"))) if isinstance(metadata, dict) else [])
-
-
-class _Lists:
-    """Builds one Arrow list array: ``add`` appends the children of the next parent."""
-
-    def __init__(self, kind: pa.DataType):
-        self.kind, self.values, self.offsets = kind, [], [0]
-
-    def add(self, children: list) -> None:
-        self.values.extend(children)
-        self.offsets.append(len(self.values))
-
-    def array(self) -> pa.ListArray:
-        return pa.ListArray.from_arrays(pa.array(self.offsets, pa.int32()), pa.array(self.values, self.kind))
-
-
 def _message_above(above: np.ndarray, is_message: np.ndarray) -> np.ndarray:
     """For each entry the index of the nearest message above it, -1 for none; rings lead nowhere."""
     n = len(above)
@@ -140,51 +80,109 @@ def _message_above(above: np.ndarray, is_message: np.ndarray) -> np.ndarray:
 
 
 def _joined(*pieces: object) -> pa.Array:
-    return pc.binary_join_element_wise(*pieces, pa.scalar(""))
+    large = pa.large_string()
+    return pc.binary_join_element_wise(*(pa.scalar(p, large) if isinstance(p, str) else p.cast(large) for p in pieces), pa.scalar("", large))
+
+
+_FIELDS = ("conversations", "id", "conversation_id", "uuid", "mapping", "chat_messages", "messages", "message", "parent", "content", "parts", "text", "attachments", "metadata")
+
+
+def _named(tape: Tape, nodes: np.ndarray, *names: str) -> pa.Array:
+    """Of each object the first of the fields that isn't blank, as text."""
+    found = []
+    for name in names:
+        said = tape.texts(tape.child(nodes, name))
+        blank = pc.equal(pc.utf8_trim_whitespace(said), "").fill_null(True)
+        found.append(pc.if_else(blank, pa.scalar(None, pa.large_string()), said))
+    return pc.coalesce(*found)
+
+
+def _items(tape: Tape, lists: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(index of the list, element) of the elements of those nodes that are lists."""
+    return tape.children(np.where(tape.is_kind(lists, ARRAY), lists, -1))
+
+
+def _either(tape: Tape, one: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(index, position) of the elements that aren't null of the first list, or of the other where that has none."""
+    owner, item = _items(tape, one)
+    full = ~tape.is_kind(item, NULL)
+    owner, item = owner[full], item[full]
+    more, rest = _items(tape, np.where(np.bincount(owner, minlength=len(one)) > 0, -1, other))
+    full = ~tape.is_kind(rest, NULL)
+    return np.append(owner, more[full]), tape.place[np.append(item, rest[full]).astype(np.int64)]
 
 
 def flatten_batch(export_ids: pa.Array, records: pa.Array) -> pa.RecordBatch:
     """The flat rows of a batch of records, each row once."""
-    convs, entries, parts, attachments = _Lists(pa.string()), _Lists(pa.string()), _Lists(pa.int32()), _Lists(pa.int32())
-    spots, above, is_message = [], [], []
-    for record in records.to_pylist():
-        found = conversations_of(record_of(record))
-        convs.add([named(c, "id", "conversation_id", "uuid") for _, c in found])
-        spots.extend(i for i, _ in found)
-        for _, conversation in found:
-            own = entries_of(conversation)
-            start = len(entries.values)
-            at = {key: start + i for i, (key, _, _) in enumerate(own)}
-            entries.add([key for key, _, _ in own])
-            for _, up, message in own:
-                above.append(at.get(up, -1))
-                is_message.append(message is not None)
-                parts.add(parts_of(message) if message is not None else [])
-                attachments.add(attachments_of(message) if message is not None else [])
-    conv_lists, entry_lists = convs.array(), entries.array()
-    ids = export_ids.cast(pa.int64()).take(pc.list_parent_indices(conv_lists))
-    fallback = _joined(ids.cast(pa.string()), ":", pa.array(spots, pa.int32()).cast(pa.string()))
-    conv_keys = pc.coalesce(conv_lists.flatten(), fallback)
-
-    conv_of = pc.list_parent_indices(entry_lists)
-    entry_ids, entry_convs, entry_keys = ids.take(conv_of), conv_keys.take(conv_of), entry_lists.flatten()
-    messages = np.array(is_message, dtype=bool)
-    up = _message_above(np.array(above, dtype=np.int64), messages)
-    parents = pc.coalesce(entry_keys.take(pa.array(up, pa.int64(), mask=up < 0)), entry_convs)
-    own = pa.array(np.flatnonzero(messages), pa.int64())
-    out = [
-        (ids, conv_keys, "conversation", conv_keys, ids.cast(pa.string())),
-        (entry_ids.take(own), entry_convs.take(own), "message", entry_keys.take(own), parents.take(own)),
-    ]
-    for kind, lists, word in (("part", parts.array(), "/parts/"), ("attachment", attachments.array(), "/attachments/")):
-        of = pc.list_parent_indices(lists)
-        holder = entry_keys.take(of)
-        keys = _joined(holder, word, lists.flatten().cast(pa.string()))
-        out.append((entry_ids.take(of), entry_convs.take(of), kind, keys, holder))
+    tape = Tape(_FIELDS)
+    tops = tape.decoded(tape.add(records))
+    many = tape.decoded(tape.child(tops, "conversations"))
+    listed = np.where(tape.is_kind(tops, ARRAY), tops, np.where(tape.is_kind(many, ARRAY), many, -1))
+    owner, item = _items(tape, listed)
+    alone = np.flatnonzero(tape.is_kind(tops, OBJECT) & (listed < 0))
+    record_of_conv, spots = np.append(owner, alone), np.append(tape.place[item], np.zeros(len(alone), np.int64))
+    convs = tape.decoded(np.append(item, tops[alone]).astype(np.int64))
+    good = tape.is_kind(convs, OBJECT)
+    record_of_conv, spots, convs = record_of_conv[good], spots[good], convs[good]
+    ids = export_ids.cast(pa.int64()).take(pa.array(record_of_conv))
+    fallback = _joined(ids.cast(pa.large_string()), ":", pa.array(spots).cast(pa.large_string()))
+    conv_keys = pc.coalesce(_named(tape, convs, "id", "conversation_id", "uuid"), fallback)
+
+    # entries of trees
+    mapping = tape.decoded(tape.child(convs, "mapping"))
+    conv_of, entry = tape.children(np.where(tape.is_kind(mapping, OBJECT), mapping, -1))
+    has_tree = np.bincount(conv_of, minlength=len(convs)) > 0
+    keys = tape.keys(entry)
+    entry = tape.decoded(entry)
+    up_node = tape.child(entry, "parent")
+    ups = tape.texts(np.where(tape.is_kind(up_node, STRING), up_node, -1))
+    message = tape.decoded(tape.child(entry, "message"))
+    words = pc.dictionary_encode(pa.concat_arrays([keys, ups]))
+    codes = words.indices.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+    own, above = codes[: len(keys)] + conv_of * (len(words.dictionary) + 1), codes[len(keys) :]
+    order = np.argsort(own, kind="stable")
+    last = np.append(own[order][1:] != own[order][:-1], True)[: len(order)]
+    order = order[last]  # a repeated key means its last entry
+    wanted = np.where(above >= 0, above + conv_of * (len(words.dictionary) + 1), -1)[order]
+    place = np.minimum(np.searchsorted(own[order], wanted), max(0, len(order) - 1))
+    parent = np.where(own[order][place] == wanted, place, -1) if len(order) else place
+    is_message = tape.is_kind(message[order], OBJECT)
+    up = _message_above(parent.astype(np.int64), is_message)
+    tree_conv = conv_of[order]
+    tree_keys = keys.take(pa.array(order))
+    tree_parents = pc.coalesce(tree_keys.take(pa.array(up, pa.int64(), mask=up < 0)), conv_keys.take(pa.array(tree_conv)))
+
+    # messages of lists
+    list_conv, list_item, open_convs = np.zeros(0, np.int64), np.zeros(0, np.int64), ~has_tree
+    places = np.zeros(0, np.int64)
+    for field in ("chat_messages", "messages"):
+        owner, item = _items(tape, np.where(open_convs, tape.decoded(tape.child(convs, field)), -1))
+        at, item = tape.place[item], tape.decoded(item)
+        good = tape.is_kind(item, OBJECT)
+        list_conv, list_item, places = np.append(list_conv, owner[good]), np.append(list_item, item[good]), np.append(places, at[good])
+        open_convs = open_convs & ~(np.bincount(owner[good], minlength=len(convs)) > 0)
+    list_keys = pc.coalesce(_named(tape, list_item, "uuid"), pa.array(places).cast(pa.large_string()))
+
+    nodes = np.append(message[order][is_message], list_item).astype(np.int64)
+    of_conv = np.append(tree_conv[is_message], list_conv).astype(np.int64)
+    message_keys = pa.concat_arrays([tree_keys.filter(pa.array(is_message)), list_keys])
+    parents = pa.concat_arrays([tree_parents.filter(pa.array(is_message)), conv_keys.take(pa.array(list_conv))])
+    content = tape.decoded(tape.child(nodes, "content"))
+    nested = tape.is_kind(content, OBJECT)
+    content[nested] = tape.decoded(tape.child(content[nested], "parts"))
+    meta = tape.decoded(tape.child(nodes, "metadata"))
+    parts = _either(tape, content, tape.decoded(tape.child(nodes, "text")))
+    attachments = _either(tape, tape.decoded(tape.child(nodes, "attachments")), tape.decoded(tape.child(meta, "attachments")))
+
+    message_ids, message_convs = ids.take(pa.array(of_conv)), conv_keys.take(pa.array(of_conv))
+    out = [(ids, conv_keys, "conversation", conv_keys, ids.cast(pa.large_string())), (message_ids, message_convs, "message", message_keys, parents)]
+    for kind, (of, spot), word in (("part", parts, "/parts/"), ("attachment", attachments, "/attachments/")):
+        of = pa.array(of.astype(np.int64))
+        holder = message_keys.take(of)
+        out.append((message_ids.take(of), message_convs.take(of), kind, _joined(holder, word, pa.array(spot).cast(pa.large_string())), holder))
     names = [c.split()[0] for c in FLAT_SCHEMA.split(", ")]
-    table = pa.concat_tables(
-        pa.table([i, c, pa.array([kind] * len(i), pa.string()), k, p], names=names) for i, c, kind, k, p in out
-    )
+    text = lambda a: a.cast(pa.string())
+    table = pa.concat_tables(pa.table([i, text(c), pa.array([kind] * len(i), pa.string()), text(k), text(p)], names=names) for i, c, kind, k, p in out)
     return table.group_by(names, use_threads=False).aggregate([]).select(names)
 
 
