@@ -253,10 +253,10 @@ def incomplete(messages: DataFrame, known: DataFrame) -> DataFrame:
     return rows.join(known.select("conversation_id", "revision"), "conversation_id", "left").where("revision is null or revision <> _n").select("conversation_id")
 
 
-def conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+def conversations(spark: SparkSession, sf_dir: str, batches: int = MICRO_BATCHES) -> DataFrame:
     path = os.path.join(sf_dir, "message_rows.parquet")
     files = len(spark.read.parquet(path).inputFiles())
-    return rebuild_all(spark, path, table(spark, sf_dir, "accounts"), max_files=-(-files // MICRO_BATCHES) if files > 1 else None)
+    return rebuild_all(spark, path, table(spark, sf_dir, "accounts"), max_files=-(-files // batches) if files > 1 else None)
 
 
 def outcomes(results: DataFrame, chats: DataFrame) -> DataFrame:

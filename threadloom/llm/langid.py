@@ -54,15 +54,17 @@ _SEPARATOR, _PARAGRAPH = 0x0, 0x2029
 _OTHER, _LATIN, _CYRILLIC, _LIKE, _HAN, _KANA, _FOREIGN, _LINE, _STOP, _WIDE_STOP, _BLANK = range(11)
 
 
-#: Any noise shows one of these signs or matches the short expression; texts without are spared the longer one.
+#: Any noise shows one of these signs or matches a short expression; texts without are spared the longer one.
 _NOISE_SIGNS = ("`", "#", "*", "|", "{", "@", "＠", "[", "===", "---", "://", "(at", "( at", "\n- ", "\n\t- ", "ser: ", "SER: ", "ssistant: ", "SSISTANT: ", "ystem: ", "YSTEM: ", "ool: ", "OOL: ", "uman: ", "UMAN: ")
-_NOISE_SIGN = r"^[ \t]*- |\n[ \t]+- |[.\-] ?\d{5}|\d\d:\d\d:\d\d|\d{4}-\d\d-\d\d[T ]|(?<![A-Za-z0-9+/=_\-])[A-Za-z0-9+/=_\-]{36}|\b[0-9a-f]{10}"
+#: Short expressions for the rest, each behind a sign that it needs.
+_NOISE_FORMS = (("- ", r"^[ \t]*- |\n[ \t]+- "), (":", r"\d\d:\d\d:\d\d"), ("-", r"\d{4}-\d\d-\d\d[T ]"), (None, r"\d{5}"), (None, r"[0-9a-f]{10}"), (None, r"[A-Za-z0-9+/=_\-]{36}"))
 _UNSEEN = r"[\x{200B}-\x{200D}\x{2060}\x{FEFF}\x{AD}\x{0}]"
 
 
 def cleaned(text: Column) -> Column:
     """Lower-case text without what has no language; paragraphs end in U+2029."""
-    noisy = reduce(lambda found, sign: found | text.contains(sign), _NOISE_SIGNS, F.lit(False)) | text.rlike(_NOISE_SIGN)
+    noisy = reduce(lambda found, sign: found | text.contains(sign), _NOISE_SIGNS, F.lit(False))
+    noisy = reduce(lambda found, form: found | (text.rlike(form[1]) if form[0] is None else text.contains(form[0]) & text.rlike(form[1])), _NOISE_FORMS, noisy)
     bare = F.when(noisy, F.regexp_replace(text, _NOISE, "\n")).otherwise(text)
     shown = F.when(text.rlike(_UNSEEN), F.regexp_replace(bare, _UNSEEN, "")).otherwise(bare)
     return F.lower(F.when(text.contains("\n") | text.contains("`"), F.regexp_replace(shown, r"\n[ \t\r\x{A0}\x{3000}]*\n\s*", "\u2029")).otherwise(shown))

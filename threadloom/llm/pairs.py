@@ -39,13 +39,16 @@ REFUSALS = {
 }
 #: One of these is in every phrase of the same language above, in lower case; a cheap test before the longer one.
 REFUSAL_SIGNS = {
-    "en": ("n't", "n’t", "cannot", "cant ", "wont ", " not ", "unable", "declin", "refuse", "to pass", "what i", "against my", "unanswered", "no can do"),
-    "de": ("nicht", "kein", "lehn", "übersteigt", "verweiger"),
+    "en": ("can't", "can’t", "won't", "won’t", "couldn't", "couldn’t", "don't", "don’t", "cannot", "cant ", "wont ", "can not", "will not", "must not", "may not", "could not", "do not", "not able", "not allowed", "not permitted", "not going", "not willing", "rather not", "prefer not", "not something", "unable", "declin", "refuse", "to pass", "outside what i", "outside of what i", "beyond what i", "beyond of what i", "against my", "unanswered", "no can do"),
+    "de": ("nicht", "keine", "ablehnen", "lehne", "übersteigt", "verweiger"),
     "fr": ("ne peux", "ne puis", "ne suis", "ne veux", "ne souhaite", "ne pourrai", "ne dois", "ne saurais", "ne pas", "pas permis", "ne m'est", "ne m’est", "refus", "déclin", "'abst", "’abst", "sort du cadre", "pas le droit"),
     "es": ("no puedo", "no debo", "no voy", "no podré", "no me ", "no quiero", "no está", "prefiero no", "rechaz", "declin", "negarme", "niego", "fuera de", "no contin"),
     "pt": ("não posso", "não devo", "não vou", "não poderei", "não consigo", "não quero", "não me", "prefiro não", "recus", "declin", "que posso"),
-    "zh": ("無法", "无法", "不", "恕", "拒", "超出"), "ja": ("ません", "かねます", "できない", "控え", "断り", "遠慮", "範囲を", "権限を"), "ru": ("не ", "вынужден", "отказ", "отклон", "рамки"),
+    "zh": ("無法", "无法", "不方便", "不能", "不便", "不可以", "不願", "不愿", "不想", "不會", "不会", "恕", "拒", "不予", "超出"), "ja": ("ません", "かねます", "できない", "控え", "断り", "遠慮", "範囲を", "権限を"),
+    "ru": ("не могу", "не смогу", "не вправе", "не долж", "не буду", "не стану", "не готов", "не отвеч", "не дозвол", "вынужден", "отказ", "отклон", "рамки"),
 }
+#: The stems of the verbs that a German negation governs; the other phrases need none of them.
+_GERMAN_STEMS = ("helf", "antwort", "äußer", "bereitstell", "unterstütz", "dien", "sprech", "liefer", "geb", "anbiet", "nachkomm", "geh", "behandel", "auskunft", "lehn", "übersteigt", "verweiger")
 #: What a text must hold to be in another alphabet.
 _SCRIPTS = {"zh": r"[\x{4e00}-\x{9fff}]", "ja": r"[\x{3040}-\x{30ff}]", "ru": r"[\x{400}-\x{4ff}]"}
 #: What stands beside a refusal without answering: courtesies, words about oneself and one's rules, and where else to turn.
@@ -105,8 +108,9 @@ def with_truncation(pairs: DataFrame) -> DataFrame:
 
     The steps are columns of their own, so that each is computed once a row.
     """
+    tail = F.right("reply", F.lit(1)).rlike(r"(?U)[\s\x1c-\x1f\x{200B}-\x{200D}\x{2060}\x{FEFF}\x{FE0F}\x{1F300}-\x{1FAFF}\x{2600}-\x{27BF}]")
     shown = F.regexp_replace("reply", r"(?U)[\s\x1c-\x1f\x{200B}-\x{200D}\x{2060}\x{FEFF}\x{FE0F}\x{1F300}-\x{1FAFF}\x{2600}-\x{27BF}]++$", "")
-    rows = pairs.withColumn("_shown", F.coalesce(shown, F.lit("")))
+    rows = pairs.withColumn("_shown", F.coalesce(F.when(tail, shown).otherwise(F.col("reply")), F.lit("")))
     prose = F.regexp_replace(F.regexp_replace("_shown", r"(?s)```.*?```", "\n"), r"\s++$", "")
     rows = rows.withColumn("_prose", F.when(F.col("_shown").contains("```"), prose).otherwise(F.col("_shown")))
     rows = rows.withColumn("_last", F.substring_index("_prose", "\n", -1))
@@ -126,19 +130,21 @@ def with_truncation(pairs: DataFrame) -> DataFrame:
     return rows.withColumn("_truncated", broken).drop("_shown", "_prose", "_last", "_tail", "_marks")
 
 
-def _declines(low: Column) -> Column:
-    """Whether a text in lower case declines in any language."""
+def _declines(low: Column, main: Column) -> Column:
+    """Whether a text in lower case declines, in its language ``main`` or, where that is null, in any."""
 
     def test(k: str) -> Column:
         signs = reduce(lambda a, w: a | low.contains(w), REFUSAL_SIGNS[k], F.lit(False))
-        return F.when(low.rlike(_SCRIPTS[k]) if k in _SCRIPTS else F.lit(True), signs & low.rlike(REFUSALS[k])).otherwise(False)
+        if k == "de":
+            signs = signs & reduce(lambda a, w: a | low.contains(w), _GERMAN_STEMS, F.lit(False))
+        own = main.isNull() | (main == k)
+        return F.when(own & low.rlike(_SCRIPTS[k]) if k in _SCRIPTS else own, signs & low.rlike(REFUSALS[k])).otherwise(False)
 
     return reduce(lambda a, b: a | b, map(test, REFUSAL_SIGNS))
 
 
-def refusal(reply: Column) -> Column:
-    """Whether a reply declines and gives no answer: of its letters at most ``ANSWER_SHARE`` stand in sentences that neither decline nor are courtesies, whatever its length."""
-    low = F.lower(reply)
+def refusal(low: Column, main: Column) -> Column:
+    """Whether a reply, given in lower case, declines and gives no answer: of its letters at most ``ANSWER_SHARE`` stand in sentences that neither decline nor are courtesies, whatever its length; ``main`` is its language where that is sure, else null."""
     sentences = F.filter(F.split(low, _CONTRAST), lambda s: s.rlike(r"(?U)[\p{L}]"))
     size = lambda s: F.length(F.regexp_replace(s, r"(?U)[^\p{L}]+", ""))
     idle = lambda s: s.rlike("|".join(REFUSALS.values())) | s.rlike(COURTESIES)
@@ -148,13 +154,16 @@ def refusal(reply: Column) -> Column:
         lambda a, s: F.struct((a["every"] + size(s)).alias("every"), (a["answer"] + F.when(idle(s), 0).otherwise(size(s))).alias("answer")),
     )
     answers = sums["answer"] > sums["every"] * ANSWER_SHARE
-    return F.coalesce(F.when(_declines(low), ~answers), F.lit(False))  # a condition, so that the sentences of most replies are never looked at
+    return F.coalesce(F.when(_declines(low, main), ~answers), F.lit(False))  # a condition, so that the sentences of most replies are never looked at
 
 
-def copied(prompt: Column, reply: Column) -> Column:
-    """Whether a reply only repeats its prompt, whatever the case, spacing and punctuation, once or more, whole or most of it, also behind 'You asked:'."""
-    said = F.regexp_replace(F.regexp_replace(reply, r"(?U)^[\s\x1c-\x1f]++", ""), "(?i)" + ECHOES, "")
-    a, b = bare(prompt), bare(said)
+def said(reply: Column) -> Column:
+    """A reply without 'You asked:' and the like in front."""
+    return F.regexp_replace(F.regexp_replace(reply, r"(?U)^[\s\x1c-\x1f]++", ""), "(?i)" + ECHOES, "")
+
+
+def copied(a: Column, b: Column) -> Column:
+    """Whether a reply only repeats its prompt, once or more, whole or most of it; both as their bare letters."""
     repeated = (F.length(a) > 0) & (F.length(F.replace(b, a, F.lit(""))) == 0)
     return (F.length(b) > 0) & (repeated | ((F.length(b) * 10 >= F.length(a) * 6) & a.contains(b)))
 
@@ -166,7 +175,7 @@ def _letters_of(result: Column, lang: Column) -> Column:
 def judged(pairs: DataFrame, model: Model) -> DataFrame:
     """``pairs`` (row_id, prompt, reply) with ``defects`` (every rule that fires, in order) and ``defect`` (the first or null)."""
     prompt, reply = F.coalesce("prompt", F.lit("")), F.coalesce("reply", F.lit(""))
-    read = with_truncation(pairs).withColumns({"_p": language_column(model, prompt), "_r": language_column(model, reply)})
+    read = with_truncation(pairs).withColumns({"_low": F.lower(reply), "_a": bare(prompt), "_b": bare(said(reply)), "_p": language_column(model, prompt), "_r": language_column(model, reply)})
     p, r = F.col("_p"), F.col("_r")
     every = F.aggregate(r["letters"], F.lit(0), lambda n, x: n + x)
     foreign = (
@@ -182,13 +191,13 @@ def judged(pairs: DataFrame, model: Model) -> DataFrame:
     visible = has_visible(reply)
     rules = {
         "empty": ~visible,
-        "copy": visible & copied(prompt, reply),
-        "refusal": visible & refusal(reply),
+        "copy": visible & copied(F.col("_a"), F.col("_b")),
+        "refusal": visible & refusal(F.col("_low"), F.when(r["confidence"] >= 0.6, r["main"])),
         "truncated": visible & F.col("_truncated"),
         "wrong_language": visible & foreign,
     }
     fired = F.filter(F.array(*[F.when(F.coalesce(test, F.lit(False)), F.lit(name)) for name, test in rules.items()]), lambda x: x.isNotNull())
-    return read.withColumn("defects", fired).withColumn("defect", F.try_element_at("defects", F.lit(1))).drop("_p", "_r", "_truncated")
+    return read.withColumn("defects", fired).withColumn("defect", F.try_element_at("defects", F.lit(1))).drop("_p", "_r", "_truncated", "_low", "_a", "_b")
 
 
 def prompt_reply_pairs(results: DataFrame, messages: DataFrame) -> DataFrame:

@@ -26,7 +26,7 @@ def p4_defects(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each defective reply with its first defect and every rule that fired."""
     model = fitted(table(spark, sf_dir, "documents"))
     messages, chats = table(spark, sf_dir, "message_rows"), table(spark, sf_dir, "chats")
-    return defective_pairs(conversations(spark, sf_dir), messages, chats, model)
+    return defective_pairs(conversations(spark, sf_dir, batches=1), messages, chats, model)
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
