@@ -64,6 +64,7 @@ COURTESIES = (
 )
 #: Words that part what a speaker declines from what follows.
 _CONTRAST = r"(?<=[.!?。！？;；])\s*|\n|,?\s+(?:but|however|yet|instead,|aber|jedoch|mais|cependant|pero|sin embargo|mas|porém|но|однако)\b,?\s*|[，,](?:但|不過|不过)"
+SURE = 0.9  # from here on a language stands for the phrases of a refusal
 ANSWER_SHARE = 0.3  # a reply whose other sentences hold more of its letters than this answers, whatever it declines
 #: Words by which a reply first repeats what was asked.
 ECHOES = r"^(?:you (?:asked|wrote|said)|your question(?: was| is)?|the question(?: was| is)?|question|(?:du|sie) (?:fragst|hast gefragt|fragtest)|(?:deine|ihre) frage(?: war| lautet)?|votre question|vous (?:demandez|avez demandé)|tu (?:pregunta|preguntaste)|su pregunta|preguntaste|(?:a )?(?:tua|sua) pergunta|(?:você|vocês) perguntou|perguntou|你的問題是|你的问题是|你問|你问|您的問題是|ご質問(?:は)?|質問|ваш вопрос|твой вопрос|вы спросили|вопрос)\s*[:：]\s*"
@@ -192,7 +193,7 @@ def judged(pairs: DataFrame, model: Model) -> DataFrame:
     rules = {
         "empty": ~visible,
         "copy": visible & copied(F.col("_a"), F.col("_b")),
-        "refusal": visible & refusal(F.col("_low"), F.when(r["confidence"] >= 0.6, r["main"])),
+        "refusal": visible & refusal(F.col("_low"), F.when(r["confidence"] >= SURE, r["main"])),
         "truncated": visible & F.col("_truncated"),
         "wrong_language": visible & foreign,
     }
