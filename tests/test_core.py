@@ -66,7 +66,9 @@ def test_index(spark, tmp_path):
 
 def test_stats(spark):
     frame = spark.createDataFrame([("ok", " a "), ("ok", "B"), ("failed", "A"), (None, None)], "status string, route_recommendation string")
-    assert index.stats_line(index.run_stats(frame)).first()["line"] == "total=4 analyzed=2 failed=1 A=1 B=1 C=0 D=0"
+    jobs, done = spark.createDataFrame([("a",), ("b",), (None,)], "id string"), spark.createDataFrame([("b",), ("b",), ("z",)], "id string")
+    line = index.stats_line(index.conversion_stats(jobs, done), index.run_stats(frame)).first()["line"]
+    assert line == "Run stats: total=3 converted=2 skipped=1 analysis_ok=2 analysis_failed=1 routes[A=1, B=1, C=0, D=0]"
 
 
 def test_normalize(spark):
@@ -147,3 +149,30 @@ def test_oracle(spark, small, name):
     rows = [tuple(r[c] for c in columns) for r in got.collect()]
     other = [tuple(x) for x in expected.astype(object).where(expected.notna(), None).values.tolist()]
     assert sorted(rows, key=repr) == sorted(other, key=repr)
+
+
+def test_steps_prompts_and_files(spark):
+    steps = spark.createDataFrame([(1, ["No action needed", " N/A "]), (2, ["none", "Send it"]), (3, []), (4, None), (5, [None])], "n int, steps array<string>")
+    assert {r["n"]: r["x"] for r in steps.select("n", markers.has_actions(F.col("steps"), ["no action", "none", "n/a"]).alias("x")).collect()} == {1: False, 2: True, 3: False, 4: False, 5: False}
+    talk = spark.createDataFrame([("t", [("user", "hi", None)]), (None, None)], "title string, messages array<struct<role:string,content:string,timestamp:string>>")
+    asked = [r["p"] for r in talk.select(render.prompts(F.col("title"), F.col("messages"), "salvage").alias("p")).collect()]
+    assert asked[0]["user"] == "Title: t\n\n[user] hi" and asked[1]["user"] == "Title: \n\n" and "next_steps" in asked[0]["system"]
+    record = spark.createDataFrame([("a/b", "é", None, ["x"])], "id string, topic string, verdict string, next_steps array<string>")
+    file = files.analysis_files(record).first()
+    assert file["file_name"] == "conv_a_b.analysis.json" and json.loads(file["content"]) == {"topic": "é", "verdict": None, "next_steps": ["x"]} and "é" in file["content"] and "\n" in file["content"]
+    found = files.in_name_order(spark.createDataFrame([("b", "1"), ("a", "x{")], "file_name string, content string"))
+    assert [r["file_name"] for r in found.collect()] == ["a", "b"] and [r["file_name"] for r in files.rejected_records(found).collect()] == ["a"]
+
+
+def test_second_look_in_reports(spark):
+    frame = spark.createDataFrame([("B", "A", "true", "high", "more facts"), ("A", "A", "false", "low", "none"), (None, "A", None, None, None)], "initial string, final string, applied string, confidence string, reason string")
+    lit = lambda x: F.lit(x).cast("string")
+    text = render.merged_report(lit("t"), lit("A"), lit("v"), lit(None), F.array(), F.array(), lit("body"), *(F.col(c) for c in frame.columns))
+    one, two, three = (r["x"] for r in frame.select(text.alias("x")).collect())
+    assert "| initial route | B |" in one and "final route" not in one and "| second look | applied, confidence high |\n| reason | more facts |" in one
+    assert two == three and "initial" not in two and "second look" not in two
+
+
+def test_rejects(spark):
+    frame = spark.createDataFrame([(1, None), (2, " "), (3, "{x"), (4, "[]"), (5, "null"), (6, '{"a": 1}'), (7, '{"uuid": "u"}'), (7, "3")], "export_id long, record string")
+    assert sorted((r["export_id"], r["reason"]) for r in normalize.rejected_exports(frame).collect()) == [(1, "blank"), (2, "blank"), (3, "invalid"), (4, "unknown"), (5, "unknown"), (6, "unknown"), (7, "unknown")]

@@ -224,6 +224,13 @@ class Tape:
         out = self._texts(np.where(nodes >= 0, self.start[np.maximum(nodes, 0)], 0) if len(self.start) else np.zeros(len(nodes), np.int64), np.where(nodes >= 0, self.end[np.maximum(nodes, 0)], 0) if len(self.end) else np.zeros(len(nodes), np.int64))
         return pc.if_else(pa.array(self.is_kind(nodes, STRING, NUMBER)), out, pa.scalar(None, pa.large_string()))
 
+    def raw(self, nodes: np.ndarray) -> pa.Array:
+        """The bytes of nodes as they are written, strings without their quotes; objects and lists have only their bracket's; empty for -1."""
+        known = nodes >= 0
+        at = np.maximum(nodes, 0)
+        zero = np.zeros(len(nodes), np.int64)
+        return _cut(self.data, np.where(known, self.start[at], 0), np.where(known, self.end[at], 0)) if len(self.start) else _cut(self.data, zero, zero)
+
     def keys(self, nodes: np.ndarray) -> pa.Array:
         return self._texts(self.key_start[nodes], self.key_end[nodes])
 

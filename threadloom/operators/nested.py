@@ -8,7 +8,6 @@ entry or part is looked at by itself.
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,49 +21,6 @@ from threadloom.functions.jsontape import ARRAY, NULL, OBJECT, STRING, Tape
 FLAT_SCHEMA = "export_id bigint, conversation_key string, kind string, child_key string, parent_key string"
 
 
-def _refuse(word: str) -> None:
-    raise ValueError(word)
-
-
-def decoded(value: object) -> object:
-    """A value, or what it encodes where it is JSON text of an object, a list or such a text again, however often: each round shortens it."""
-    while True:
-        if not isinstance(value, str) or value.lstrip()[:1] not in ("{", "[", '"'):
-            return value
-        try:
-            inner = json.loads(value, parse_constant=_refuse)
-        except (ValueError, RecursionError):
-            return value
-        if not isinstance(inner, (dict, list, str)):
-            return value
-        value = inner
-
-
-def record_of(text: str | None) -> object:
-    """The value of a record, None where it isn't valid JSON."""
-    try:
-        return decoded(json.loads(text, parse_constant=_refuse)) if text else None
-    except (ValueError, RecursionError):
-        return None
-
-
-def is_null(text: str) -> bool:
-    """Whether a record is the JSON value null."""
-    return text.strip() == "null"
-
-
-def conversations_of(value: object) -> list[tuple[int, dict]]:
-    """(position, conversation) of each conversation object in a record."""
-    if isinstance(value, dict):
-        many = decoded(value.get("conversations"))
-        if not isinstance(many, list):
-            return [(0, value)]
-        value = many
-    if not isinstance(value, list):
-        return []
-    return [(i, c) for i, c in ((i, decoded(x)) for i, x in enumerate(value)) if isinstance(c, dict)]
-
-
 def _message_above(above: np.ndarray, is_message: np.ndarray) -> np.ndarray:
     """For each entry the index of the nearest message above it, -1 for none; rings lead nowhere."""
     n = len(above)
@@ -97,33 +53,40 @@ def _named(tape: Tape, nodes: np.ndarray, *names: str) -> pa.Array:
     return pc.coalesce(*found)
 
 
-def _items(tape: Tape, lists: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def items_of(tape: Tape, lists: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(index of the list, element) of the elements of those nodes that are lists."""
     return tape.children(np.where(tape.is_kind(lists, ARRAY), lists, -1))
 
 
 def _either(tape: Tape, one: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(index, position) of the elements that aren't null of the first list, or of the other where that has none."""
-    owner, item = _items(tape, one)
+    owner, item = items_of(tape, one)
     full = ~tape.is_kind(item, NULL)
     owner, item = owner[full], item[full]
-    more, rest = _items(tape, np.where(np.bincount(owner, minlength=len(one)) > 0, -1, other))
+    more, rest = items_of(tape, np.where(np.bincount(owner, minlength=len(one)) > 0, -1, other))
     full = ~tape.is_kind(rest, NULL)
     return np.append(owner, more[full]), tape.place[np.append(item, rest[full]).astype(np.int64)]
 
 
-def flatten_batch(export_ids: pa.Array, records: pa.Array) -> pa.RecordBatch:
-    """The flat rows of a batch of records, each row once."""
-    tape = Tape(_FIELDS)
+def conversation_nodes(tape: Tape, records: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(index of the record, position, node) of each conversation object in the records, in order."""
     tops = tape.decoded(tape.add(records))
     many = tape.decoded(tape.child(tops, "conversations"))
     listed = np.where(tape.is_kind(tops, ARRAY), tops, np.where(tape.is_kind(many, ARRAY), many, -1))
-    owner, item = _items(tape, listed)
+    owner, item = items_of(tape, listed)
     alone = np.flatnonzero(tape.is_kind(tops, OBJECT) & (listed < 0))
     record_of_conv, spots = np.append(owner, alone), np.append(tape.place[item], np.zeros(len(alone), np.int64))
     convs = tape.decoded(np.append(item, tops[alone]).astype(np.int64))
     good = tape.is_kind(convs, OBJECT)
     record_of_conv, spots, convs = record_of_conv[good], spots[good], convs[good]
+    order = np.lexsort((spots, record_of_conv))
+    return record_of_conv[order], spots[order], convs[order]
+
+
+def flatten_batch(export_ids: pa.Array, records: pa.Array) -> pa.RecordBatch:
+    """The flat rows of a batch of records, each row once."""
+    tape = Tape(_FIELDS)
+    record_of_conv, spots, convs = conversation_nodes(tape, records)
     ids = export_ids.cast(pa.int64()).take(pa.array(record_of_conv))
     fallback = _joined(ids.cast(pa.large_string()), ":", pa.array(spots).cast(pa.large_string()))
     conv_keys = pc.coalesce(_named(tape, convs, "id", "conversation_id", "uuid"), fallback)
@@ -156,7 +119,7 @@ def flatten_batch(export_ids: pa.Array, records: pa.Array) -> pa.RecordBatch:
     list_conv, list_item, open_convs = np.zeros(0, np.int64), np.zeros(0, np.int64), ~has_tree
     places = np.zeros(0, np.int64)
     for field in ("chat_messages", "messages"):
-        owner, item = _items(tape, np.where(open_convs, tape.decoded(tape.child(convs, field)), -1))
+        owner, item = items_of(tape, np.where(open_convs, tape.decoded(tape.child(convs, field)), -1))
         at, item = tape.place[item], tape.decoded(item)
         good = tape.is_kind(item, OBJECT)
         list_conv, list_item, places = np.append(list_conv, owner[good]), np.append(list_item, item[good]), np.append(places, at[good])
