@@ -33,7 +33,7 @@ from threadloom.functions.textfns import has_visible, strip
 from threadloom.operators.times import with_account_rules
 from threadloom.session import scratch_path, table, written
 
-BUCKETS, BUCKET_BYTES = 1024, 2_000_000  # a finite table gets a bucket for each so many bytes of its files, this many at least
+BUCKETS, BUCKET_BYTES = 192, 2_000_000  # a finite table gets a bucket for each so many bytes of its files, this many at least
 IDLE_HOURS, KEEP_DAYS, DELAY = 72, 60, "1 day"
 MICRO_BATCHES = 3  # in which the registered query reads its table, where that has so many files
 NONE, USER, ASSISTANT, SYSTEM, TOOL = 0, 1, 2, 3, 4

@@ -64,6 +64,7 @@ COURTESIES = (
 )
 #: Words that part what a speaker declines from what follows.
 _CONTRAST = r"(?<=[.!?。！？;；])\s*|\n|,?\s+(?:but|however|yet|instead,|aber|jedoch|mais|cependant|pero|sin embargo|mas|porém|но|однако)\b,?\s*|[，,](?:但|不過|不过)"
+ROMANCE = ("fr", "es", "pt")  # a short text of one may be taken for another
 SURE = 0.9  # from here on a language stands for the phrases of a refusal
 ANSWER_SHARE = 0.3  # a reply whose other sentences hold more of its letters than this answers, whatever it declines
 #: Words by which a reply first repeats what was asked.
@@ -76,8 +77,8 @@ ASKS_LANGUAGE = (
     r"|\b(?:translat|übersetz|tradui|traduc|traduz)\w*|перевед|перевод|翻譯|翻译|翻訳"
 )
 #: An address, a number or a link that somebody was given: such a note needs no full stop, at its end or a few words on.
-CONTACT = r"(?:(?<!\S)[^\s@＠]++[@＠][^\s@＠]+|(?<!\S)[^\s\[(]++ ?[\[(] ?(?:at|arroba|ät|собака) ?[\])] ?\S+(?: ?[\[(] ?(?:dot|punto|ponto|punkt|точка) ?[\])] ?\S+)*|(?<![\d０-９])[\d０-９][\d０-９ ().+\-－]{4,}|https?://\S+|\b[A-Z]{1,3}\d{5,}\S*|(?<!\d)\d++ \p{Lu}\p{L}*\.?(?: \p{Lu}\p{L}+)+|(?<!\d)\d++(?: bis)?,? (?:rue|avenue|boulevard|bd|impasse|place|chemin|quai)(?: \p{L}+)+|\p{Lu}\p{L}+,? \d+[a-zA-Z]?|\d[號号])"
-_CONTACT_END = rf"(?U){CONTACT}[^\s\p{{L}}\d]*(?:[ ,，]+\p{{L}}+){{0,6}}\s*$"
+CONTACT = r"(?:(?<!\S)[^\s@＠]++[@＠][^\s@＠]+|(?<![^\s(\[])[^\s\[(]++ ?[\[(] ?(?:at|arroba|ät|собака) ?[\])] ?\S+(?: ?[\[(] ?(?:dot|punto|ponto|punkt|точка) ?[\])] ?\S+)*|(?<![\d０-９])[\d０-９][\d０-９ ().+\-－]{4,}|https?://\S+|\b[A-Z]{1,3}\d{5,}\S*|(?<!\d)\d++ \p{Lu}\p{L}*\.?(?: \p{Lu}\p{L}+)+|(?<!\d)\d++(?: bis)?,? (?:rue|avenue|boulevard|bd|impasse|place|chemin|quai)(?: \p{L}+)+|\d[號号])"
+_CONTACT_END = rf"(?U){CONTACT}[^\s\p{{L}}\d]*(?:[ ,，]+\p{{L}}+){{0,6}}\s*$|\p{{Lu}}\p{{L}}+,? \d+[a-zA-Z]?\s*$"
 #: A version or page number after a word of this kind is no address.
 _NO_CONTACT = r"(?iU)\b(?:versi[oó]n|versão|верси\w+|version|seite|page|página|row|table|tabelle|step)\w* \d+\w?\s*$"
 #: Words that no sentence ends in.
@@ -138,7 +139,7 @@ def _declines(low: Column, main: Column) -> Column:
         signs = reduce(lambda a, w: a | low.contains(w), REFUSAL_SIGNS[k], F.lit(False))
         if k == "de":
             signs = signs & reduce(lambda a, w: a | low.contains(w), _GERMAN_STEMS, F.lit(False))
-        own = main.isNull() | (main == k)
+        own = main.isNull() | main.isin(*(ROMANCE if k in ROMANCE else (k,)))
         return F.when(own & low.rlike(_SCRIPTS[k]) if k in _SCRIPTS else own, signs & low.rlike(REFUSALS[k])).otherwise(False)
 
     return reduce(lambda a, b: a | b, map(test, REFUSAL_SIGNS))
