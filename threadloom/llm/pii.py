@@ -127,6 +127,7 @@ _DENSE = re.compile(rf"[{_D}](?:[^{_D}]{{0,3}}[{_D}]){{3}}")
 #: The sign before a word is looked at behind its first letter: a pattern that begins with a class is found faster.
 _RUN = re.compile(rf"{_CAP}(?<![^\W\d_].){_WORD[len(_CAP):]}(?:,? (?:{_CAP}\. |(?:de|del|da|dos|van|von|la|le|bin|ibn|di|du) (?:(?:la|las|los|der|den) )?)?{_WORD})+(?: {_CAP}\.)?")
 _UPPER_RUN = re.compile(rf"{_CAP}(?<![^\W\d_].){_CAP}+(?:-{_CAP}+)*(?:,? (?:{_CAP}\. )?{_UPPER})+(?: {_CAP}\.)?(?![^\W\d_])")
+_TWO_CAPITALS = re.compile(rf"{_CAP}{_CAP},? {_CAP}")
 _PIECE = re.compile(rf"{_WORD}|{_UPPER}")
 _LOW_WORD = re.compile(rf"{_LOW}(?<![\w'’\-].){_LOW}+(?:-{_LOW}+)*(?![^\W\d_'’])")
 _KANA = re.compile("[ぁ-んァ-ヴ]")
@@ -289,7 +290,7 @@ def _street_forms(text: str) -> Iterator[int]:
 
 def _spans(text: str, title: bool, uses: WordUses) -> Iterator[tuple[int, int, int, int]]:
     """(kind, start, end, generator) of every candidate."""
-    if _AT_SIGN.search(text):
+    if "@" in text or "＠" in text or _AT_SIGN.search(text):
         for m in _EMAIL.finditer(text):
             yield 0, m.start(), m.end(), 0
     if _DIGIT.search(text):
@@ -314,9 +315,10 @@ def _spans(text: str, title: bool, uses: WordUses) -> Iterator[tuple[int, int, i
     for m in _RUN.finditer(text):
         for start, end in _windows(text, *m.span()):
             yield 4, start, end, 10
-    for m in _UPPER_RUN.finditer(text):
-        for start, end in _windows(text, *m.span()):
-            yield 4, start, end, 11
+    if _TWO_CAPITALS.search(text):
+        for m in _UPPER_RUN.finditer(text):
+            for start, end in _windows(text, *m.span()):
+                yield 4, start, end, 11
     for start, end in _small_spans(text, uses):
         yield 4, start, end, 12
     if not text.isascii():
@@ -387,13 +389,16 @@ def _standing(text: str, start: int, end: int, before: str, after: str, generato
             float(not left or unicodedata.category(left)[0] in "PZC"), float(not right or unicodedata.category(right)[0] in "PZC"), float("ぁ" <= left <= "ん"), float("ぁ" <= right <= "ん"),
             float(left in _NAME_LEFT if left else 0), sum(c in _GIVEN_HAN for c in value[1:]) / (end - start - 1), float(value[-1] in _GIVEN_HAN), float(end - start > 3 and value[1] in _FAMILY_SECOND), *_NO_STANDING[13:],
         ]
-    words = [w for w in re.split(r"[ ,]+", value) if len(w) > 2]
+    words = [w for w in value.replace(",", " ").split() if len(w) > 2]
     known = [uses.shares(w.split("-")[0]) for w in words] or [(0.5, 0.5)]
     shares, small = [k[0] for k in known], [k[1] for k in known]
     line_start, line_end = not before or before[-1] == "\n", not after or after[0] == "\n"
     left = before.rstrip(" -*•(\"“„«")
-    previous, following = _LAST_WORD.search(before), _NEXT_WORD.match(after)
-    near = lambda m: uses.share(m.group(1).split("-")[0]) if m and m.group(1)[:1].isupper() else 0.0
+    previous = before[before.rfind(" ", 0, len(before) - 1) + 1 : -1].rstrip(".") if before[-1:] == " " else ""
+    found = _NEXT_WORD.match(after)
+    following = found.group(1) if found else ""
+    previous = previous if previous[:1].isalpha() else ""
+    near = lambda w: uses.share(w.split("-")[0]) if w[:1].isupper() else 0.0
     line = text[max(text.rfind("\n", 0, start) + 1, start - 120) : min((text.find("\n", end) + 1 or len(text) + 1) - 1, end + 120)] if value.isupper() else ""
     over = text[max(0, text.rfind("\n", 0, max(0, start - 1)) + 1) : max(0, start - 1)] if line_start and start else ""
     return [
@@ -401,11 +406,11 @@ def _standing(text: str, start: int, end: int, before: str, after: str, generato
         float(value.isupper()) + 2.0 * value.islower(), float("-" in value), float(not left or left[-1] in "\n.!?:;。！？："), float(line_start), float(line_end), near(previous), near(following),
         float(bool(line) and sum(map(str.isupper, line)) > 2 * sum(map(str.islower, line)) and len(line) > 2 * (end - start)), float(over.rstrip().endswith((",", "，", "!")) or 0 < len(over) < 30),
         float(any(w.title() in GIVEN for w in words)),
-        float(bool(following) and following.group(1)[:1].islower()) + 2.0 * bool(re.match(r" ?\d|-\d", after)), float(bool(previous) and previous.group(1)[:1].islower()),
+        float(following[:1].islower()) + 2.0 * (after[:1].isdecimal() or (after[:1] in " -" and after[1:2].isdecimal())), float(previous[:1].islower()),
     ]
 
 
-_LAST_WORD, _NEXT_WORD = re.compile(r"([^\W\d_][\w'’\-]*)\.? $"), re.compile(r",? ([^\W\d_][\w'’\-]*)")
+_NEXT_WORD = re.compile(r",? ([^\W\d_][\w'’\-]*)")
 #: Second characters of many family names of Japanese.
 _FAMILY_SECOND = frozenset("藤木橋中本村林田上水崎口川島原野井山沢澤辺部岡谷戸巣")
 _NAME_LEFT = frozenset("叫是絡络繫系找跟給")
