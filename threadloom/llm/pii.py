@@ -27,7 +27,7 @@ from threadloom.session import written
 
 KINDS = ("email", "phone", "id_number", "address", "name")
 PLACEHOLDERS = {k: f"[{k.upper()}]" for k in KINDS}
-THRESHOLDS = {"email": 0.5, "phone": 0.4, "id_number": 0.3, "address": 0.5, "name": 0.3}
+THRESHOLDS = {"email": 0.5, "phone": 0.4, "id_number": 0.4, "address": 0.5, "name": 0.29}
 SPANS = "array<struct<kind:string,start:int,end:int,text:string,score:double,first:boolean>>"
 PARTS = "array<struct<part:string,alone:double,titles:bigint>>"
 #: Parts of titles, in lower case: the share of their uses where they are the whole title, and the number of different titles they stand in.
@@ -420,7 +420,8 @@ def _features(text: str, kind: int, start: int, end: int, generator: int, title:
     value, before, after = text[start:end], text[max(0, start - BEFORE_CHARS) : start], text[end : end + AFTER_CHARS]
     own, others = _KIND_BITS[KINDS[kind]], 31 & ~_KIND_BITS[KINDS[kind]]
     cue = other = nobody = person = 0.0
-    said, follows = _TOKEN.findall(before.lower()), _TOKEN.findall(after.lower())
+    near = before[before.rfind("\n") + 1 :] if kind < 3 else before  # a word for a number stands on its line
+    said, follows = _TOKEN.findall(near.lower()), _TOKEN.findall(after.lower())
     for distance, word in enumerate(reversed(said[-6:]), 1):
         if bits := _CUE.get(word, 0):
             weight = 1 / distance
@@ -461,7 +462,7 @@ class Judge:
 
     def __init__(self, x: np.ndarray, y: np.ndarray):
         groups = self._groups(x)
-        self.trees = {k: Boosted(depth=5, rounds=60).fit(x[groups == k], y[groups == k]) for k in np.unique(groups)}
+        self.trees = {k: Boosted(depth=5, rounds=70).fit(x[groups == k], y[groups == k]) for k in np.unique(groups)}
 
     @staticmethod
     def _groups(x: np.ndarray) -> np.ndarray:

@@ -174,9 +174,11 @@ def examples(seed: int = 5, phrases: dict[str, tuple[str, ...]] | None = None) -
         for frames, nouns in ((CHINESE_NOUNS, _HAN_NOUNS), (JAPANESE_NOUNS, _KANJI_NOUNS)):
             for phrase in frames * 3:
                 yield phrase.format(*r.sample(nouns, 2)), False, set(), none
-        for _ in range(60):  # unknown verbs and adverbs around a name, and capitalised ones before a code name
+        for turn in range(140):  # unknown verbs and adverbs around a name, and capitalised ones before a code name
             v, verb, lead = value("name", r, pools), _word(r), r.choice(("Maybe", "Who", "Today", "Perhaps", "Heute", "Hier", "Hoy", "Hoje", _word(r).title() + " and", "that", "the " + _word(r) + " of", _word(r)))
             yield r.choice((f"{lead} {v} {verb} it.", f"{v} {verb} {_word(r)}.", f"{_word(r).title()} {_word(r)} {v}.", f"{_word(r)} {v}, {verb}", f"{_word(r)} {v}?")), False, {("name", v)}, none
+            if turn % 3:
+                continue
             verb = r.choice(pools["verb"])
             yield _fill(r.choice((f"{verb} {{W}} {_word(r)}.", f"{verb} {{W}}-{{n2}} {_word(r)}.", f"{_word(r)}. {verb} {{W}} {_word(r)} {{n2}}.", f"{verb} {{W}}", f"{_word(r)}: {verb} {{W}} {_word(r)}.")), r, pools), False, set(), none
         for noun in _HAN_ENDINGS:
