@@ -135,7 +135,7 @@ _HAN_RUN = re.compile(rf"[{_HAN}]+")
 #: Given names that are common in one language or another.
 GIVEN = frozenset("James Mary John Sarah Michael Emma David Anna Robert Laura William Emily Thomas Hannah Daniel Julia Mark Jessica Paul Karen Steven Lisa Peter Linda George Nancy Kevin Alice Brian Rachel Adam Olivia Jack Sophie Omar Fatima Ahmed Aisha Mohammed Leila Ali Noor Yusuf Priya Raj Anita Arjun Wei Ming Klaus Jürgen Hans Ursula Wolfgang Heike Stefan Sabine Andreas Petra Lukas Lena Felix Greta Camille Pierre Marie Jean Luc Claire Antoine Chloé Louis Manon Hugo Élise Juan María José Carmen Carlos Lucía Miguel Elena Javier Marta Diego Sofía Pablo Isabel João Ana Pedro Inês Rui Beatriz Tiago Mariana Иван Анна Сергей Мария Дмитрий Ольга Алексей Елена Николай Наталья Павел Татьяна Андрей Ирина Михаил Светлана".split())
 #: Characters that begin many family names of Chinese and Japanese.
-_FAMILY = frozenset("王李張张陳陈劉刘楊杨黃黄趙赵吳吴周徐孫孙馬马朱胡郭何林高羅罗鄭郑梁謝谢宋唐許许鄧邓韓韩馮冯曹彭曾蕭萧田董潘袁蔡蔣蒋余于杜葉叶程魏蘇苏呂吕丁任盧卢姚沈鍾钟姜崔譚谭陸陆范汪廖石金韋韦賈贾夏付方鄒邹熊白孟秦邱江尹薛雷侯龍龙史陶黎賀贺顧顾毛郝龔龚邵萬万嚴严賴赖洪武莫孔杭桑屠闕厲酆柏霍詹佐鈴木中山小川松井野村藤歐司諸遠近前原岡谷池坂長橋三黒鳥雲椿")
+_FAMILY = frozenset("王李張张陳陈劉刘楊杨黃黄趙赵吳吴周徐孫孙馬马朱胡郭何林高羅罗鄭郑梁謝谢宋唐許许鄧邓韓韩馮冯曹彭曾蕭萧田董潘袁蔡蔣蒋余于杜葉叶程魏蘇苏呂吕丁任盧卢姚沈鍾钟姜崔譚谭陸陆范汪廖石金韋韦賈贾夏付方鄒邹熊白孟秦邱江尹薛雷侯龍龙史陶黎賀贺顧顾毛郝龔龚邵萬万嚴严賴赖洪武莫孔杭桑屠闕厲酆柏霍詹佐鈴木中山小川松井野村藤歐司諸遠近原岡谷池坂長橋三黒鳥雲椿")
 #: Characters of many given names, Chinese and Japanese.
 _GIVEN_HAN = frozenset("志明偉伟俊傑杰家豪雅婷怡君淑芬美玲惠國国建文宗承翰宇軒轩子涵思雨欣妍詩诗佳慧娟麗丽華华秀英敏靜静強强磊洋勇軍军娜濤涛超剛刚平輝辉桂紅红玉蘭兰鳳凤梅琳素雲云蓮莲雪榮荣霞香月媛瑞凡嘉瓊琼珍貞莉晴哲芸希澄遠禾若安昱寧宁允桐采語芷彤萱語晨睿博浩天宸奕澤泽辰逸恩安琪太郎花一二三美咲翔健陽大輔直樹拓也愛結衣悠真葵誠久雄涼凪沙彩香奈菜優和恵子")
 #: Particles, pronouns and verbs that often stand just before or just after a name, in Chinese and Japanese.

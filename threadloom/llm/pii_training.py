@@ -16,7 +16,7 @@ _JAPANESE_GIVEN = ("太郎", "花子", "一郎", "翔太", "美咲", "健", "陽
 #: Nouns of daily use: what stands where a name could.
 _HAN_NOUNS = ("老師", "客服", "主管", "同事", "會議", "報告", "表格", "清單", "計畫", "預算", "公司", "部門", "文件", "問題", "系統", "高層", "方案", "安排", "明細", "周報", "林木", "馬路", "江邊", "石頭", "白板", "田地", "何時", "程式", "方法表", "雨天", "文章", "何種方式", "高風險", "方便性", "安全性", "許多人", "白名單", "石材廠", "林業局", "程序書", "夏季號", "江水量")
 _HAN_ENDINGS = ("流程", "行程", "課程", "對方", "地方", "紅石", "森林", "工程", "過程", "如何", "任何", "長江", "油田", "白馬", "主張", "緊張", "允許", "樹葉", "規范", "剩余", "甘蔡", "古董", "水杭", "高溫", "安全周", "大孟", "海沈")
-_KANJI_NOUNS = ("会議", "記録", "手順", "予算", "資料", "報告書", "担当者", "予定表", "石油", "山道", "川沿", "木材", "村役場", "田植", "原因", "本日", "大会", "小学校", "野球場", "林道", "口座", "橋梁", "島国", "松林", "中心", "井戸水")
+_KANJI_NOUNS = ("金曜日", "月曜日", "日曜日", "料金", "金額", "今週末", "会議", "記録", "手順", "予算", "資料", "報告書", "担当者", "予定表", "石油", "山道", "川沿", "木材", "村役場", "田植", "原因", "本日", "大会", "小学校", "野球場", "林道", "口座", "橋梁", "島国", "松林", "中心", "井戸水")
 #: Phrasings by kind; ``{}`` is the value.
 PHRASES = {
     "email": ("E-mail: {}", "Write to {} and I will answer tonight.", "Add {} to the list.", "The invite never arrived in my inbox ({}) today", "Forward this to {}, thanks.", "Mail: {}", "Schreib an {}, danke.", "Envoyez tout à {}.", "Escríbeme a {} mañana.", "郵件地址 {}", "メールアドレス：{}", "Пиши на {} вечером.", '{{"contact": "{}", "n": 3}}', "O endereço {} já não existe.", "Send the slides to {}", "Is {} still your account?", "{} is not in use any more.", "Meine neue Adresse lautet {}."),
@@ -44,7 +44,7 @@ CHINESE_NOUNS = (
     "今天早上{}很多。", "因為{}不夠，{}也要改。", "當時{}已經完成。", "請於週五前處理{}。", "我覺得{}比{}重要。", "從{}開始，高於{}的部分先不動。", "何時可以看到{}？", "安排好{}之後，方便的話再說。", "程式裡的{}過時了。", "白天看{}，晚上看{}。", "余下的{}不多。", "不許改{}。", "葉子和{}無關。", "只要{}低於四，就不需要{}。", "于是{}變慢了。", "任何{}都可以。", "范圍內的{}都通過。", "江邊的{}和馬上到的{}。", "於高處看{}，許多細節可惜了。", "紀錄與{}對不起來。", "方便的時候看一下{}。", "文章裡提到{}三次。", "石頭上的{}。", "田裡有{}。", "黃色的{}不見了。", "謝謝，{}收到了。", "金額與{}不同。", "周末再看{}。", "常見的{}有三種，程度不同。", "白色那張{}。", "夏天的{}。", "高度和{}。", "路上看到{}。",
     "請找{}說明。", "我是{}。", "這是{}的問題。", "我跟{}講過了。", "給{}看過。", "{}和{}都要改。", "昨天和{}有關。", "{}說明天可以。", "「{}」太長。", "先看{}，再看{}。", "{}", "請把{}移到{}。", "{}出錯時會先有徵兆。", "聯絡{}確認。", "這份{}比較清楚。")
 JAPANESE_NOUNS = (
-    "明日{}を送ります。", "今日の{}は少ない。", "来週の{}までに{}を直します。", "高い山と小さい{}。", "中心は{}です。", "松の木と{}。", "井戸と{}。", "本当に{}が必要ですか。", "大切な{}から始めます。", "田中心部の{}。", "山の上の{}を見ました。", "石の{}。", "村の{}。",
+    "明日{}を送ります。", "{}までに決めます。", "{}までにどうしますか。", "今日の{}は少ない。", "来週の{}までに{}を直します。", "高い山と小さい{}。", "中心は{}です。", "松の木と{}。", "井戸と{}。", "本当に{}が必要ですか。", "大切な{}から始めます。", "田中心部の{}。", "山の上の{}を見ました。", "石の{}。", "村の{}。",
     "これは{}です。", "{}の{}を見てください。", "{}が遅れています。", "{}に書きました。", "{}は{}より大切です。", "{}", "担当は{}です。", "{}へ送りました。", "{}と{}を比べます。", "{}も必要です。", "{}から始めます。")
 #: Phrasings whose values are no personal data: ``{n}`` a number, ``{W}`` a made-up code name, ``{t}`` a noun.
 NOBODY = (
@@ -168,21 +168,23 @@ def examples(seed: int = 5, phrases: dict[str, tuple[str, ...]] | None = None) -
         if phrases:
             continue
         for frames, named in ((RUSSIAN_NAMES, lambda: _russian_name(r, pools)), (CHINESE_NAMES, lambda: _han_name(r, False)), (JAPANESE_NAMES, lambda: _han_name(r, True))):
-            for phrase in frames * 3:
+            for phrase in frames * 4:
                 v = named()
                 yield phrase.format(v), False, {("name", v)}, none
         for frames, nouns in ((CHINESE_NOUNS, _HAN_NOUNS), (JAPANESE_NOUNS, _KANJI_NOUNS)):
             for phrase in frames * 3:
                 yield phrase.format(*r.sample(nouns, 2)), False, set(), none
-        for turn in range(140):  # unknown verbs and adverbs around a name, and capitalised ones before a code name
+        for turn in range(200):  # unknown verbs and adverbs around a name, and capitalised ones before a code name
             v, verb, lead = value("name", r, pools), _word(r), r.choice(("Maybe", "Who", "Today", "Perhaps", "Heute", "Hier", "Hoy", "Hoje", _word(r).title() + " and", "that", "the " + _word(r) + " of", _word(r)))
             yield r.choice((f"{lead} {v} {verb} it.", f"{v} {verb} {_word(r)}.", f"{_word(r).title()} {_word(r)} {v}.", f"{_word(r)} {v}, {verb}", f"{_word(r)} {v}?")), False, {("name", v)}, none
             if turn % 3:
                 continue
             verb = r.choice(pools["verb"])
             yield _fill(r.choice((f"{verb} {{W}} {_word(r)}.", f"{verb} {{W}}-{{n2}} {_word(r)}.", f"{_word(r)}. {verb} {{W}} {_word(r)} {{n2}}.", f"{verb} {{W}}", f"{_word(r)}: {verb} {{W}} {_word(r)}.")), r, pools), False, set(), none
-        for noun in _HAN_ENDINGS:
-            yield r.choice(("{}會慢一點。", "先看{}再說。", "這個{}要改。", "{}、清單和其他。", "在{}裡有三個。", "我說{}很好。", "{}的部分", "因為{}也不夠。", "{}已經有了")).format(noun), False, set(), none
+        for phrase in ("請寄到 a.b@example.org 謝謝。", "好的，謝謝", "謝謝！", "感謝，謝謝你。", "多謝。", "謝謝您的幫忙。"):
+            yield phrase, False, {("email", "a.b@example.org")} if "@" in phrase else set(), none
+        for noun in _HAN_ENDINGS * 3:
+            yield r.choice(("{}看來不錯。", "這是{}還是別的？", "寫一段{}的話。", "{}說明一下。", "整個{}起來很快。", "關於{}與時間", "{}會慢一點。", "先看{}再說。", "這個{}要改。", "{}、清單和其他。", "在{}裡有三個。", "我說{}很好。", "{}的部分", "因為{}也不夠。", "{}已經有了")).format(noun), False, set(), none
         for phrase in NOBODY:
             text = _fill(phrase, r, pools)
             yield text, False, set(), none
