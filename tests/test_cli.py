@@ -13,7 +13,7 @@ def test_convert_and_collect(spark, tmp_path, capsys):
     root = str(tmp_path / "out")
     assert cli.main(["convert", "--input", str(tmp_path / "in"), "--output-root", root, "--sample", "2"]) == 0
     assert cli.main(["convert", "--input", str(tmp_path / "in"), "--output-root", root, "--resume"]) == 0
-    assert capsys.readouterr().out.split() == ["converted=2", "converted=1"]
+    assert capsys.readouterr().out.split() == ["converted=2", "skipped=0", "rejected=0", "converted=1", "skipped=2", "rejected=0"]
     rows = files.read_index(spark, root + "/index").orderBy("line_no").collect()
     assert [(r["id"], r["md_file"], r["status"]) for r in rows] == [(f"u/{i}", f"conv_u_{i}.md", "converted") for i in range(3)]
     assert "hello 2" in (tmp_path / "out/markdown/conv_u_2.md").read_text()
@@ -24,5 +24,10 @@ def test_convert_and_collect(spark, tmp_path, capsys):
     assert capsys.readouterr().out.split() == ["collected=1", "missing=1"]
     text = (tmp_path / "a/conv_u_0.md").read_text()
     assert "1. go" in text and "hello 0" in text and "（無）" in text
+    (tmp_path / "in/b.json").write_text("{")
+    assert cli.main(["convert", "--input", str(tmp_path / "in"), "--output-root", root, "--resume", "--force", "--sample", "0"]) == 0
+    assert capsys.readouterr().out.split() == ["converted=3", "skipped=0", "rejected=1"]
+    (tmp_path / "in/a.json").unlink()
+    assert cli.main(["convert", "--input", str(tmp_path / "in"), "--output-root", str(tmp_path / "none")]) == 2
     with pytest.raises(SystemExit):
         cli.main(["convert", "--input", "x", "--sample", "-1"])

@@ -26,14 +26,20 @@ def upsert(rows: DataFrame, order: str) -> DataFrame:
     return merged.select("position", "id", *[F.col("v")[c].alias(c) for c in COLUMNS if c != "id"])
 
 
+def _among(jobs: DataFrame, done: DataFrame, key: str, how: str) -> DataFrame:
+    """Keys are compared without outer white space, as the index keeps them; a null key is never finished."""
+    keys = done.select(strip(F.col(key)).alias("_done")).distinct()
+    return jobs.join(keys, strip(jobs[key]) == F.col("_done"), how)
+
+
 def pending(jobs: DataFrame, done: DataFrame, key: str = "id") -> DataFrame:
     """Jobs without a finished row."""
-    return jobs.join(done.select(key).distinct(), key, "left_anti")
+    return _among(jobs, done, key, "left_anti")
 
 
 def finished(jobs: DataFrame, done: DataFrame, key: str = "id") -> DataFrame:
     """Jobs with a finished row."""
-    return jobs.join(done.select(key).distinct(), key, "left_semi")
+    return _among(jobs, done, key, "left_semi")
 
 
 def route_is(route: Column, name: str) -> Column:
@@ -43,7 +49,8 @@ def route_is(route: Column, name: str) -> Column:
 
 def conversion_stats(jobs: DataFrame, done: DataFrame, key: str = "id") -> DataFrame:
     """One row: jobs in all, those without a finished row (``converted`` by a run that resumes) and those with one (``skipped``)."""
-    marked = jobs.select(key).join(done.select(key).distinct().withColumn("_done", F.lit(True)), key, "left")
+    keys = done.select(strip(F.col(key)).alias("_done")).distinct()
+    marked = jobs.select(strip(F.col(key)).alias("_job")).join(keys, F.col("_job") == F.col("_done"), "left")
     return marked.agg(F.count("*").alias("total"), F.count_if(F.col("_done").isNull()).alias("converted"), F.count_if(F.col("_done").isNotNull()).alias("skipped"))
 
 

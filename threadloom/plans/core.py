@@ -243,12 +243,12 @@ SQL: dict[str, str] = {
     ),
     "unfenced": f"SELECT doc_id, {_strip(_unfenced('text'))} AS inner_text FROM documents",
     "actionable_steps": f"SELECT analysis_no, len(list_filter(coalesce(next_steps, []), lambda x: x IS NOT NULL AND NOT {_any(_strip('x'), NO_ACTION)})) > 0 AS actionable FROM analysis_records",
-    "pending_chats": "SELECT DISTINCT id FROM chats c WHERE NOT EXISTS (SELECT 1 FROM archive_index a WHERE a.id = c.id)",
-    "finished_chats": "SELECT DISTINCT id FROM chats c WHERE EXISTS (SELECT 1 FROM archive_index a WHERE a.id = c.id)",
+    "pending_chats": "SELECT DISTINCT id FROM chats c WHERE NOT EXISTS (SELECT 1 FROM archive_index a WHERE " + f"{_strip('a.id')} = {_strip('c.id')})",
+    "finished_chats": "SELECT DISTINCT id FROM chats c WHERE EXISTS (SELECT 1 FROM archive_index a WHERE " + f"{_strip('a.id')} = {_strip('c.id')})",
     "run_stats": "SELECT count(*) AS total, count(*) FILTER (status = 'ok') AS analyzed, count(*) FILTER (status = 'failed') AS failed, "
     + ", ".join(f"count(*) FILTER (status = 'ok' AND upper({_strip('route_recommendation')}) = '{x}') AS route_{x.lower()}" for x in "ABCD")
     + " FROM analysis_records",
-    "stats_line": "WITH j AS (SELECT DISTINCT id, EXISTS (SELECT 1 FROM archive_index a WHERE a.id = c.id) AS done FROM chats c), s AS (SELECT count(*) AS total, count(*) FILTER (NOT done) AS converted, count(*) FILTER (done) AS skipped FROM j), "
+    "stats_line": f"WITH j AS (SELECT DISTINCT id, EXISTS (SELECT 1 FROM archive_index a WHERE {_strip('a.id')} = {_strip('c.id')}) AS done FROM chats c), s AS (SELECT count(*) AS total, count(*) FILTER (NOT done) AS converted, count(*) FILTER (done) AS skipped FROM j), "
     "r AS (SELECT count(*) FILTER (status = 'ok') AS ok, count(*) FILTER (status = 'failed') AS failed, "
     + ", ".join(f"count(*) FILTER (status = 'ok' AND upper({_strip('route_recommendation')}) = '{x}') AS {x.lower()}" for x in "ABCD")
     + " FROM analysis_records) SELECT format('Run stats: total={} converted={} skipped={} analysis_ok={} analysis_failed={} routes[A={}, B={}, C={}, D={}]', total, converted, skipped, ok, failed, a, b, c, d) AS line FROM s, r",

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 from collections.abc import Iterator
 
+from pyarrow import fs
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,15 +49,19 @@ def analysis_files(records: DataFrame, key: str = "id") -> DataFrame:
 
 
 def write_named_texts(files: DataFrame, folder: str) -> None:
-    """Write (file_name, content), a file each, from the executors into a folder they share. A retried task writes the same files again."""
+    """Write (file_name, content), a file each, from the executors into a folder that they share: a URI of any file system that Arrow knows, or a path on one
+    machine. A retried task writes the same files again; null contents are empty files."""
+    if "://" not in folder and not files.sparkSession.sparkContext.master.startswith("local"):
+        raise ValueError(f"{folder} is a path of one machine; name a shared folder by its URI (file:// for a mount that all machines have)")
 
     def write(rows: Iterator[Row]) -> None:
-        os.makedirs(folder, exist_ok=True)
+        system, place = fs.FileSystem.from_uri(folder if "://" in folder else f"file://{os.path.abspath(folder)}")
+        system.create_dir(place)
         for row in rows:
-            temporary = os.path.join(folder, f".{row['file_name']}.part")
-            with open(temporary, "w", encoding="utf-8", newline="") as out:
-                out.write(row["content"] or "")
-            os.replace(temporary, os.path.join(folder, row["file_name"]))
+            temporary = f"{place}/.{row['file_name']}.part"
+            with system.open_output_stream(temporary) as out:
+                out.write((row["content"] or "").encode())
+            system.move(temporary, f"{place}/{row['file_name']}")
 
     files.select("file_name", "content").foreachPartition(write)
 
@@ -64,13 +69,16 @@ def write_named_texts(files: DataFrame, folder: str) -> None:
 def read_index(spark: SparkSession, path: str) -> DataFrame:
     """The index from CSV: its known columns as text, absent ones and nulls empty, unknown ones left out; with ``line_no`` in the file's order."""
     raw = spark.read.csv(path, header=True, multiLine=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    parts = sorted(raw.inputFiles())  # a file is read whole, by one task, so its rows have rising numbers
+    number = F.array_position(F.array(*[F.lit(p) for p in parts]), F.col("_metadata.file_path")) if parts else F.lit(0)
+    line = F.shiftleft(number.cast("bigint"), 40) + F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
     values = [F.coalesce(F.col(c), F.lit("")).alias(c) if c in raw.columns else F.lit("").alias(c) for c in COLUMNS]
-    return raw.select(F.monotonically_increasing_id().alias("line_no"), *values)
+    return raw.select(line.alias("line_no"), *values)
 
 
 def write_index(index: DataFrame, path: str) -> None:
-    """The index as one CSV file with a header, in the order of ``position`` where there is one."""
+    """The index as CSV files with headers, by ranges of ``position`` where there is one: the order of their names is the order of the index."""
     ordered = index.orderBy("position") if "position" in index.columns else index
-    ordered.select(*COLUMNS).coalesce(1).write.mode("overwrite").csv(
+    ordered.select(*COLUMNS).write.mode("overwrite").csv(
         path, header=True, escape='"', emptyValue="", nullValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False
     )
