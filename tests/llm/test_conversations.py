@@ -77,6 +77,12 @@ def test_any_order_of_files(spark, accounts, tmp_path):
         assert got == EXPECTED, name
 
 
+def test_giant_conversations_stay_out_of_the_state(spark, accounts, tmp_path, monkeypatch):
+    monkeypatch.setattr(c, "GIANT_ROWS", 3)
+    _, got = run(spark, accounts, tmp_path, [rows_of(SPEC)])
+    assert got == EXPECTED
+
+
 def test_windows_agree_with_the_stream(spark, accounts, tmp_path):
     """Random conversations: the windows of the audit and the stream give the same."""
     import random

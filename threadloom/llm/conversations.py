@@ -35,6 +35,7 @@ from threadloom.session import scratch_path, table, written
 
 BUCKETS, BUCKET_BYTES = 192, 2_000_000  # a finite table gets a bucket for each so many bytes of its files, this many at least
 IDLE_HOURS, KEEP_DAYS, DELAY = 72, 60, "1 day"
+GIANT_ROWS, GIANT_SHARE = 200_000, 1e-4  # conversations of more rows, and of more than this share of all (so at most one over it), never enter the state
 MICRO_BATCHES = 3  # in which the registered query reads its table, where that has so many files
 NONE, USER, ASSISTANT, SYSTEM, TOOL = 0, 1, 2, 3, 4
 #: Spellings of the speakers, in lower case and without outer white space.
@@ -206,7 +207,8 @@ def rebuild_all(spark: SparkSession, path: str, accounts: DataFrame, max_files:
     """Run the stream over the finite table of message rows at ``path``, ``max_files`` files a micro-batch (all in one by default); its conversations, one row each.
 
     State, checkpoints and results lie in the shared folder, so a lost executor costs only its tasks. With ``audit``, conversations whose newest revision
-    has not seen all their rows are recomputed, so the result doesn't depend on the order of files or on any time limit.
+    has not seen all their rows are recomputed, so the result doesn't depend on the order of files or on any time limit. Giant conversations are left to
+    the audit from the start, so that none has to fit into a state.
     """
     home = scratch_path(spark, "conversations")
     closing, result = f"{home}/closing", f"{home}/result"
@@ -218,7 +220,15 @@ def rebuild_all(spark: SparkSession, path: str, accounts: DataFrame, max_files:
     reader = spark.readStream.schema(schema)
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
-    rows = slim_rows(reader.parquet(f"{path[:-1]}[{path[-1]}]"), accounts)  # a pattern, as the table may be a file or a folder
+    stream_in = reader.parquet(f"{path[:-1]}[{path[-1]}]")  # a pattern, as the table may be a file or a folder
+    counts = None
+    if audit:
+        counts = written(whole.where(F.col("conversation_id").isNotNull()).groupBy("conversation_id").agg(F.count("*").alias("rows")), "row-counts")
+        total = counts.agg(F.sum("rows")).first()[0] or 0
+        giants = [r[0] for r in counts.where((F.col("rows") > GIANT_ROWS) & (F.col("rows") > total * GIANT_SHARE)).select("conversation_id").collect()]
+        if giants:
+            stream_in = stream_in.where(~F.col("conversation_id").isin(giants))
+    rows = slim_rows(stream_in, accounts)
     end = spark.readStream.schema(schema).parquet(closing)
     ends = end.select(*[F.col(c).cast(rows.schema[c].dataType) if c in schema.names else F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in rows.columns])
 
@@ -240,17 +250,16 @@ def rebuild_all(spark: SparkSession, path: str, accounts: DataFrame, max_files:
     if not audit:
         return known.drop("revision")
     known = written(known, "conversations")
-    stale = written(incomplete(whole, known), "incomplete")
+    stale = written(incomplete(counts, known), "incomplete")
     if not stale.limit(1).count():
         return known.drop("revision")
     again = recomputed(slim_rows(whole.join(stale, "conversation_id", "left_semi"), accounts))
     return known.join(stale, "conversation_id", "left_anti").drop("revision").unionByName(again)
 
 
-def incomplete(messages: DataFrame, known: DataFrame) -> DataFrame:
-    """(conversation_id) of the conversations that have rows which their newest revision in ``known`` hasn't seen."""
-    rows = messages.where(F.col("conversation_id").isNotNull()).groupBy("conversation_id").agg(F.count("*").alias("_n"))
-    return rows.join(known.select("conversation_id", "revision"), "conversation_id", "left").where("revision is null or revision <> _n").select("conversation_id")
+def incomplete(counts: DataFrame, known: DataFrame) -> DataFrame:
+    """(conversation_id) of the conversations of ``counts`` (conversation_id, rows) of which the newest revision in ``known`` hasn't seen so many rows."""
+    return counts.join(known.select("conversation_id", "revision"), "conversation_id", "left").where("revision is null or revision <> rows").select("conversation_id")
 
 
 def conversations(spark: SparkSession, sf_dir: str, batches: int = MICRO_BATCHES) -> DataFrame:
