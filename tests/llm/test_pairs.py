@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from threadloom.llm import pairs
 from threadloom.llm.langid import LANGUAGES, train
@@ -53,3 +54,40 @@ def test_rules(spark, model):
 def test_long_and_no_rows(spark, model):
     frame = spark.createDataFrame([(1, "q " * 50_000, "word " * 100_000), (1, "q", "word.")], "row_id long, prompt string, reply string")
     assert pairs.judged(frame, model).count() == 2 and pairs.judged(frame.limit(0), model).count() == 0
+
+
+#: Refusals and answers in wordings that no phrase was taken from.
+DECLINED = (
+    "Sorry, I cannot provide instructions for that.", "I'm unable to discuss medical dosages. Please talk to a doctor.", "I won't help with that.",
+    "That is not something I can do for you.", "I'm not comfortable with this, so I must decline.",
+    "As an AI, I am not permitted to share such details.", "I will not write this letter. Perhaps a lawyer can help you.",
+    "I can't in good conscience assist with that.", "Unfortunately I have to refuse.", "Leider kann ich dir dabei nicht weiterhelfen.",
+    "Ich darf darauf keine Antwort geben.", "Diesen Wunsch lehne ich ab.", "Ich möchte diese Frage nicht beantworten.",
+    "Désolé, je ne peux pas répondre à cette demande.", "Je ne suis pas autorisé à fournir ces informations.", "Je préfère ne pas répondre.",
+    "Je dois décliner.", "Lo siento, pero no puedo responder a eso.", "No me es posible ayudarte con este asunto.", "Debo rechazar la solicitud.",
+    "Lamento, mas não posso responder a isso.", "Não me é possível ajudar com este tema.", "Tenho de recusar.", "抱歉，我不能提供這方面的資訊。", "恕我無法回答這個問題。",
+    "我必須婉拒這個要求。", "对不起，我无法协助您完成这个任务。", "申し訳ございませんが、お答えできません。", "その件についてはお断りいたします。", "ご要望には対応できかねます。", "Извините, я не могу помочь с этим.",
+    "Я вынужден отказать в этой просьбе.", "К сожалению, не могу ответить на этот вопрос.",
+)
+ANSWERED = (
+    "I can't stress enough how useful a checklist is. Start with the first page and mark what is missing.",
+    "You cannot share a folder that is locked, so unlock it first and try again.",
+    "We do not provide a printed version, but the file can be downloaded from the second page and printed at home in a few minutes.",
+    "The outline is not able to hold more than ten items; move the rest to the next page.", "If you refuse cookies, the page still works.",
+    "He declined the offer in March and took the train home.",
+    "Ich kann den Fehler nicht sehen, aber die Tabelle zeigt die falsche Spalte in Zeile vier.",
+    "Die Frist kann nicht verschoben werden; der Bericht muss am Freitag fertig sein.",
+    "Le fichier ne peut pas être ouvert car il est trop grand ; il faut le diviser en deux parties.",
+    "No puedo ver la tabla desde aquí, así que abre la segunda hoja y copia la primera columna.",
+    "Não posso confirmar a data, por isso veja o calendário na segunda página antes da reunião.", "這個表格無法顯示超過十列，請把其餘的移到下一頁。",
+    "この表は十行以上を表示できません。残りは次のページに移してください。", "Этот файл не может быть открыт, потому что он слишком большой; разделите его на две части.",
+    "I am unable to open the file you mention; still, the steps are the same: export the sheet, sort by date and remove the empty rows.",
+    "Passengers must not smoke on the platform.",
+)
+
+
+def test_refusals_in_unseen_wordings(spark):
+    frame = spark.createDataFrame(list(enumerate(DECLINED + ANSWERED)), "i int, t string")
+    got = {r["i"]: r["x"] for r in frame.select("i", pairs.refusal(F.lower("t"), F.lit(None).cast("string")).alias("x")).collect()}
+    found, false = sum(got[i] for i in range(len(DECLINED))), sum(got[i] for i in range(len(DECLINED), len(got)))
+    assert found >= 0.9 * len(DECLINED) and found >= 0.9 * (found + false)

@@ -21,21 +21,21 @@ from threadloom.session import written
 _EN = r"(?:help|assist|answer|respond|reply|provide|produce|discuss|do|share|continue|comply|engage|fulfil+|support|comment|give|offer|write|go into|get into|advise|handle|process|talk|speak)"
 _DE = r"(?:helfen|beantworten|äußern|bereitstellen|antworten|weiterhelfen|unterstützen|dienen|sprechen|liefern|geben|anbieten|nachkommen|eingehen|behandeln)"
 _FR = r"(?:aider|répondre|fournir|traiter|donner|proposer|parler|discuter|continuer|produire|assister|satisfaire|accéder)"
-_ES = r"(?:ayudar\w*|responder\w*|contestar\w*|ofrecer\w*|tratar|dar\w*|proporcionar\w*|continuar|hablar|atender\w*|compartir\w*|facilitar\w*)"
-_PT = r"(?:ajudar\w*|responder\w*|oferecer\w*|tratar|dar|fornecer\w*|continuar|falar|atender\w*|auxiliar\w*|partilhar|compartilhar|prestar)"
-_RU = r"(?:помочь|помогать|ответ\w*|отвеч\w*|предостав\w*|дать|давать|обсужд\w*|продолж\w*|говорить|выполн\w*)"
+_ES = r"(?:ayudar\p{L}*|responder\p{L}*|contestar\p{L}*|ofrecer\p{L}*|tratar|dar\p{L}*|proporcionar\p{L}*|continuar|hablar|atender\p{L}*|compartir\p{L}*|facilitar\p{L}*)"
+_PT = r"(?:ajudar\p{L}*|responder\p{L}*|oferecer\p{L}*|tratar|dar|fornecer\p{L}*|continuar|falar|atender\p{L}*|auxiliar\p{L}*|partilhar|compartilhar|prestar)"
+_RU = r"(?:помочь|помогать|ответ\p{L}*|отвеч\p{L}*|предостав\p{L}*|дать|давать|обсужд\p{L}*|продолж\p{L}*|говорить|выполн\p{L}*)"
 #: Phrases by which a speaker declines, by language: a negation that governs a verb of answering, a few words apart at most, or a verb of refusing.
 REFUSALS = {
-    "en": rf"\b(?:can(?:no|['’])t|can not|won['’]?t|will not|must not|may not|could not|couldn['’]t|do not|don['’]t|(?:am|['’]m|are|['’]re) (?:\w+ )?(?:not (?:able|allowed|permitted|going|willing) to|unable to)|not (?:able|allowed|permitted) to|unable to)(?: (?:be|able|to|really|in good conscience|safely|possibly|currently|further)){{0,3}} {_EN}\b"
-    rf"|\b(?:have to|must|need to|going to|would like to|['’]?ll) (?:\w+ )?(?:decline|refuse|pass)\b|\bi (?:am |must )?(?:\w+ )?declin(?:e|ing)\b|\bi refuse\b|\b(?:would|['’]d) rather not\b|\bprefer not to\b|\bnot something i (?:\w+ )?(?:may|can|am|will)\b"
+    "en": rf"(?<!\byou )(?<!\bthey )\b(?:can(?:no|['’])t|can not|won['’]?t|will not|must not|may not|could not|couldn['’]t|do not|don['’]t|(?:am|['’]m|are|['’]re) (?:\p{{L}}+ )?(?:not (?:able|allowed|permitted|going|willing) to|unable to)|not (?:able|allowed|permitted) to|unable to)(?: (?:be|able|to|really|in good conscience|safely|possibly|currently|further)){{0,3}} {_EN}\b"
+    rf"|\b(?:have to|must|need to|going to|would like to|['’]?ll) (?:\p{{L}}+ )?(?:decline|refuse|pass)\b|\bi (?:am |must )?(?:\p{{L}}+ )?declin(?:e|ing)\b|\bi refuse\b|\b(?:would|['’]d) rather not\b|\bprefer not to\b|\bnot something i (?:\p{{L}}+ )?(?:may|can|am|will)\b"
     rf"|\b(?:outside|beyond) (?:of )?what i(?:['’]m| am| can| may)\b|\bagainst my (?:guidelines|rules|policy|policies|principles)\b|\b(?:leave|leaving) (?:it|this|that) unanswered\b|\bno can do\b",
     "zh": r"(?:無法|无法|(?<![能可會会])不(?:方便|能|便|可以|願|愿|想|會|会))(?:為您|为您|再|就此|對此|对此)?(?:協助|协助|回答|提供|處理|处理|作答|討論|讨论|回應|回应|幫|帮|談|谈)|恕(?:難|难|無|无|不)|(?:必須|必须|只能|得)(?:拒絕|拒绝|婉拒)|婉拒|不予(?:回答|提供)|超出(?:了)?我",
-    "de": rf"\b(?:kann|darf|möchte|will|werde|können|dürfen) (?:ich |wir )?(?:\w+ ){{0,4}}(?:nicht|keine\w*)\b(?: \w+){{0,3}} {_DE}|\bablehnen\b|\blehne (?:ich )?\w* ?ab\b|\bübersteigt\b|gehe ich (?:\w+ )?nicht ein\b|\bkeine auskunft\b|\bverweiger\w+",
-    "fr": rf"\bne (?:peux|puis|suis|veux|souhaite|pourrai|dois|saurais) (?:\w+ )?pas (?:\w+ ){{0,3}}(?:\w['’])?{_FR}|\bne pas (?:y |vous )?répondre\b|\bn['’]est pas permis\b|\bne m['’]est pas (?:permis|possible)\b|\bm['’]abst(?:iens|enir)\b|\b(?:dois|préfère|contrainte? de|obligée? de)(?: \w+)? (?:refuser|décliner)\b|\bje (?:refuse|décline)\b|sort du cadre|\bje n['’]ai pas le droit\b",
+    "de": rf"\b(?:kann|darf|möchte|will|werde|können|dürfen) (?:ich |wir )?(?:\p{{L}}+ ){{0,4}}(?:nicht|keine\p{{L}}*)\b(?: \p{{L}}+){{0,3}} {_DE}|\bablehnen\b|\blehne (?:ich )?\p{{L}}* ?ab\b|\bübersteigt\b|gehe ich (?:\p{{L}}+ )?nicht ein\b|\bkeine auskunft\b|\bverweiger\p{{L}}+",
+    "fr": rf"\bne (?:peux|puis|suis|veux|souhaite|pourrai|dois|saurais) (?:\p{{L}}+ )?pas (?:\p{{L}}+ ){{0,3}}(?:\p{{L}}['’])?{_FR}|\bne pas (?:y |vous )?répondre\b|\bn['’]est pas permis\b|\bne m['’]est pas (?:permis|possible)\b|\bm['’]abst(?:iens|enir)\b|\b(?:dois|préfère|contrainte? de|obligée? de)(?: \p{{L}}+)? (?:refuser|décliner)\b|\bje (?:refuse|décline)\b|sort du cadre|\bje n['’]ai pas le droit\b",
     "es": rf"\bno (?:puedo|debo|voy a|podré|me es posible|quiero) {_ES}|\bno (?:me )?está permitido\b|\bprefiero no\b|\b(?:tengo que|debo|he de) (?:rechazar|declinar|negarme)\b|\bno continúo\b|\bfuera de lo que puedo\b|\bme niego\b",
-    "pt": rf"\bnão (?:posso|devo|vou|poderei|consigo|quero) {_PT}|\bnão me é (?:permitido|possível)\b|\bprefiro não\b|\b(?:tenho de|tenho que|preciso|devo) (?:\w+ )?(?:recusar|declinar)\b|\b(?:foge|vai além) (?:ao|do) que posso\b|\bfora do que posso\b|\brecuso\b",
+    "pt": rf"\bnão (?:posso|devo|vou|poderei|consigo|quero) {_PT}|\bnão me é (?:permitido|possível)\b|\bprefiro não\b|\b(?:tenho de|tenho que|preciso|devo) (?:\p{{L}}+ )?(?:recusar|declinar)\b|\b(?:foge|vai além) (?:ao|do) que posso\b|\bfora do que posso\b|\brecuso\b",
     "ja": r"(?:提供|回答|対応|お答え|お応え|お手伝い|お話し|協力|お力添え)(?:は|を|が|に|することは)?(?:でき(?:ません|かねます|ない)|いたしかねます|しかねます)|できかねます|控えさせて|差し控え|お断り|遠慮させて|(?:範囲|権限)を(?:超え|越え)",
-    "ru": rf"\bне (?:могу|смогу|вправе|должен|должна|буду|стану|готов\w?)(?: \w+){{0,2}} {_RU}|вынужден\w? (?:\w+ )?(?:отклонить|отказать)|отказываюсь|\bне отвечать\b|отвечать не (?:стану|буду)|не дозволен\w?|отклонить (?:эту|этот)|за рамки",
+    "ru": rf"\bне (?:могу|смогу|вправе|должен|должна|буду|стану|готов\p{{L}}?)(?: \p{{L}}+){{0,2}} {_RU}|вынужден\p{{L}}? (?:\p{{L}}+ )?(?:отклонить|отказать)|отказываюсь|\bне отвечать\b|отвечать не (?:стану|буду)|не дозволен\p{{L}}?|отклонить (?:эту|этот)|за рамки",
 }
 #: One of these is in every phrase of the same language above, in lower case; a cheap test before the longer one.
 REFUSAL_SIGNS = {
@@ -53,7 +53,7 @@ _GERMAN_STEMS = ("helf", "antwort", "äußer", "bereitstell", "unterstütz", "di
 _SCRIPTS = {"zh": r"[\x{4e00}-\x{9fff}]", "ja": r"[\x{3040}-\x{30ff}]", "ru": r"[\x{400}-\x{4ff}]"}
 #: What stands beside a refusal without answering: courtesies, words about oneself and one's rules, and where else to turn.
 COURTESIES = (
-    r"\b(?:thanks?|thank you|sorry|apologi[sz]e\w*|apolog(?:y|ies)|understand|interest(?:ed)?|professional|specialist|expert|anything else|something else|on your mind|hmm+|please|regret\w*|unfortunately|happy to|glad to|another (?:topic|question)|hope|appreciate|guidelines?|polic(?:y|ies)|my rules|as an ai|language model|instead|let['’]?s stop|designed to|i wish|safety|different question)\b"
+    r"\b(?:thanks?|thank you|sorry|apologi[sz]e\w*|apolog(?:y|ies)|understand|interest(?:ed)?|professional|specialist|expert|anything else|something else|on your mind|hmm+|please|regret\w*|unfortunately|happy to|glad to|another (?:topic|question)|hope|appreciate|guidelines?|polic(?:y|ies)|my rules|as an ai|language model|instead|let['’]?s stop|designed to|i wish|safety|different question|lawyer|doctor|physician|therapist|counsel\w*|hotline)\b"
     r"|抱歉|不好意思|諮詢|咨询|專業|专业|其他問題|其他问题|感謝|感谢|謝謝|谢谢|請換|请换|理解|語言模型|语言模型|規定|规定"
     r"|\b(?:entschuldig\w+|leider|danke|fachperson|fachleute|verständnis|tut mir leid|verstehe|sonst noch|bitte|sprachmodell|richtlinien|stattdessen)\b"
     r"|\b(?:désolée?|navrée?|merci|spécialiste|professionnel|comprends|autre (?:chose|question)|malheureusement|modèle de langage|veuillez|règles)\b"
