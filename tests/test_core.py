@@ -173,6 +173,52 @@ def test_second_look_in_reports(spark):
     assert two == three and "initial" not in two and "second look" not in two
 
 
+def test_model_interfaces(monkeypatch):
+    chat, plain = analyzers.request_body("chat", "m", "be brief", "hi"), analyzers.request_body("messages", "m", "be brief", "hi")
+    assert [m["role"] for m in chat["messages"]] == ["system", "user"] and chat["temperature"] == plain["temperature"] == 0 and plain["system"] == "be brief" and plain["max_tokens"] == 4096
+    assert analyzers.reply_object("chat", {"choices": [{"message": {"content": '```json\n{"a": 1}\n```'}}]}) == {"a": 1}
+    assert analyzers.reply_object("messages", {"content": [{"type": "text", "text": '{"a": '}, {"type": "other"}, {"type": "text", "text": "2}"}]}) == {"a": 2}
+    for bad in ({}, {"choices": []}, {"choices": [{"message": {"content": "[1]"}}]}, {"choices": [{"message": {"content": None}}]}):
+        with pytest.raises(ValueError):
+            analyzers.reply_object("chat", bad)
+    with pytest.raises(ValueError):
+        analyzers.http_analyzer("fax", "http://x", "m", "s", "KEY")
+    monkeypatch.delenv("NO_SUCH_KEY", raising=False)
+    with pytest.raises(analyzers.Fatal):
+        analyzers.http_analyzer("chat", "http://x", "m", "s", "NO_SUCH_KEY")("hi")
+
+
+def test_replies_over_http(monkeypatch):
+    """A server on this machine: an answer, a refused key, and a wish for a pause."""
+    import http.server
+    import threading
+
+    class Server(http.server.BaseHTTPRequestHandler):
+        def do_POST(self):
+            body = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+            asked = body["messages"][-1]["content"]
+            code = {"bad": 401, "busy": 429}.get(asked, 200)
+            self.send_response(code)
+            self.send_header("Retry-After", "7")
+            self.end_headers()
+            self.wfile.write(json.dumps({"content": [{"type": "text", "text": json.dumps({"key": self.headers["x-api-key"], "asked": asked})}]}).encode())
+
+        def log_message(self, *_):
+            pass
+
+    server = http.server.HTTPServer(("127.0.0.1", 0), Server)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    monkeypatch.setenv("SOME_KEY", "k")
+    ask = analyzers.http_analyzer("messages", f"http://127.0.0.1:{server.server_port}/", "m", "s", "SOME_KEY")
+    assert json.loads(ask("hi")) == {"key": "k", "asked": "hi"}
+    with pytest.raises(analyzers.Fatal):
+        ask("bad")
+    with pytest.raises(analyzers.Busy) as busy:
+        ask("busy")
+    assert busy.value.seconds == 7
+    server.shutdown()
+
+
 def test_rejects(spark):
     frame = spark.createDataFrame([(1, None), (2, " "), (3, "{x"), (4, "[]"), (5, "null"), (6, '{"a": 1}'), (7, '{"uuid": "u"}'), (7, "3")], "export_id long, record string")
     assert sorted((r["export_id"], r["reason"]) for r in normalize.rejected_exports(frame).collect()) == [(1, "blank"), (2, "blank"), (3, "invalid"), (4, "unknown"), (5, "unknown"), (6, "unknown"), (7, "unknown")]
